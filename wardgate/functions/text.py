@@ -46,15 +46,23 @@ def similarity(a: Column, b: Column) -> Column:
     The overlaps are the Jaccard indices of the character sets and of the ``_``-separated words.
     """
     a, b = F.lower(F.trim(a)), F.lower(F.trim(b))
+    sets = [F.array_distinct(F.split(x, s)) for x in (a, b) for s in ("", "_")]
+    return similarity_of_sets(a, sets[0], sets[1], b, sets[2], sets[3])
 
-    def overlap(separator: str) -> Column:
-        x, y = F.split(a, separator), F.split(b, separator)
-        return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+def similarity_of_sets(
+    a: Column, a_chars: Column, a_words: Column, b: Column, b_chars: Column, b_words: Column
+) -> Column:
+    """As :func:`similarity`, for prepared strings whose sets are at hand."""
+
+    def overlap(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        return common / (F.size(x) + F.size(y) - common)
 
     return (
         F.when(a == b, 1.0)
         .when(F.contains(a, b) | F.contains(b, a), 0.8)
-        .otherwise(overlap("") * 0.5 + overlap("_") * 0.5)
+        .otherwise(overlap(a_chars, b_chars) * 0.5 + overlap(a_words, b_words) * 0.5)
     )
 
 

@@ -6,19 +6,18 @@ thousand rows) whatever the data, so it is inlined as a literal.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from functools import cache
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from wardgate.functions import text as t
 from wardgate.functions import vocab as v
 
-ALIAS_SCHEMA = "alias string, canonical string, ord int"
 ACCEPT_ABOVE = 0.3
 
 
@@ -159,10 +158,6 @@ def alias_rows() -> tuple[tuple[str, str, int], ...]:
 FIELD_ORDER = tuple(dict.fromkeys(c for _, c, _ in alias_rows()))
 
 
-def alias_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(alias_rows()), ALIAS_SCHEMA)
-
-
 def resolve_name(name: str) -> str:
     """Canonical field of one header of an open batch, or the header itself."""
     known = {a: c for a, c, _ in alias_rows()}
@@ -173,81 +168,111 @@ def resolve_name(name: str) -> str:
 # --- header tables ----------------------------------------------------------------------------
 
 
-def canonical_name(name: Column) -> Column:
-    """Canonical field of a header value, null when none is known.
+def canonical_name_sql(name: str) -> str:
+    """Canonical field of a header expression, null when none is known, as SQL text.
 
-    One set-membership test per field: constant time per header, and no join.
+    One hash-set test per field: constant time per header, and no join.  Every alias with a space
+    has its underscore twin, so the underscore spelling alone is looked up.
     """
-    exact, joined = F.lower(F.trim(name)), t.header_key(name)
-    found = F.lit(None).cast("string")
-    for field in reversed(FIELD_ORDER):
-        names = [a for a, c, _ in alias_rows() if c == field]
-        found = F.when(exact.isin(names) | joined.isin(names), field).otherwise(found)
-    return found
+    key = f"translate(lower(trim({name})), ' -', '__')"
+    whens = []
+    for field in FIELD_ORDER:
+        names = [a for a, c, _ in alias_rows() if c == field and " " not in a]
+        whens.append(f"WHEN {key} IN ({', '.join(repr(a) for a in names)}) THEN '{field}'")
+    return f"CASE {' '.join(whens)} END"
+
+
+def canonical_name(column: str) -> Column:
+    return F.expr(canonical_name_sql(column))
 
 
 def resolve_headers(headers: DataFrame, column: str = "column_name") -> DataFrame:
     """Add ``canonical``: the field a header stands for, or the header when none is known."""
-    return headers.withColumn("canonical", F.coalesce(canonical_name(F.col(column)), column))
+    return headers.withColumn("canonical", F.coalesce(canonical_name(column), column))
+
 
+ALIAS_LITERAL = "array<struct<ord:int,alias:string,chars:array<string>,words:array<string>>>"
 
-def _alias_literal() -> Column:
+
+def _aliases_of(field: str) -> Column:
+    """The field's aliases with their character and word sets, as a constant."""
     rows = [
-        F.struct(
-            F.lit(a).alias("alias"),
-            F.lit(c).alias("canonical"),
-            F.lit(FIELD_ORDER.index(c)).alias("field_ord"),
-            F.lit(o).alias("ord"),
-        )
+        {"ord": o, "alias": a, "chars": sorted(set(a)), "words": sorted(set(a.split("_")))}
         for a, c, o in alias_rows()
+        if c == field
     ]
-    return F.array(*rows)
+    return F.from_json(F.lit(json.dumps(rows)), ALIAS_LITERAL)
+
+
+def _best_of(field: str) -> Column:
+    """The field's best alias for the header at hand, as a struct that orders by merit."""
+
+    def scored(alias: Column) -> Column:
+        score = t.similarity_of_sets(
+            F.col("_h"), F.col("_chars"), F.col("_words"),
+            alias["alias"], alias["chars"], alias["words"],
+        )
+        return F.struct(
+            score.alias("score"),
+            F.lit(-FIELD_ORDER.index(field)).alias("neg_field"),
+            (-alias["ord"]).alias("neg_ord"),
+            F.lit(field).alias("canonical"),
+            alias["alias"].alias("alias"),
+        )
+
+    return F.array_max(F.transform(_aliases_of(field), scored))
 
 
-def field_scores(headers: DataFrame, column: str = "column_name") -> DataFrame:
-    """Best alias and its similarity per distinct header and canonical field.
+def _ranked(headers: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """(distinct headers, their fields by merit).
 
-    Distinct headers are few whatever the number of rows; each meets the fixed alias list once,
-    as a generator over a literal, so no join is involved.
+    Ties go to the field, and within a field to the alias, that comes first.  Distinct headers are
+    few whatever the number of rows; each is scored against the constant alias lists where it
+    stands, so there is no join, no exploded pair and no further shuffle.
     """
-    distinct = headers.select(column).filter(F.col(column) != "").distinct()
-    scored = distinct.select(column, F.inline(_alias_literal())).withColumn(
-        "score", t.similarity(t.header_key(F.col(column)), F.col("alias"))
-    )
-    best = F.max_by("alias", F.struct(F.col("score"), -F.col("ord")))
-    return scored.groupBy(column, "canonical", "field_ord").agg(
-        F.max("score").alias("score"), best.alias("alias")
+    tasks = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = (
+        headers.select(column)
+        .filter(F.col(column) != "")
+        .distinct()
+        .repartition(tasks)  # few rows, much work per row
+        .withColumn("_h", F.trim(t.header_key(F.col(column))))
+        .withColumns(
+            {
+                "_chars": F.array_distinct(F.split("_h", "")),
+                "_words": F.array_distinct(F.split("_h", "_")),
+            }
+        )
     )
+    return distinct, F.sort_array(F.array(*[_best_of(f) for f in FIELD_ORDER]), asc=False)
 
 
 def top_candidates(headers: DataFrame, column: str = "column_name", k: int = 3) -> DataFrame:
-    """The ``k`` best fields per header, ties in field order."""
-    order = Window.partitionBy(column).orderBy(F.desc("score"), F.asc("field_ord"))
-    return (
-        field_scores(headers, column)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(column, "rank", "canonical", "score", "alias")
+    """The ``k`` best fields per distinct header, each with its best alias."""
+    distinct, ranked = _ranked(headers, column)
+    rows = F.transform(
+        F.slice(ranked, 1, k),
+        lambda x, i: F.struct(
+            (i + 1).alias("rank"), x["canonical"].alias("canonical"), x["score"].alias("score"),
+            x["alias"].alias("alias"),
+        ),
     )
+    return distinct.select(column, F.inline(rows))
 
 
 def suggest_fields(headers: DataFrame, column: str = "column_name") -> DataFrame:
     """One row per header: best field, score, whether to accept it, and the runners-up."""
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "canonical", "score", "alias")))
-    return (
-        top_candidates(headers, column)
-        .groupBy(column)
-        .agg(ranked.alias("_r"))  # three rows per header
-        .select(
-            column,
-            F.col("_r")[0]["canonical"].alias("suggested"),
-            F.col("_r")[0]["score"].alias("score"),
-            (F.col("_r")[0]["score"] > ACCEPT_ABOVE).alias("accepted"),
-            F.concat_ws(
-                ",", F.transform(F.slice("_r", 2, 2), lambda x: x["canonical"])
-            ).alias("alternatives"),
-        )
+    distinct, ranked = _ranked(headers, column)
+    row = F.transform(
+        F.array(ranked),  # one element, so that the ranking is bound once
+        lambda x: F.struct(
+            x[0]["canonical"].alias("suggested"),
+            x[0]["score"].alias("score"),
+            (x[0]["score"] > ACCEPT_ABOVE).alias("accepted"),
+            F.concat_ws(",", x[1]["canonical"], x[2]["canonical"]).alias("alternatives"),
+        ),
     )
+    return distinct.select(column, F.inline(row))
 
 
 def mapping_gaps(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,11 +74,13 @@ def first_or_padded(df: DataFrame, n: int, order: str, filler: DataFrame) -> Dat
 
 
 # --- generation -------------------------------------------------------------------------------
+# One record per row of ``ids`` (column ``id``), for instance ``spark.range(n)``.
 
 
 def _uniform(seed: int, what: str) -> Column:
     """Even value in [0, 1) per row id and purpose."""
-    return F.pmod(F.xxhash64("id", F.lit(what), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    text = F.concat(F.col("id").cast("string"), F.lit(f"|{what}|{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint") / F.lit(float(1 << 28))
 
 
 def _between(seed: int, what: str, low: int, high: int) -> Column:
@@ -93,7 +95,7 @@ def _digits(seed: int, what: str) -> Column:
     return F.lpad(_between(seed, what, 1000, 9999).cast("string"), 4, "0")
 
 
-def _frame(spark: SparkSession, rows: int, seed: int, as_of: datetime) -> DataFrame:
+def _frame(ids: DataFrame, seed: int, as_of: datetime) -> DataFrame:
     good_id = F.concat_ws(
         "-",
         _between(seed, "p1", 10, 99).cast("string"),
@@ -102,7 +104,7 @@ def _frame(spark: SparkSession, rows: int, seed: int, as_of: datetime) -> DataFr
     suffix = _digits(seed, "suffix")
     year = F.when(_uniform(seed, "year") < 0.05, "2025").otherwise("2026")
     age = _between(seed, "age", 0, 450)
-    return spark.range(rows).select(
+    return ids.select(
         "id",
         F.concat(F.lit("Patient_"), (F.col("id") + 1).cast("string"), F.lit("_"), suffix).alias(
             "patient_name"
@@ -122,19 +124,19 @@ CLEAN_DIAGNOSES = ("Hypertension", "Diabetes", "Asthma", "Fever")
 PURPOSES = ("Consultation", "Treatment", "Audit", "Emergency Care")
 
 
-def synthetic_current(spark: SparkSession, rows: int, as_of: datetime, seed: int = 7) -> DataFrame:
+def synthetic_current(ids: DataFrame, as_of: datetime, seed: int = 7) -> DataFrame:
     """80 % clean records; the rest split evenly into the four kinds of trouble."""
     u = _uniform(seed, "mix")
     clean = u < 0.80
     bad_id, no_id = (u >= 0.80) & (u < 0.85), (u >= 0.85) & (u < 0.90)
     leak, revoked = (u >= 0.90) & (u < 0.95), u >= 0.95
-    low = F.round(500 + 1500 * _uniform(seed, "bill"), 2)
-    high = F.round(3000 + 5000 * _uniform(seed, "bill"), 2)
+    low = F.lit(500) + _between(seed, "bill", 0, 150_000) / F.lit(100.0)
+    high = F.lit(3000) + _between(seed, "bill", 0, 500_000) / F.lit(100.0)
     payload = F.format_string(
         '{"diagnosis": "%s", "treatment": "Prescribed rest", "visit_type": "OPD"}',
         _choice(seed, "diag", CLEAN_DIAGNOSES),
     )
-    return _frame(spark, rows, seed, as_of).select(
+    return _frame(ids, seed, as_of).select(
         "patient_name",
         F.when(no_id, None).when(bad_id, F.col("bad_id")).otherwise(F.col("good_id")).alias("abha_id"),
         F.when(clean, payload)
@@ -149,7 +151,7 @@ def synthetic_current(spark: SparkSession, rows: int, as_of: datetime, seed: int
     )
 
 
-def synthetic_v1(spark: SparkSession, rows: int, as_of: datetime, seed: int = 7) -> DataFrame:
+def synthetic_v1(ids: DataFrame, as_of: datetime, seed: int = 7) -> DataFrame:
     """5 % without id, 5 % malformed, 5 % legacy notices, four consent states, five purposes."""
     u = _uniform(seed, "mix")
     n = (F.col("id") + 1).cast("string")
@@ -160,7 +162,7 @@ def synthetic_v1(spark: SparkSession, rows: int, as_of: datetime, seed: int = 7)
         n,
         _choice(seed, "visit", v.VISIT_TYPES[:3]),
     )
-    return _frame(spark, rows, seed, as_of).select(
+    return _frame(ids, seed, as_of).select(
         "patient_name",
         F.when(u < 0.05, None).when(u < 0.10, F.col("bad_id")).otherwise(F.col("good_id")).alias("abha_id"),
         payload.alias("clinical_payload"),

@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from wardgate.plans import cases_rules  # noqa: F401
+from wardgate.plans import (  # noqa: F401
+    cases_formats,
+    cases_mapping,
+    cases_metrics,
+    cases_rules,
+    cases_store,
+)

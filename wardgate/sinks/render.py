@@ -72,7 +72,10 @@ def _json(value: Column) -> Column:
 
 
 def fhir_patient() -> Column:
-    """Patient resource: a typed identifier without value, then the id; family and given name."""
+    """Patient resource: a typed identifier without value, then the id; family and given name.
+
+    A record without a name gives a resource without the ``name`` member.
+    """
     parts = F.split(F.col("patient_name"), "_")
     split = F.size(parts) > 1
     coding = F.struct(
@@ -91,7 +94,10 @@ def fhir_patient() -> Column:
     return F.concat(
         F.lit('{"resourceType":"Patient","id":'), _quoted(F.col("notice_id")),
         F.lit(',"identifier":'), typed,
-        F.lit(',"name":['), _json(name), F.lit("]}"),
+        F.when(
+            F.col("patient_name").isNotNull(), F.concat(F.lit(',"name":['), _json(name), F.lit("]"))
+        ).otherwise(""),
+        F.lit("}"),
     )
 
 

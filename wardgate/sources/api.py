@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardgate.functions import payload as pl
 from wardgate.functions import vocab as v
-from wardgate.operators.aliases import canonical_name
+from wardgate.operators.aliases import canonical_name_sql
 
 ITEM = "map<string,string>"
 
@@ -46,9 +46,9 @@ def unreadable(docs: DataFrame, body: str = "body") -> DataFrame:
 
 def records(docs: DataFrame, body: str = "body", keys: Iterable[str] = v.API_ENVELOPES) -> DataFrame:
     """Adapter record per item; of several members claiming one field the last one counts."""
-    named = F.transform(
-        F.map_entries("item"),
-        lambda e: F.struct(canonical_name(e["key"]).alias("field"), e["value"].alias("value")),
+    named = F.expr(
+        "transform(map_entries(item), e -> named_struct('field', "
+        f"{canonical_name_sql('e.key')}, 'value', e.value))"
     )
     rest = [c for c in docs.columns if c != body]
 

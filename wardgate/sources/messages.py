@@ -49,7 +49,7 @@ def hl7_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> Da
         F.struct(_nth(F.col("_msh"), 8).alias("message_type")), {"ignoreNullFields": "false"}
     )
     raw = F.to_json(F.struct(F.left("_raw", F.lit(2000)).alias("raw_message")))
-    return fields.select(
+    out = fields.select(
         stem,
         F.when(F.col("_is"), F.nullif(name, F.lit(""))).otherwise("Unknown/Redacted").alias(
             "patient_name"
@@ -64,6 +64,8 @@ def hl7_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> Da
         _iso_day(_nth(F.col("_pid"), 8)).alias("pid_date"),
         _nth(F.col("_pv1"), 20).alias("pv1_consent"),
     )
+    texts = ("patient_name", "abha_id", "notice_id", "notice_date", "consent_status")
+    return out.withColumns({c: t.without_null_tokens(F.col(c)) for c in texts})
 
 
 def _iso_day(compact: Column) -> Column:
