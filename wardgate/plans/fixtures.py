@@ -131,7 +131,7 @@ FROM base
 """
 
 SQL["json_lines"] = f"""
-SELECT k AS doc_id, CASE WHEN k % 31 = 0 THEN substring(body, 1, 40) ELSE body END AS body FROM (
+SELECT k AS doc_id, substring(body, 1, CASE WHEN k % 31 = 0 THEN 40 ELSE 1000000 END) AS body FROM (
 SELECT k, '{{"patient_name": ' || {_quoted('patient_name')} || ', "abha_id": ' || {_quoted('abha_id')}
     || ', "clinical_payload": ' || {_quoted('clinical_payload')} || ', "bill_amount": '
     || CAST(CAST(bill_amount AS BIGINT) AS STRING) || ', "consent_status": '
@@ -146,15 +146,13 @@ _ITEM = f"""'{{"Pt Name": ' || {_quoted('patient_name')} || ', "health-id": ' ||
     || ', "issue date": ' || {_quoted('notice_date')} || '}}'"""
 
 SQL["api_docs"] = f"""
-SELECT k AS doc_id, CASE WHEN k % 31 = 0 THEN substring(body, 1, 60) ELSE body END AS body FROM (
-SELECT k, CASE k % 6
-    WHEN 0 THEN '{{"status": "ok", "data": [' || item || ']}}'
-    WHEN 1 THEN '{{"results": [' || item || ', ' || item || ']}}'
-    WHEN 2 THEN '{{"items": ' || item || '}}'
-    WHEN 3 THEN '{{"page": 1, "patients": [' || item || ']}}'
-    WHEN 4 THEN '[' || item || ']'
-    ELSE item END AS body
-FROM (SELECT k, {_ITEM} AS item FROM base) t) s
+SELECT k AS doc_id, substring(CASE k % 6 WHEN 0 THEN '{{"status": "ok", "data": ['
+        WHEN 1 THEN '{{"results": [' WHEN 2 THEN '{{"items": '
+        WHEN 3 THEN '{{"page": 1, "patients": [' WHEN 4 THEN '[' ELSE '' END
+    || item || CASE WHEN k % 6 = 1 THEN ', ' || item ELSE '' END
+    || CASE k % 6 WHEN 2 THEN '}}' WHEN 4 THEN ']' WHEN 5 THEN '' ELSE ']}}' END,
+    1, CASE WHEN k % 31 = 0 THEN 60 ELSE 1000000 END) AS body
+FROM (SELECT k, {_ITEM} AS item FROM base) t
 """
 
 SQL["manifest"] = """

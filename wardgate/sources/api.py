@@ -34,7 +34,7 @@ def unwrap(
                 F.col("_inner").startswith("["), F.from_json(F.col("_inner"), f"array<{ITEM}>")
             ).otherwise(F.array(pl.json_object(F.col("_inner")))),
         )
-        .select(*rest, F.explode("_items").alias("item"))
+        .select(*rest, F.explode_outer("_items").alias("item"))
         .filter(F.col("item").isNotNull())
     )
 

@@ -40,7 +40,7 @@ def resources(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> Data
         F.col("_d.resourceType").isNotNull(),
         F.array(F.struct(*[F.col(f"_d.{c}").alias(c) for c in MEMBERS])),
     )
-    return doc.select(stem, F.explode(listed).alias("r")).filter(F.col("r").isNotNull())
+    return doc.select(stem, F.explode_outer(listed).alias("r")).filter(F.col("r").isNotNull())
 
 
 def _first_identifier(identifiers: Column) -> Column:

@@ -65,7 +65,7 @@ def json_records(
                 ),
             ),
         )
-        .select(*rest, F.explode("_records").alias("_r"))
+        .select(*rest, F.explode_outer("_records").alias("_r"))
         .filter(F.col("_r").isNotNull())
         .select(*rest, "_r.*")
     )

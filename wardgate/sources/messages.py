@@ -90,7 +90,7 @@ CLINICAL_TAGS = ("study_description", "modality", "body_part")
 def imaging_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> DataFrame:
     """One record per header block of a tag dump; clinical tags become a JSON payload."""
     blocks = F.split(F.regexp_replace(F.col(body), "\r\n?", "\n"), r"(?m)^---\n?")
-    tags = docs.select(stem, F.explode(blocks).alias("_b")).select(
+    tags = docs.select(stem, F.explode_outer(blocks).alias("_b")).select(
         stem,
         *[
             F.nullif(t.strip(F.regexp_extract("_b", p, 1)), F.lit("")).alias(f)

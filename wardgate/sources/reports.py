@@ -20,10 +20,8 @@ def read_documents(spark: SparkSession, path: str, separator: str | None = None)
 
     With a separator the files are split, so a file of any size is read by many tasks.
     """
-    options = {"lineSep": separator} if separator else {"wholetext": "true"}
     return (
-        spark.read.options(**options)
-        .text(path)
+        spark.read.text(path, wholetext=separator is None, lineSep=separator)
         .select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("body"))
     )
 
@@ -40,7 +38,7 @@ def labelled_blocks(docs: DataFrame, body: str = "body") -> DataFrame:
         f: F.nullif(t.strip(F.regexp_extract("_block", pattern, 1)), F.lit(""))
         for f, pattern in v.BLOCK_LABELS.items()
     }
-    records = docs.select(*rest, F.explode(pieces).alias("_block")).select(
+    records = docs.select(*rest, F.explode_outer(pieces).alias("_block")).select(
         *rest, *[c.alias(f) for f, c in fields.items()]
     )
     return records.filter(F.coalesce(*fields).isNotNull()).withColumn(
