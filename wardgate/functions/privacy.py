@@ -79,9 +79,14 @@ def mask_payload(value: Column) -> Column:
 
 
 def redact_text(text: Column) -> Column:
-    """Replace emails, health ids, phone and national numbers by labels, in that order."""
+    """Replace emails, health ids, phone and national numbers by labels, in that order.
+
+    Every email holds an ``@`` and every health id a ``-``: text without one skips that pattern.
+    """
     for label, pattern in v.REDACTIONS.items():
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(f"[REDACTED_{label}]"))
+        replaced = F.regexp_replace(text, F.lit(pattern), F.lit(f"[REDACTED_{label}]"))
+        sign = v.REDACTION_SIGNS.get(label)
+        text = F.when(text.contains(sign), replaced).otherwise(text) if sign else replaced
     return text
 
 

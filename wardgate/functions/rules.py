@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,18 +29,26 @@ def is_true(cond: Column) -> Column:
 # --- identifiers ------------------------------------------------------------------------------
 
 
-def normalized_id(raw: Column) -> Column:
+def id_digits(raw: Column) -> Column:
+    """The identifier without hyphens; empty when there is none."""
+    return F.replace(F.coalesce(raw.cast("string"), F.lit("")), F.lit("-"), F.lit(""))
+
+
+def id_is_valid(raw: Column) -> Column:
+    """Is the identifier well-formed once normalised?  Exactly when it holds fourteen digits."""
+    return id_digits(raw).rlike(v.ID_DIGITS)
+
+
+def hyphenated(digits: Column) -> Column:
+    cuts = ((1, 2), (3, 4), (7, 4), (11, 4))
+    return F.concat_ws("-", *[F.substring(digits, a, n) for a, n in cuts])
+
+
+def normalized_id(raw: Column, valid: Column | None = None) -> Column:
     """Null becomes empty; fourteen digits in any hyphenation become NN-NNNN-NNNN-NNNN."""
-    text = F.coalesce(raw.cast("string"), F.lit(""))
-    digits = F.replace(text, F.lit("-"), F.lit(""))
-    hyphenated = F.concat_ws(
-        "-",
-        F.substring(digits, 1, 2),
-        F.substring(digits, 3, 4),
-        F.substring(digits, 7, 4),
-        F.substring(digits, 11, 4),
+    return F.when(id_is_valid(raw) if valid is None else valid, hyphenated(id_digits(raw))).otherwise(
+        F.coalesce(raw.cast("string"), F.lit(""))
     )
-    return F.when(digits.rlike(v.ID_DIGITS), hyphenated).otherwise(text)
 
 
 def id_is_hyphenated(id_: Column) -> Column:
@@ -69,12 +78,24 @@ def notice_is_legacy(notice_id: Column) -> Column:
 # --- evidence ---------------------------------------------------------------------------------
 
 
+def names_clinical_term(payload: Column) -> Column:
+    """Substring tests cost a fraction of one alternation pattern and stop at the first hit."""
+    lower = F.lower(payload)
+    found = [F.contains(lower, F.lit(term)) for term in v.EVIDENCE_TERMS]
+    return reduce(lambda a, b: a | b, found)
+
+
+def denies_evidence(payload: Column) -> Column:
+    """The look-ahead skips positions at which no phrase can begin."""
+    return payload.rlike(f"(?i)(?=[{v.NO_EVIDENCE_INITIALS}]){v.NO_EVIDENCE_ALTERNATIVES}")
+
+
 def has_clinical_evidence(payload: Column) -> Column:
     """Long enough, not denied by a phrase, and naming at least one clinical term."""
     return is_true(
-        F.when(F.length(payload) < v.MIN_EVIDENCE_CHARS, False)
-        .when(payload.rlike(v.NO_EVIDENCE_PATTERN), False)
-        .otherwise(payload.rlike(v.EVIDENCE_PATTERN))
+        (F.length(payload) >= v.MIN_EVIDENCE_CHARS)
+        & names_clinical_term(payload)
+        & ~denies_evidence(payload)
     )
 
 

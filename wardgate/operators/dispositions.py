@@ -19,31 +19,29 @@ from wardgate.functions import vocab as v
 def apply_gate(df: DataFrame) -> DataFrame:
     """Current policy: identifier, consent, and clinical evidence behind high bills.
 
-    Staged so that the identifier and evidence patterns are each evaluated once per row.
+    Two stages: first the flags, whose patterns are then evaluated once per row, then what follows
+    from them.  Status and reason do not refer to each other, so a filter on either one that is
+    pushed below the projection repeats as little as possible.
     """
-    revoked = r.is_revoked(F.col("consent_status"))
-    unproven = (F.col("bill_amount") > v.BILL_NEEDS_EVIDENCE_ABOVE) & ~F.col("surgical_truth")
-    reason = (
-        F.when(unproven, "PENDING_CLINICAL_AUDIT")
-        .when(revoked, "CONSENT_REVOKED")
-        .when(~F.col("abha_valid"), "MISSING_ABHA")
-        .otherwise("N/A")
-    )
-    status = (
-        F.when((F.col("status_reason") == "PENDING_CLINICAL_AUDIT") | ~F.col("abha_valid"), "QUARANTINED")
-        .when(revoked, "PURGED")
-        .otherwise("PROCESSED")
+    valid, revoked = F.col("abha_valid"), r.is_revoked(F.col("consent_status"))
+    unproven = r.is_true(F.col("bill_amount") > v.BILL_NEEDS_EVIDENCE_ABOVE) & ~F.col(
+        "surgical_truth"
     )
-    return (
-        df.withColumn("abha_id", r.normalized_id(F.col("abha_id")))
-        .withColumns(
-            {
-                "abha_valid": r.id_is_hyphenated(F.col("abha_id")),
-                "surgical_truth": r.has_clinical_evidence(F.col("clinical_payload")),
-            }
-        )
-        .withColumn("status_reason", reason)
-        .withColumn("ingest_status", status)
+    flags = {
+        "abha_valid": r.id_is_valid(F.col("abha_id")),
+        "surgical_truth": r.has_clinical_evidence(F.col("clinical_payload")),
+    }
+    return df.withColumns(flags).withColumns(
+        {
+            "abha_id": r.normalized_id(F.col("abha_id"), valid),
+            "status_reason": F.when(unproven, "PENDING_CLINICAL_AUDIT")
+            .when(revoked, "CONSENT_REVOKED")
+            .when(~valid, "MISSING_ABHA")
+            .otherwise("N/A"),
+            "ingest_status": F.when(~valid | unproven, "QUARANTINED")
+            .when(revoked, "PURGED")
+            .otherwise("PROCESSED"),
+        }
     )
 
 
@@ -51,7 +49,7 @@ def gate_status_before_audit(df: DataFrame) -> DataFrame:
     """Status from identifier and consent alone, before high bills are held back."""
     return df.withColumn(
         "ingest_status",
-        F.when(~r.id_is_hyphenated(r.normalized_id(F.col("abha_id"))), "QUARANTINED")
+        F.when(~r.id_is_valid(F.col("abha_id")), "QUARANTINED")
         .when(r.is_revoked(F.col("consent_status")), "PURGED")
         .otherwise("PROCESSED"),
     )

@@ -158,17 +158,32 @@ def s7(spark, sf):
     return reports.pdf_summary(fixture(spark, sf, "reports"), AS_OF)
 
 
+MESSAGES = """SELECT patient_name, abha_id, notice_id, '1998-07-01' AS notice_date, 'ACTIVE' AS
+    consent_status, '{"message_type":"ADT^A08^ADT_A01"}' AS clinical_payload, notice_date AS pid_date,
+    coalesce(consent_status, 'None') AS pv1_consent FROM intake"""
+
+
+@query("S8_hl7_scan", INTAKE + MESSAGES)
+def s8(spark, sf):
+    folder = _landed(spark, sf, "s8", 50, render.hl7_message(SENT))
+    return messages.hl7_records(messages.read_hl7(spark, folder)).drop("doc_id")
+
+
 @query(
-    "S8_hl7_scan",
+    "S8_hl7_documents",
     INTAKE
-    + """SELECT patient_name, abha_id, notice_id, '1998-07-01' AS notice_date, 'ACTIVE' AS consent_status,
-        '{"message_type":"ADT^A08^ADT_A01"}' AS clinical_payload, notice_date AS pid_date,
-        coalesce(consent_status, 'None') AS pv1_consent FROM intake""",
+    + MESSAGES
+    + """ UNION ALL SELECT 'Unknown/Redacted', NULL, CAST(doc_id AS STRING), NULL, 'ACTIVE',
+        CAST(json_object('raw_message', left(body, 2000)) AS STRING), NULL, NULL FROM reports""".replace(
+        "FROM reports", f"FROM ({with_fixtures('reports')} SELECT * FROM reports) r"
+    ),
 )
-def s8(spark, sf):
-    folder = _landed(spark, sf, "s8", 50, render.hl7_message(SENT))
-    docs = reports.read_documents(spark, folder)
-    return messages.hl7_records(docs).drop("doc_id")
+def s8_documents(spark, sf):
+    """Documents of fifty messages, and reports without any message."""
+    docs = render.documents(
+        fixture(spark, sf, "base"), _chunk(50), "k", render.hl7_message(SENT)
+    )
+    return messages.hl7_records(docs.unionByName(fixture(spark, sf, "reports"))).drop("doc_id")
 
 
 @query(

@@ -211,8 +211,17 @@ def with_fixtures(*names: str, **extra: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes as fewer splits than there are cores.
+
+    The given tables are one row group each.  Tables with splits for everyone are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

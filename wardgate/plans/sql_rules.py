@@ -24,8 +24,8 @@ FROM (
     SELECT * REPLACE (fixed AS abha_id) EXCLUDE (fixed, digits),
       regexp_matches(fixed, {lit(v.ID_HYPHENATED)}) AS abha_valid,
       coalesce(length(clinical_payload) >= 20
-        AND NOT regexp_matches(clinical_payload, {lit(v.NO_EVIDENCE_PATTERN)})
-        AND regexp_matches(clinical_payload, {lit(v.EVIDENCE_PATTERN)}), false) AS surgical_truth
+        AND NOT regexp_matches(clinical_payload, {lit('(?i)' + v.NO_EVIDENCE_ALTERNATIVES)})
+        AND regexp_matches(clinical_payload, {lit('(?i)(' + '|'.join(v.EVIDENCE_TERMS) + ')')}), false) AS surgical_truth
     FROM (
       SELECT *, CASE WHEN regexp_matches(digits, '^[0-9]{{14}}$')
           THEN regexp_replace(digits, '^(..)(....)(....)(....)$', '\\1-\\2-\\3-\\4')

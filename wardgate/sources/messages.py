@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgate.functions import text as t
+from wardgate.functions import vocab as v
 
 
 def _nth(fields: Column, i: int) -> Column:
@@ -19,6 +20,19 @@ def _segment(segments: Column, kind: str) -> Column:
     return F.split(F.get(found, F.lit(0)), r"\|")
 
 
+def read_hl7(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id`` (file path), ``body``: one row per message, for files that hold messages only.
+
+    Files are cut at the message header while they are read, so that a file of any size is read by
+    many tasks.  Documents of unknown content go through ``reports.read_documents`` instead.
+    """
+    pieces = spark.read.text(path, lineSep="MSH|")
+    return pieces.filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("doc_id"),
+        F.concat(F.lit("MSH|"), "value").alias("body"),
+    )
+
+
 def hl7_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> DataFrame:
     """One record per message: PID-3 id, PID-5 name, MSH-10 notice, MSH-7 date, MSH-9 as payload.
 
@@ -29,13 +43,15 @@ def hl7_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> Da
     messages = F.filter(
         F.split(F.col(body), r"(?=MSH\|)"), lambda m: F.ltrim(m).startswith("MSH|")
     )
-    exploded = docs.select(
-        stem, F.col(body).alias("_raw"), F.explode_outer(messages).alias("_msg")
-    )
+    # Two steps, so that a document's text does not ride along with each of its messages.
+    found = docs.withColumn("_list", messages)
+    raw_text = F.when(F.size("_list") == 0, F.left(body, F.lit(v.REPORT_PAYLOAD_CHARS)))
+    slim = found.select(stem, raw_text.alias("_raw"), "_list")
+    exploded = slim.select(stem, "_raw", F.explode_outer("_list").alias("_msg"))
     segments = F.split(F.col("_msg"), r"[\r\n]+")
     fields = exploded.select(
         stem,
-        F.when(F.col("_msg").isNull(), F.col("_raw")).alias("_raw"),
+        "_raw",
         F.col("_msg").isNotNull().alias("_is"),
         *[_segment(segments, k).alias(f"_{k.lower()}") for k in ("MSH", "PID", "PV1")],
     )
@@ -48,7 +64,7 @@ def hl7_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> Da
     kind = F.to_json(
         F.struct(_nth(F.col("_msh"), 8).alias("message_type")), {"ignoreNullFields": "false"}
     )
-    raw = F.to_json(F.struct(F.left("_raw", F.lit(2000)).alias("raw_message")))
+    raw = F.to_json(F.struct(F.col("_raw").alias("raw_message")))
     out = fields.select(
         stem,
         F.when(F.col("_is"), F.nullif(name, F.lit(""))).otherwise("Unknown/Redacted").alias(
@@ -69,9 +85,9 @@ def hl7_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> Da
 
 
 def _iso_day(compact: Column) -> Column:
-    return F.concat_ws(
-        "-", F.substring(compact, 1, 4), F.substring(compact, 5, 2), F.substring(compact, 7, 2)
-    )
+    """First eight digits with hyphens; null stays null."""
+    y, m, d = (F.substring(compact, a, n) for a, n in ((1, 4), (5, 2), (7, 2)))
+    return F.concat(y, F.lit("-"), m, F.lit("-"), d)
 
 
 # Header tags of the imaging dump.
