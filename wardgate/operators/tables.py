@@ -14,30 +14,38 @@ from pyspark.sql.window import Window
 from wardgate.functions import privacy as p
 from wardgate.functions import rules as r
 from wardgate.functions import vocab as v
-from wardgate.workspace import committed_children, delete_path, is_committed
+from wardgate.workspace import (
+    committed_children,
+    delete_path,
+    is_committed,
+    mark_path,
+    path_exists,
+)
 
 # --- rows per key -----------------------------------------------------------------------------
 
 
-def _one_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row per non-null key.  The rank filter runs on each map side before the shuffle, so a
-    key with very many rows reaches its reducer as one row per task."""
-    w = Window.partitionBy(key).orderBy(*(order or [F.lit(0)]))
+def _one_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """One row per key.  The rank filter runs on each map side before the shuffle, so a key with
+    very many rows reaches its reducer as one row per task."""
+    w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)]))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def keep_last(df: DataFrame, key: str, *arrival: str) -> DataFrame:
     """The last arrival of every key; any one of them when no arrival order is named.
 
-    Rows without a key are all kept: null equals nothing.
+    Rows without a key are all kept, for null equals nothing: each gets a number of its own, which
+    also spreads them over the reducers.
     """
-    keyed = _one_per_key(df.filter(F.col(key).isNotNull()), key, *[F.desc(a) for a in arrival])
-    return keyed.unionByName(df.filter(F.col(key).isNull()))
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    numbered = df.withColumn("_own", own)
+    return _one_per_key(numbered, [key, "_own"], *[F.desc(a) for a in arrival]).drop("_own")
 
 
 def keep_first(df: DataFrame, key: str, *arrival: str) -> DataFrame:
     """The first arrival of every key; rows without a key never match a lookup and are left out."""
-    return _one_per_key(df.filter(F.col(key).isNotNull()), key, *[F.asc(a) for a in arrival])
+    return _one_per_key(df.filter(F.col(key).isNotNull()), [key], *[F.asc(a) for a in arrival])
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str, *arrival: str) -> DataFrame:
@@ -108,57 +116,63 @@ class KeyedTable:
     ``rewrite`` folds the batches into a new base under a change (a delete, a compaction).  A
     directory counts once Spark has put its success marker there, so a lost driver leaves either
     the old state or the new one.  One writer at a time.
+
+    Layout: ``base/upto=<n>__<name>`` holds every batch up to n, ``batches/commit=<n>__<name>`` one
+    batch each, ``applied/<name>`` marks named batches that were folded.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str):
         self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
 
-    # layout: <root>/base/upto=<n>  holds every batch up to n;  <root>/batches/commit=<n>__<name>
+    def _folders(self, kind: str) -> dict[int, str]:
+        found = committed_children(self.spark, f"{self.root}/{kind}")
+        return {int(re.search(r"=(\d+)__", x).group(1)): f"{self.root}/{kind}/{x}" for x in found}
 
-    def _bases(self) -> dict[int, str]:
-        found = committed_children(self.spark, f"{self.root}/base")
-        return {int(x.split("=")[1]): f"{self.root}/base/{x}" for x in found}
+    def _state(self) -> tuple[dict[int, str], dict[int, str]]:
+        """Bases, and the batches that came after the latest one."""
+        bases = self._folders("base")
+        newest = max(bases, default=-1)
+        return bases, {n: x for n, x in self._folders("batches").items() if n > newest}
 
-    def _batches(self) -> dict[int, str]:
-        found = committed_children(self.spark, f"{self.root}/batches")
-        return {
-            int(re.search(r"commit=(\d+)", x).group(1)): f"{self.root}/batches/{x}" for x in found
-        }
-
-    def _state(self) -> tuple[int, str | None, list[str]]:
-        bases, batches = self._bases(), self._batches()
-        upto = max(bases, default=-1)
-        return upto, bases.get(upto), [batches[n] for n in sorted(batches) if n > upto]
+    def has_applied(self, name: str) -> bool:
+        bases, batches = self._state()
+        if any(x.endswith(f"__{name}") for x in (*bases.values(), *batches.values())):
+            return True
+        return path_exists(self.spark, f"{self.root}/applied/{name}")
 
     def upsert(self, batch: DataFrame, *arrival: str, name: str | None = None) -> None:
-        """Add a batch.  A named batch that is already in is not added again."""
-        bases, batches = self._bases(), self._batches()
-        if name is not None and any(x.endswith(f"__{name}") for x in batches.values()):
+        """Add a batch; the first one becomes the base.  A named batch is added once only."""
+        if name is not None and self.has_applied(name):
             return
+        bases, batches = self._state()
         n = max([*bases, *batches], default=-1) + 1
-        path = f"{self.root}/batches/commit={n:012d}__{name or 'batch'}"
+        kind = "batches/commit" if bases else "base/upto"
+        path = f"{self.root}/{kind}={n:012d}__{name or 'batch'}"
         latest = keep_last(batch, self.key, *arrival)
         latest.select(*self.schema.names).write.mode("overwrite").parquet(path)
 
     def current(self) -> DataFrame:
-        _, base, batches = self._state()
+        bases, batches = self._state()
         read = self.spark.read.schema(self.schema)
-        table = read.parquet(base) if base else self.spark.createDataFrame([], self.schema)
+        if not bases:
+            return self.spark.createDataFrame([], self.schema)
+        table = read.parquet(bases[max(bases)])
         if not batches:
             return table
         commit = F.regexp_extract(F.col("_metadata.file_path"), r"commit(?:=|%3D)(\d+)", 1)
-        changes = read.parquet(*batches).withColumn("_commit", commit)
+        changes = read.parquet(*batches.values()).withColumn("_commit", commit)
         return upsert(table, changes, self.key, "_commit")
 
     def rewrite(self, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
         """New base from the current rows; older bases and folded batches are then removed."""
-        upto, base, batches = self._state()
-        n = max([*self._bases(), *self._batches()], default=-1) + 1
-        path = f"{self.root}/base/upto={n:012d}"
+        bases, batches = self._state()
+        n = max([*bases, *batches], default=-1) + 1
+        path = f"{self.root}/base/upto={n:012d}__rewrite"
         change(self.current()).select(*self.schema.names).write.mode("overwrite").parquet(path)
         if not is_committed(self.spark, path):
             raise RuntimeError(f"{path} was not committed")
-        for old in [x for k, x in self._bases().items() if k < n] + list(self._batches().values()):
+        for old in (*bases.values(), *self._folders("batches").values()):
+            mark_path(self.spark, f"{self.root}/applied/{old.rsplit('__', 1)[1]}")
             delete_path(self.spark, old)
 
     def delete_where(self, condition: Column) -> None:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardgate.workspace import new_folder
+
 TABLES = ("orders", "customer", "part")
 
 
@@ -224,9 +226,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+_landed: dict[tuple[str, str, str], str] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = with_fixtures(name) + f"SELECT * FROM {name}"
-    for t in TABLES:
-        if f"FROM {t}" in text:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(text)
+    """A derived input, landed once per application as Parquet in the shared folder.
+
+    Queries then start from a scan, as they would on a landed intake, with the columns pruned to
+    what they use.  The landed table is written from the whole given tables.
+    """
+    if name == "intake":
+        return fixture(spark, sf_dir, "base").select(*[x.strip() for x in FIELDS.split(",")])
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _landed:
+        for t in TABLES:
+            if f"FROM {t}" in SQL[name]:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        for t in NEEDS[name]:
+            fixture(spark, sf_dir, t).createOrReplaceTempView(t)
+        folder = new_folder(spark, f"fixture-{name}")
+        spark.sql(SQL[name]).write.parquet(folder)
+        _landed[key] = folder
+    return spark.read.parquet(_landed[key])

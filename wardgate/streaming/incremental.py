@@ -34,11 +34,17 @@ def intake_stream(
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arrivals = reader.json(landing).withColumn("_file", F.col("_metadata.file_path"))
+    arrivals = reader.json(landing).withColumns(
+        {
+            "_landed": F.col("_metadata.file_modification_time"),
+            "_file": F.col("_metadata.file_path"),
+        }
+    )
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
         gated = apply_gate(naming.canonical_rename(batch))
-        table.upsert(to_stored(gated, as_of, "_file"), "_file", name=f"{name}-{batch_id}")
+        rows = to_stored(gated, as_of, "_landed", "_file")
+        table.upsert(rows, "_landed", "_file", name=f"{name}-{batch_id}")
         events = audit_events(
             batch.agg(F.count("*").alias("n")),
             as_of,

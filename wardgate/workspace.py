@@ -50,6 +50,17 @@ def committed_children(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if is_committed(spark, f"{path}/{n}"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def mark_path(spark: SparkSession, path: str) -> None:
+    """An empty folder whose presence is the message."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
