@@ -78,9 +78,9 @@ def notice_is_legacy(notice_id: Column) -> Column:
 # --- evidence ---------------------------------------------------------------------------------
 
 
-def names_clinical_term(payload: Column) -> Column:
-    """Substring tests cost a fraction of one alternation pattern and stop at the first hit."""
-    lower = F.lower(payload)
+def names_clinical_term(lower: Column) -> Column:
+    """Does lower-case text name a term?  Substring tests cost a fraction of one alternation
+    pattern and stop at the first hit."""
     found = [F.contains(lower, F.lit(term)) for term in v.EVIDENCE_TERMS]
     return reduce(lambda a, b: a | b, found)
 
@@ -90,11 +90,14 @@ def denies_evidence(payload: Column) -> Column:
     return payload.rlike(f"(?i)(?=[{v.NO_EVIDENCE_INITIALS}]){v.NO_EVIDENCE_ALTERNATIVES}")
 
 
-def has_clinical_evidence(payload: Column) -> Column:
-    """Long enough, not denied by a phrase, and naming at least one clinical term."""
+def has_clinical_evidence(payload: Column, lower: Column | None = None) -> Column:
+    """Long enough, not denied by a phrase, and naming at least one clinical term.
+
+    ``lower`` is the payload in lower case, where an earlier projection has it.
+    """
     return is_true(
         (F.length(payload) >= v.MIN_EVIDENCE_CHARS)
-        & names_clinical_term(payload)
+        & names_clinical_term(F.lower(payload) if lower is None else lower)
         & ~denies_evidence(payload)
     )
 

@@ -19,7 +19,7 @@ from wardgate.functions import vocab as v
 def apply_gate(df: DataFrame) -> DataFrame:
     """Current policy: identifier, consent, and clinical evidence behind high bills.
 
-    Two stages: first the flags, whose patterns are then evaluated once per row, then what follows
+    In stages: first the flags, whose tests are then evaluated once per row, then what follows
     from them.  Status and reason do not refer to each other, so a filter on either one that is
     pushed below the projection repeats as little as possible.
     """
@@ -29,9 +29,10 @@ def apply_gate(df: DataFrame) -> DataFrame:
     )
     flags = {
         "abha_valid": r.id_is_valid(F.col("abha_id")),
-        "surgical_truth": r.has_clinical_evidence(F.col("clinical_payload")),
+        "surgical_truth": r.has_clinical_evidence(F.col("clinical_payload"), F.col("_lower")),
     }
-    return df.withColumns(flags).withColumns(
+    staged = df.withColumn("_lower", F.lower("clinical_payload")).withColumns(flags).drop("_lower")
+    return staged.withColumns(
         {
             "abha_id": r.normalized_id(F.col("abha_id"), valid),
             "status_reason": F.when(unproven, "PENDING_CLINICAL_AUDIT")

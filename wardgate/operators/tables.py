@@ -55,7 +55,7 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, *arrival: str) -> Data
     is merged by key.
     """
     latest = keep_last(batch, key, *arrival).drop(*arrival)
-    kept = target.join(latest.select(key), key, "left_anti")
+    kept = target.join(batch.select(key), key, "left_anti")
     return kept.unionByName(latest)
 
 
