@@ -20,7 +20,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     rows = df[sorted(df.columns)].astype(object)
-    texts = rows.map(lambda x: "<null>" if x is None or x is pd.NaT or x != x else str(x))
+    texts = rows.map(lambda x: "<null>" if pd.isna(x) else str(x))
     return sorted(map(tuple, texts.values.tolist()))
 
 

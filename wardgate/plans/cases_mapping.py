@@ -520,15 +520,17 @@ def l2(spark, sf):
 @query(
     "U1_concat_batches",
     with_fixtures("intake", "registry")
-    + """SELECT patient_name, abha_id, consent_status, notice_id, bill_amount, CAST(NULL AS BIGINT)
+    + """SELECT patient_name, abha_id, consent_status, notice_id, bill_amount, CAST(NULL AS STRING)
         AS reg_seq FROM intake
-        UNION ALL SELECT patient_name, abha_id, consent_status, NULL, NULL, reg_seq FROM registry""",
+        UNION ALL SELECT patient_name, abha_id, consent_status, NULL, NULL, CAST(reg_seq AS STRING)
+        FROM registry""",
 )
 def u1(spark, sf):
     one = fixture(spark, sf, "intake").select(
         "patient_name", "abha_id", "consent_status", "notice_id", "bill_amount"
     )
-    return one.unionByName(fixture(spark, sf, "registry"), allowMissingColumns=True)
+    two = fixture(spark, sf, "registry").withColumn("reg_seq", c("reg_seq").cast("string"))
+    return one.unionByName(two, allowMissingColumns=True)
 
 
 # --- G: generation ----------------------------------------------------------------------------
