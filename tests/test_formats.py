@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardgate.operators.aliases import standardize
 from wardgate.sinks import fhir_export, render
-from wardgate.sources import api, fhir, files, landing, messages, reports
+from wardgate.sources import api, fhir, files, intake, landing, messages, reports
 from wardgate.workspace import new_folder
 
 AS_OF = datetime(2026, 7, 1, 12, 34, 56)
@@ -162,3 +162,23 @@ def test_transaction_bundle_is_json(spark):
     assert patient["name"][0]["text"] == 'Asha "A"'
     assert condition["subject"]["reference"] == f"urn:uuid:{patient['id']}"
     assert condition["code"]["coding"][0]["code"] == "37796009"
+
+
+def test_landing_of_mixed_formats(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.CSV").write_text('patient_name,Notice_ID,BILL_AMOUNT\nA,n1,7\n')
+    (tmp_path / "sub" / "b.json").write_text('{"patients": [\n {"patient_name": "B",\n "notice_id": "n2"}]}')
+    (tmp_path / "c.xml").write_text("<all><row><patient_name>C</patient_name><abha_id>None</abha_id></row></all>")
+    (tmp_path / "d.txt").write_text("Patient Name: D\nBill Amount: 3.5\n" + "=" * 20)
+    (tmp_path / "e.hl7").write_text("MSH|^~\\&|H|H|A|H|20260615||ADT|n5|P|2.5\nPID|1||id5||E^F\n")
+    (tmp_path / "f.fhir").write_text('{"resourceType": "Patient", "id": "n6", "name": [{"family": "F"}]}')
+    (tmp_path / "g.dcm").write_text("(0010,0010) Patient Name: G\n---\n")
+    (tmp_path / "h.xlsx").write_text("x")
+    (tmp_path / "i.bin").write_text("x")
+    got = {x["patient_name"]: x for x in intake.read_landing(spark, f"file://{tmp_path}").collect()}
+    assert {k: x["format"] for k, x in got.items()} == {
+        "A": "CSV", "B": "JSON", "C": "XML", "D": "TXT", "E F": "HL7", "F": "FHIR", "G": "DCM",
+    }
+    assert (got["A"]["bill_amount"], got["D"]["bill_amount"], got["C"]["abha_id"]) == (7.0, 3.5, None)
+    with pytest.raises(ValueError):
+        intake.read_landing(spark, f"file://{tmp_path}", skip_unread=False)

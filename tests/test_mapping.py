@@ -148,3 +148,12 @@ def test_gaps(spark):
         ("s1", "abha_id"): "my_abha_id_x", ("s1", "notice_id"): None,
         ("s2", "patient_name"): None, ("s2", "notice_id"): None,
     }
+
+
+def test_purpose_is_only_known_by_its_display_name(spark):
+    low = spark.createDataFrame([("x", "Audit")], "pt_name string, data_purpose string")
+    display = spark.createDataFrame([("x", "Audit")], "pt_name string, Data_Purpose string")
+    assert al.standardize(low).first()["data_purpose"] is None
+    assert al.standardize(display).first()["data_purpose"] == "Audit"
+    assert al.standardize(low, overrides={"data_purpose": "data_purpose"}).first()["data_purpose"] == "Audit"
+    assert "UNMAPPED_data_purpose" in al.standardize(low, unknown="keep").columns

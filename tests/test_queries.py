@@ -9,6 +9,15 @@ import __spark_entry__ as se
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("orders", "customer", "part", "documents")
 
+# No Python in a plan, and no join without a key.
+NOT_IN_A_PLAN = (
+    "BatchEvalPython",
+    "ArrowEvalPython",
+    "MapInPandas",
+    "CartesianProduct",
+    "BroadcastNestedLoopJoin",
+)
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -34,7 +43,10 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(se.queries()))
 def test_query_equals_twin(spark, duck, name):
-    got = se.queries()[name](spark, SF_DIR).toPandas()
+    query = se.queries()[name](spark, SF_DIR)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in NOT_IN_A_PLAN if x in plan]
+    got = query.toPandas()
     want = duck.execute(se.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)

@@ -58,7 +58,7 @@ def test_id_v1(spark):
     ],
 )
 def test_evidence(spark, payload, expected):
-    assert values(spark, r.has_clinical_evidence, payload) == [expected]
+    assert values(spark, lambda x: r.has_clinical_evidence("x"), payload) == [expected]
 
 
 def gated(spark, **fields):

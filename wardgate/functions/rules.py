@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,11 +77,10 @@ def notice_is_legacy(notice_id: Column) -> Column:
 # --- evidence ---------------------------------------------------------------------------------
 
 
-def names_clinical_term(lower: Column) -> Column:
-    """Does lower-case text name a term?  Substring tests cost a fraction of one alternation
-    pattern and stop at the first hit."""
-    found = [F.contains(lower, F.lit(term)) for term in v.EVIDENCE_TERMS]
-    return reduce(lambda a, b: a | b, found)
+def names_clinical_term(lower: str) -> Column:
+    """Does a lower-case text expression name a term?  Substring tests cost a fraction of one
+    alternation pattern and stop at the first hit."""
+    return F.expr(" OR ".join(f"contains({lower}, '{term}')" for term in v.EVIDENCE_TERMS))
 
 
 def denies_evidence(payload: Column) -> Column:
@@ -90,15 +88,16 @@ def denies_evidence(payload: Column) -> Column:
     return payload.rlike(f"(?i)(?=[{v.NO_EVIDENCE_INITIALS}]){v.NO_EVIDENCE_ALTERNATIVES}")
 
 
-def has_clinical_evidence(payload: Column, lower: Column | None = None) -> Column:
+def has_clinical_evidence(payload: str, lower: str | None = None) -> Column:
     """Long enough, not denied by a phrase, and naming at least one clinical term.
 
-    ``lower`` is the payload in lower case, where an earlier projection has it.
+    ``payload`` names a column, and ``lower`` the same text in lower case where an earlier
+    projection has it.
     """
     return is_true(
         (F.length(payload) >= v.MIN_EVIDENCE_CHARS)
-        & names_clinical_term(F.lower(payload) if lower is None else lower)
-        & ~denies_evidence(payload)
+        & names_clinical_term(lower or f"lower({payload})")
+        & ~denies_evidence(F.col(payload))
     )
 
 

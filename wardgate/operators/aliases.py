@@ -319,7 +319,9 @@ def standardize(
     plan: dict[str, str] = {}
     for c in df.columns:
         field = overrides.get(c) or resolve_name(c)
-        if field.lower() in v.ADAPTER_FIELDS:
+        # The purpose has no alias: only its display name is recognised.
+        known = field in v.ADAPTER_FIELDS[:-1] or field == v.CANONICAL["data_purpose"]
+        if known or c in overrides:
             plan[field.lower()] = c
         elif unknown == "keep":
             plan[f"UNMAPPED_{c}"] = c

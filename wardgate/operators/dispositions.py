@@ -29,7 +29,7 @@ def apply_gate(df: DataFrame) -> DataFrame:
     )
     flags = {
         "abha_valid": r.id_is_valid(F.col("abha_id")),
-        "surgical_truth": r.has_clinical_evidence(F.col("clinical_payload"), F.col("_lower")),
+        "surgical_truth": r.has_clinical_evidence("clinical_payload", "_lower"),
     }
     staged = df.withColumn("_lower", F.lower("clinical_payload")).withColumns(flags).drop("_lower")
     return staged.withColumns(

@@ -49,9 +49,10 @@ def resolve_identity(
         reg_consent = F.when(reg_hit, F.col("_reg_consent")).otherwise(F.col("consent_status"))
 
     if links is not None:
-        todo = todo.join(
-            links.select("patient_name", F.col("abha_id").alias("_link_id")), "patient_name", "left"
+        one = keep_first(links, "patient_name", "abha_id").select(
+            "patient_name", F.col("abha_id").alias("_link_id")
         )
+        todo = todo.join(one, "patient_name", "left")
         other_id = F.coalesce("_link_id", "abha_id")
         other_tag = F.when(F.col("_link_id").isNotNull(), "LINKED_BY_GATEWAY")
     else:

@@ -189,7 +189,9 @@ class KeyedTable:
 # --- corrections ------------------------------------------------------------------------------
 
 
-def changed_rows(desk: DataFrame, edits: DataFrame, columns: list[str], key: str = "notice_id") -> DataFrame:
+def changed_rows(
+    desk: DataFrame, edits: DataFrame, columns: list[str], key: str = "notice_id"
+) -> DataFrame:
     """Edits of a desk's rows that differ from what is stored in any of ``columns``."""
     old = desk.select(key, *[F.col(c).alias(f"_old_{c}") for c in columns])
     differs = F.lit(False)
@@ -198,9 +200,19 @@ def changed_rows(desk: DataFrame, edits: DataFrame, columns: list[str], key: str
     return edits.join(old, key).filter(differs)
 
 
-def apply_corrections(table: DataFrame, corrections: DataFrame, columns: list[str], key: str = "notice_id") -> DataFrame:
-    """Stored rows with the corrected columns replaced where a correction is given."""
-    new = corrections.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+def apply_corrections(
+    table: DataFrame,
+    corrections: DataFrame,
+    columns: list[str],
+    key: str = "notice_id",
+    arrival: tuple[str, ...] = (),
+) -> DataFrame:
+    """Stored rows with the corrected columns replaced where a correction is given.
+
+    Of several corrections of one row the last arrival counts, so no row is multiplied.
+    """
+    last = keep_last(corrections, key, *arrival)
+    new = last.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     return table.join(new, key, "left").select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns]
     )

@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from wardgate.plans import (  # noqa: F401
+    cases_flows,
     cases_formats,
     cases_mapping,
     cases_metrics,

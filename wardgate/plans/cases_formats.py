@@ -18,7 +18,7 @@ from wardgate.plans import sql_rules as q
 from wardgate.plans.fixtures import fixture, with_fixtures
 from wardgate.plans.registry import AS_OF, query
 from wardgate.sinks import fhir_export, render
-from wardgate.sources import api, fhir, files, landing, messages, reports
+from wardgate.sources import api, fhir, files, intake, landing, messages, reports
 from wardgate.workspace import new_folder
 
 c = F.col
@@ -283,6 +283,30 @@ def s12(spark, sf):
     return landing.classify(fixture(spark, sf, "manifest"))
 
 
+@query(
+    "S12_format_dispatch",
+    with_fixtures("base")
+    + """SELECT CASE k % 4 WHEN 0 THEN 'CSV' WHEN 1 THEN 'JSON' WHEN 2 THEN 'XML' ELSE 'TXT' END AS format,
+        patient_name, CASE WHEN k % 4 = 3 THEN coalesce(abha_id, 'None') ELSE abha_id END AS abha_id,
+        CASE WHEN k % 4 = 3 THEN coalesce(clinical_payload, 'None') ELSE clinical_payload END
+            AS clinical_payload, bill_amount,
+        CASE WHEN k % 4 = 3 THEN coalesce(consent_status, 'None') ELSE consent_status END
+            AS consent_status, notice_id, CASE WHEN k % 4 <> 3 THEN notice_date END AS notice_date,
+        CASE WHEN k % 4 <> 3 THEN data_purpose END AS data_purpose FROM base""",
+)
+def s12_dispatch(spark, sf):
+    """The intake landed in four formats in one folder, and taken in by extension."""
+    base = fixture(spark, sf, "base")
+    root = new_folder(spark, "s12")
+    kind = c("k") % 4
+    render.write_csv(base.filter(kind == 0).select(*v.CANONICAL), f"{root}/a")
+    render.write_json(base.filter(kind == 1), f"{root}/b")
+    render.write_xml(base.filter(kind == 2), f"{root}/c")
+    text = render.documents(base.filter(kind == 3), _chunk(20), "k", render.labelled_text())
+    render.write_text(text, f"{root}/d")
+    return intake.read_landing(spark, root, json_lines=True)
+
+
 PEEKED = {
     "Pt_Name": "patient_name",
     "ABHA Number": "abha_id",

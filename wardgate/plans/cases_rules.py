@@ -74,7 +74,7 @@ def v4(spark, sf):
 @query("V5_clinical_evidence", GATED + "SELECT notice_id, surgical_truth FROM gated")
 def v5(spark, sf):
     return fixture(spark, sf, "intake").select(
-        "notice_id", r.has_clinical_evidence(c("clinical_payload")).alias("surgical_truth")
+        "notice_id", r.has_clinical_evidence("clinical_payload").alias("surgical_truth")
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardgate.workspace import new_folder
+from wardgate.workspace import is_committed, new_folder
 
 TABLES = ("orders", "customer", "part")
 
@@ -238,7 +238,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "intake":
         return fixture(spark, sf_dir, "base").select(*[x.strip() for x in FIELDS.split(",")])
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _landed:
+    if key not in _landed or not is_committed(spark, _landed[key]):
         for t in TABLES:
             if f"FROM {t}" in SQL[name]:
                 table(spark, sf_dir, t).createOrReplaceTempView(t)

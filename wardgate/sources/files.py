@@ -20,9 +20,10 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
-    """CSV with a header; quotes inside quoted fields are doubled, as JSON payloads need."""
+    """CSV with a header that must match the schema; quotes inside quoted fields are doubled, as
+    JSON payloads need."""
     return spark.read.csv(
-        path, schema=schema, header=True, escape='"', multiLine=False, enforceSchema=True
+        path, schema=schema, header=True, escape='"', multiLine=False, enforceSchema=False
     )
 
 
@@ -72,10 +73,15 @@ def json_records(
 
 
 def read_xml(
-    spark: SparkSession, path: str, row_tag: str = "patient", schema: T.StructType = RECORD
+    spark: SparkSession,
+    path: str,
+    row_tag: str = "patient",
+    schema: T.StructType = RECORD,
+    **options: str,
 ) -> DataFrame:
     """One row per ``row_tag`` element.  Types are given, never inferred."""
-    return spark.read.format("xml").schema(schema).option("rowTag", row_tag).load(path)
+    reader = spark.read.format("xml").schema(schema).options(rowTag=row_tag, **options)
+    return reader.load(path)
 
 
 def read_xml_any_tag(
@@ -83,11 +89,12 @@ def read_xml_any_tag(
     path: str,
     tags: Iterable[str] = v.XML_RECORD_TAGS,
     schema: T.StructType = RECORD,
+    **options: str,
 ) -> DataFrame:
     """As :func:`read_xml`, by the first record tag that occurs in the files."""
     last = None
     for tag in tags:
-        last = read_xml(spark, path, tag, schema)
+        last = read_xml(spark, path, tag, schema, **options)
         if not last.isEmpty():
             break
     return last
