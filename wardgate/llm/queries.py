@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
+from wardgate.llm import lang
+from wardgate.llm.common import ORACLES, QUERIES, crc_part, query, table  # noqa: F401
 from wardgate.llm.pieces import piece_digests
+from wardgate.llm.simhash import near_duplicates
 
 
 @query("op3_sentencepiece")
@@ -15,3 +17,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     digests = piece_digests(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
     return table(spark, sf_dir, "documents").select("doc_id", digests.alias("d")).select("doc_id", "d.*")
+
+
+@query("op2_simhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two of three folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang.fit(docs.where(crc_part("doc_id", 3) != 1))
+    return docs.select(
+        "doc_id",
+        (crc_part("doc_id", 3) == 1).alias("held_out"),
+        lang.predicted(docs, "text", model).alias("p"),
+    ).select("doc_id", "held_out", "p.*")
