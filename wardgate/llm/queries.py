@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardgate.llm import lang
 from wardgate.llm.common import ORACLES, QUERIES, crc_part, query, table  # noqa: F401
+from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
 from wardgate.llm.simhash import near_duplicates
 
@@ -35,3 +36,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (crc_part("doc_id", 3) == 1).alias("held_out"),
         lang.predicted(docs, "text", model).alias("p"),
     ).select("doc_id", "held_out", "p.*")
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
