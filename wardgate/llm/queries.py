@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import lang
+from wardgate.llm import hmm, lang
 from wardgate.llm.common import ORACLES, QUERIES, crc_part, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
@@ -42,3 +42,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2,048 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_language_model")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, learned from nine of ten folds."""
+    fold = crc_part("doc_id", 10)
+    return hmm.score(table(spark, sf_dir, "documents"), train_where=fold != 0, held_where=fold == 0)
