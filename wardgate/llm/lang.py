@@ -160,6 +160,6 @@ def predicted(docs: DataFrame, text: str, model: Model) -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             names, scores = scored(b, held.value)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
 
     return predict(F.col(text))

@@ -259,8 +259,13 @@ def piece_digests(text: Column, model_file: str) -> Column:
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(model_file)
         for b in batches:
+            n, ids, decoded = zip(*map(c.digests, b), strict=True) if len(b) else ((), (), ())
             yield pd.DataFrame(
-                [c.digests(t) for t in b], columns=["n_tokens", "ids_sha256", "decoded_sha256"]
-            ).astype({"n_tokens": "int64"})
+                {
+                    "n_tokens": pd.Series(n, dtype="int64"),
+                    "ids_sha256": pd.Series(ids, dtype=object),
+                    "decoded_sha256": pd.Series(decoded, dtype=object),
+                }
+            )
 
     return both(text)

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import hmm, lang
-from wardgate.llm.common import ORACLES, QUERIES, crc_part, query, table  # noqa: F401
+from wardgate.llm import hmm, lang, toxicity
+from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
 from wardgate.llm.simhash import near_duplicates
@@ -49,3 +49,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document, learned from nine of ten folds."""
     fold = crc_part("doc_id", 10)
     return hmm.score(table(spark, sf_dir, "documents"), train_where=fold != 0, held_where=fold == 0)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two of three folds."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    training = crc_part("doc_id", 3) != 1
+    known = labels.where(training).select("doc_id", F.col("toxic").cast("int")).where("toxic in (0, 1)")
+    learned = toxicity.learned_lexicon(docs, known, "doc_id", "text")
+    rows = landed(docs.select("doc_id", toxicity.featured(docs, "text", learned).alias("f")), "features")
+    model = toxicity.fitted(rows, known, learned)
+    out = toxicity.scored(rows, model, "f")
+    return out.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
