@@ -38,7 +38,7 @@ STEP = 0.2  # greatest share of a length that one filling covers at a time
 SHARPNESS = 8.0
 SALTS = 256
 ROWS_PER_SALT = 1_000_000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 LONGEST_WORD_KEPT = 48
 TEXTS_AT_A_TIME = 256
 
