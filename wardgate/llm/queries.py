@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import hmm, lang, toxicity
+from wardgate.llm import hmm, lang, topk, toxicity
 from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
@@ -62,3 +62,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fitted(rows, known, learned)
     out = toxicity.scored(rows, model, "f")
     return out.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op9_topk")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for each vector whose id is divisible by 100."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
