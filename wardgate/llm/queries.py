@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import hmm, lang, topk, toxicity
-from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, query, table  # noqa: F401
+from wardgate.llm import hmm, lang, rollup, topk, toxicity
+from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, new_folder, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
 from wardgate.llm.simhash import near_duplicates
@@ -68,3 +68,47 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for each vector whose id is divisible by 100."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query(
+    "op8_token_counts",
+    r"""
+    WITH kept AS (
+        SELECT source, lang, coalesce(text, '') AS t FROM documents
+        WHERE doc_id IS NOT NULL
+        QUALIFY text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY text)
+    )
+    SELECT source, lang, 'words' AS version, count(*) AS n_docs, CAST(sum(
+        len(regexp_extract_all(t, '[^\x20\x09-\x0D]*\pL[^\x20\x09-\x0D]*'))) AS BIGINT) AS n_tokens
+    FROM kept GROUP BY ALL
+    UNION ALL
+    SELECT source, lang, 'marks', count(*), CAST(sum(
+        len(regexp_extract_all(t, '\pL+|\pN+|[^\pL\pN\x20\x09-\x0D]'))) AS BIGINT)
+    FROM kept GROUP BY ALL
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after inserts under two tokenizers, revised counts, deletion of repeats, and replays of all batches."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    counted = landed(
+        docs.select(
+            "doc_id", "source", "lang",
+            rollup.matches(text, rollup.WORDS).alias("words"),
+            rollup.matches(text, rollup.LETTER_WORDS).alias("letter_words"),
+            rollup.matches(text, rollup.MARKS).alias("marks"),
+        ),
+        "token-counts",
+    )
+    gone = landed(rollup.repeats(docs), "repeats")
+    batches = {
+        "1-load": rollup.changes(counted, "insert", "words", F.col("words")).union(
+            rollup.changes(counted, "insert", "marks", F.col("marks"))
+        ),
+        "2-revised": rollup.changes(counted, "revise", "words", F.col("letter_words")),
+        "3-repeats": rollup.changes(gone, "delete", "words").union(rollup.changes(gone, "delete", "marks")),
+    }
+    kept = rollup.TokenRollup(spark, new_folder(spark, "rollup"))
+    for name in (*batches, "2-revised", "1-load"):  # replays do nothing
+        kept.commit(name, batches[name])
+    return kept.totals()
