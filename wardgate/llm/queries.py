@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import hmm, lang, rollup, topk, toxicity
+from wardgate.llm import hmm, lang, rollup, substrings, topk, toxicity
 from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, new_folder, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
@@ -112,3 +112,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in (*batches, "2-revised", "1-load"):  # replays do nothing
         kept.commit(name, batches[name])
     return kept.totals()
+
+
+@query("op6_substrings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
