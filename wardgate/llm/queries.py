@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import hmm, lang, rollup, substrings, topk, toxicity
+from wardgate.llm import hmm, lang, rollup, substrings, topk, toxicity, vectors
 from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, new_folder, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
@@ -118,3 +118,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 400-byte strings."""
     return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op7_embeddings")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors within their labels."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
