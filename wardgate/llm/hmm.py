@@ -4,8 +4,8 @@ Counting: every training token is counted, per partition and then over all; the
 distributed.  The ``FREQUENT`` commonest words are symbols of the model; every other word belongs to one of
 ``CLASSES`` classes by its last two bytes, and within a class has the share (c + 0.1) / (C + 0.1 (V + 1)) of its
 count among the class's C tokens and V words, with one place for unseen words.  The probability of a text is
-thus that of its symbols times these shares, and sums to one over all texts.  Shares and counts of the ``LOOKUP``
-commonest words are broadcast; those of all rarer words come from a join with the whole table.
+thus that of its symbols times these shares, and sums to one over all texts.  Shares and counts of the commonest
+words, at most ``LOOKUP``, are broadcast; those of all rarer words come from a join with the whole table.
 
 Training: Baum-Welch over the symbols of all training texts.  Each partition adds up its expected counts, Spark
 adds up the partitions, and the driver gets one row per symbol, transition and state.  States start from
@@ -74,7 +74,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 class Lexicon:
     """What every task knows of the words."""
 
-    index: dict[bytes, int]  # of the LOOKUP commonest words; the end is the last entry of the arrays
+    index: dict[bytes, int]  # of the commonest words; the end is the last entry of the arrays
     counts: np.ndarray
     symbols: np.ndarray
     class_mass: np.ndarray  # C + 0.1 (V + 1) of each class
@@ -106,9 +106,19 @@ class Lexicon:
 def lexicon(counts: DataFrame, n_texts: int) -> Lexicon:
     """``counts`` has (word, c); each training text adds one end."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).toPandas()
-    words = [bytes(w) for w in top["word"]]
-    c = top["c"].to_numpy(np.int64)
+    # The counts fall into a bounded number of steps; the driver gets the words of the highest steps that fit.
+    step = F.floor(F.log2("c") * 64).cast("int")
+    steps = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    room, lowest = LOOKUP, None
+    for at, n in steps:
+        room -= n
+        if room < 0:
+            break
+        lowest = at
+    top = counts.where(F.lit(False) if lowest is None else step >= lowest).collect()
+    top = sorted(((-r.c, bytes(r.word)) for r in top))
+    words = [w for _, w in top]
+    c = np.array([-n for n, _ in top], np.int64)
     symbols = np.arange(len(words))
     symbols[FREQUENT:] = [FREQUENT + word_class(w) for w in words[FREQUENT:]]
     tail = (
