@@ -33,7 +33,7 @@ from wardgate.llm.common import landed
 MIN_BYTES = 400
 GRAM = 32
 SLICE = 1 << 21
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 1 << 20
 KASAI_BLOCKS = 4096
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
