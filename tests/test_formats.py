@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from wardgate.operators import sampling
 from wardgate.operators.aliases import standardize
 from wardgate.sinks import fhir_export, render
 from wardgate.sources import api, fhir, files, intake, landing, messages, reports
@@ -40,8 +41,8 @@ def test_text_report_fallbacks(spark):
 
 def test_whole_report_is_searched_and_kept_on_request(spark):
     body = "x" * 5000 + "\nPatient Name: Late Name\n"
-    cut = reports.text_report(docs(spark, body)).first()
-    whole = reports.text_report(docs(spark, body), payload_chars=None).first()
+    cut = reports.text_report(docs(spark, body), payload_chars=2000).first()
+    whole = reports.text_report(docs(spark, body)).first()
     assert cut["patient_name"] == "Late Name"
     assert len(cut["clinical_payload"]) < 2100 < 5000 < len(whole["clinical_payload"])
 
@@ -59,7 +60,7 @@ def test_pdf_summary(spark):
     assert (a["abha_id"], a["clinical_payload"]) == ("12-3456-7890-1234", "stable")
     assert a["patient_name"].startswith("Mrs. Asha Verma")
     assert (b["abha_id"], b["clinical_payload"]) == ("asha@sbx", "plain text, asha@sbx...")
-    assert b["notice_id"] == "N-2026-PDF-123456"
+    assert b["notice_id"].startswith("N-2026-PDF-123456-") and a["notice_id"] != b["notice_id"]
 
 
 def test_hl7_line_breaks_missing_segments_and_raw_text(spark):
@@ -180,5 +181,92 @@ def test_landing_of_mixed_formats(spark, tmp_path):
         "A": "CSV", "B": "JSON", "C": "XML", "D": "TXT", "E F": "HL7", "F": "FHIR", "G": "DCM",
     }
     assert (got["A"]["bill_amount"], got["D"]["bill_amount"], got["C"]["abha_id"]) == (7.0, 3.5, None)
-    with pytest.raises(ValueError):
-        intake.read_landing(spark, f"file://{tmp_path}", skip_unread=False)
+    _, bad = intake.take_in(spark, f"file://{tmp_path}")
+    assert {(x.path.rpartition("/")[2], x.reason) for x in bad.collect()} == {
+        ("h.xlsx", "needs a decoder first"), ("i.bin", "unknown kind of file"),
+    }
+
+
+def landed(spark, tmp_path, files, **how):
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    good, bad = intake.take_in(spark, f"file://{tmp_path}", **how)
+    return (
+        sorted(tuple(x) for x in good.select("patient_name", "abha_id", "notice_id").collect()),
+        sorted((x.path.rpartition("/")[2], x.reason) for x in bad.collect()),
+    )
+
+
+def test_csv_files_keep_their_own_column_order(spark, tmp_path):
+    files = {
+        "a.csv": "patient_name,abha_id,notice_id\nAsha,22-1,N1\n",
+        "b.csv": "notice_id,patient_name,abha_id\nN2,Ravi,22-2\n",
+        "c.csv": 'patient_name,clinical_payload,notice_id\n"Mira","two\nlines, one field",N3\n',
+        "d.csv": "patient_name,abha_id,notice_id\nIla,22-4,N4\nlost,1,2,3,4\n",
+    }
+    good, bad = landed(spark, tmp_path, files)
+    assert good == [("Asha", "22-1", "N1"), ("Ila", "22-4", "N4"), ("Mira", None, "N3"), ("Ravi", "22-2", "N2")]
+    assert bad == [("d.csv", "fields do not match the header")]
+
+
+def test_json_layouts_and_letter_cases(spark, tmp_path):
+    one = lambda n: '{"Patient_Name": "P%d", "ABHA_ID": "i%d", "notice_id": "N%d"}' % (n, n, n)
+    files = {
+        "lines.json": "\n".join(one(i) for i in (1, 2, 3)) + "\n{broken\n",
+        "array.json": "[" + one(4) + "," + one(5) + "]",
+        "pretty.json": "[\n  " + one(6) + ",\n  " + one(7) + "\n]\n",
+        "wrapped.json": '{"records":\n [' + one(8) + "]}",
+        "bad.json": "[\n{\n",
+    }
+    good, bad = landed(spark, tmp_path, files)
+    assert good == [(f"P{i}", f"i{i}", f"N{i}") for i in range(1, 9)]
+    assert bad == [("bad.json", "no JSON record"), ("lines.json", "no JSON record")]
+
+
+def test_json_names_by_alias(spark, tmp_path):
+    files = {"a.json": '{"Pt Name": "A", "health-id": "i", "REFERENCE NO": "n"}'}
+    good, _ = landed(spark, tmp_path, files, name=intake.by_alias)
+    assert good == [("A", "i", "n")]
+
+
+def test_xml_tags_differ_per_file(spark, tmp_path):
+    body = lambda i: f"<Patient_Name>P{i}</Patient_Name><abha_id>i{i}</abha_id><notice_id>N{i}</notice_id>"
+    files = {
+        "a.xml": f"<all><record>{body(1)}</record></all>",
+        "b.xml": f"<all><patient>{body(2)}</patient><patient>{body(3)}</patient></all>",
+        "c.xml": f"<?xml version='1.0'?><all><entry>{body(4)}</entry></all>",
+        "d.xml": "no markup",
+    }
+    good, bad = landed(spark, tmp_path, files)
+    assert good == [(f"P{i}", f"i{i}", f"N{i}") for i in range(1, 5)]
+    assert bad == [("d.xml", "no XML record")]
+
+
+def test_documents_without_records_are_rejects(spark, tmp_path):
+    files = {"a.txt": "just prose", "b.hl7": "no message", "c.txt": "Patient Name: C\nNotice ID: N3\n"}
+    good, bad = landed(spark, tmp_path, files)
+    assert good == [("C", None, "N3")]
+    assert bad == [("a.txt", "no record in the document"), ("b.hl7", "no record in the document")]
+
+
+def test_hl7_is_cut_where_a_line_starts(spark, tmp_path):
+    message = "MSH|^~\\&|H|H|A|H|20260615||ADT|n%d|P|2.5\nPID|1||id%d||E^F\nNTE|1|see MSH|x\n"
+    text = "FHS|^~\\&|H\nBHS|^~\\&|H\n" + message % (1, 1) + message % (2, 2)
+    (tmp_path / "a.hl7").write_text(text)
+    want = [("id1", "n1"), ("id2", "n2")]
+    for docs_ in (messages.read_hl7(spark, str(tmp_path)), reports.read_documents(spark, str(tmp_path))):
+        assert sorted((r.abha_id, r.notice_id) for r in messages.hl7_records(docs_).collect()) == want
+
+
+def test_pdf_summaries_stay_apart(spark):
+    five = spark.createDataFrame([(f"d{i}", "x" * 300) for i in range(5)], "doc_id string, body string")
+    got = reports.pdf_summary(five, datetime(2026, 1, 2, 3, 4, 5)).collect()
+    assert len({r.notice_id for r in got}) == 5 and {len(r.clinical_payload) for r in got} == {303}
+
+
+def test_scenario_marks_with_null_and_repeated_keys(spark):
+    rows = [(None, "i", "A", "2026")] * 10 + [(f"k{i // 3}", "i", "A", "2026") for i in range(300)]
+    df = spark.createDataFrame(rows, "notice_id string, abha_id string, consent_status string, notice_date string")
+    got = sampling.mark_scenarios(df, datetime(2026, 1, 2)).collect()
+    assert all(r.abha_id == "i" and r.consent_status == "A" for r in got if r.notice_id is None)
+    assert sum(r.abha_id is None for r in got) == 45 and sum(r.consent_status == "REVOKED" for r in got) == 30

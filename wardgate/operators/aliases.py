@@ -1,7 +1,7 @@
 """Alias-driven mapping of unknown headers: exact lookup, fuzzy suggestion, batch standardising.
 
-The alias table is generated from stems, not listed.  Its size is fixed by the grammar (below a
-thousand rows) whatever the data, so it is inlined as a literal.
+The alias table is a fixed list of header spellings (below a thousand) whatever the data, so it is inlined as a
+literal.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from functools import cache
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,138 +20,11 @@ from wardgate.functions import vocab as v
 ACCEPT_ABOVE = 0.3
 
 
-# --- grammar ----------------------------------------------------------------------------------
-
-
-def _spellings(phrases: Iterable[str], forms: str) -> list[str]:
-    """Each phrase joined by underscore (u), by space (s) and by nothing (j)."""
-    glue = {"u": "_", "s": " ", "j": ""}
-    return [glue[f].join(p.split()) for p in phrases for f in forms]
-
-
-def _each(*slots: str) -> list[str]:
-    """All phrases taking one choice per slot; choices are separated by commas, ``-`` is empty."""
-    choices = [[c.strip() for c in s.split(",")] for s in slots]
-    return [" ".join(w for w in combo if w != "-") for combo in product(*choices)]
-
-
-# The stems headers are made of.
-PERSONS = "beneficiary, member, insured, subscriber, client, customer"
-MORE_PERSONS = PERSONS + ", person, individual"
-NOTICE_KINDS = "dpdp, privacy, data, compliance, legal, regulatory"
-STAMPS = "date, datetime, timestamp"
-NUMBERS = "id, number, no, code, identifier"
-PERMITS = (
-    "authorization, permission, agreement, approval, verification, confirmation, acknowledgment"
-)
-GIVEN = (
-    "indicator, type, given, provided, obtained, received, acknowledged, confirmed, verified, "
-    "approved, authorized, permission, agreement"
-)
-
-
 @cache
 def alias_rows() -> tuple[tuple[str, str, int], ...]:
-    """(alias, canonical field, order); the first field to claim an alias keeps it."""
-    words = _spellings
-    grammar: list[tuple[str, list[str]]] = [
-        ("patient_name", words(["patient name", "full name"], "usj")),
-        ("patient_name", ["name", "patient"]),
-        ("patient_name", words(["pt name"], "us")),
-        ("patient_name", words(["p name", "first name", "last name"], "uj")),
-        (
-            "patient_name",
-            words(
-                _each("patient, pt", "full name")
-                + _each("patient, -", "complete name")
-                + ["patient name full", "patient name complete", "name full", "name of patient"]
-                + ["patient name first last", "patient first last", "first name last name"]
-                + ["patient fullname", "patient firstname", "patient lastname"]
-                + ["firstname lastname"],
-                "u",
-            ),
-        ),
-        ("patient_name", words(_each(MORE_PERSONS, "name"), "us")),
-        ("patient_name", words(_each("name of", MORE_PERSONS), "u")),
-        ("abha_id", words(["abha id", "national health id"], "usj")),
-        ("abha_id", ["abha", "nhi", "uhid", "mrn"]),
-        ("abha_id", words(["health id"], "uj")),
-        ("abha_id", words(_each("abha", "number, no, code, identifier, id no"), "us")),
-        ("abha_id", words(_each("health id", "number, no, code, identifier"), "us")),
-        ("abha_id", words(_each("healthid", "number, no, code, identifier"), "u")),
-        ("abha_id", words(["health identifier", "unique health id", "medical record id"], "us")),
-        ("abha_id", words(_each("ayushman bharat", "id, number"), "us")),
-        ("abha_id", words(_each("nhi, uhid, mrn", "number"), "us")),
-        ("abha_id", words(_each("health card", "number, no, id"), "us")),
-        ("abha_id", words(_each("healthcard", "number, no, id"), "u")),
-        ("abha_id", words(_each("nhi, mrn, ayushmanbharat, medicalrecord", "id"), "u")),
-        ("abha_id", words(_each("patient, pt", "id") + ["patient identifier"], "usj")),
-        ("abha_id", words(_each(PERSONS, "id"), "usj")),
-        ("clinical_payload", words(["clinical payload"], "usj")),
-        ("clinical_payload", ["payload", "data", "diagnosis", "treatment"]),
-        ("clinical_payload", words(["clinical data", "medical data", "clinical info"], "uj")),
-        ("clinical_payload", words(["medical info"], "usj")),
-        ("clinical_payload", words(_each("clinical, medical", "information"), "usj")),
-        (
-            "clinical_payload",
-            words(
-                _each(
-                    "patient, diagnosis, treatment, health, case, visit, encounter, episode",
-                    "data, info, information",
-                )
-                + _each("medical, clinical", "record", "-, data"),
-                "usj",
-            ),
-        ),
-        ("clinical_payload", ["notes", "remarks", "comments"]),
-        ("clinical_payload", words(_each("clinical, medical, doctor, physician", "notes"), "usj")),
-        ("clinical_payload", words(_each("clinical, medical", "remarks, comments"), "usj")),
-        ("consent_status", words(["consent status"], "usj") + ["consent", "status"]),
-        ("consent_status", words(_each("consent", "state, flag"), "uj")),
-        ("consent_status", words(_each("consent", "status, state", "flag"), "usj")),
-        ("consent_status", words(_each("consent", GIVEN), "usj")),
-        ("consent_status", words(_each("data, privacy", "consent", "-, status"), "usj")),
-        ("consent_token", words(["consent token"], "usj") + ["token", "artifact"]),
-        ("consent_token", words(["consent artifact"], "u")),
-        ("consent_status", words(_each("patient consent", "-, status"), "usj")),
-        ("consent_status", words(_each(PERMITS, "status, flag"), "usj") + _each(PERMITS)),
-        ("notice_id", words(["notice id", "notice num"], "usj") + ["notice"]),
-        ("notice_id", words(["notice number", "notification id"], "uj")),
-        (
-            "notice_id",
-            words(
-                _each("notice", "id number, id no, number id, no, code, identifier")
-                + _each("notification", "number, no, code, identifier")
-                + _each(NOTICE_KINDS, "notice id, notice number, notice no, notification id")
-                + _each("document, reference, tracking", NUMBERS),
-                "usj",
-            ),
-        ),
-        ("notice_id", _each("id, identifier, number, no, code")),
-        ("notice_date", words(["notice date"], "usj") + ["date"]),
-        ("notice_date", words(["notice datetime", "notification date"], "uj")),
-        ("notice_date", words(["date of notice", "notice issued date"], "uj")),
-        (
-            "notice_date",
-            words(
-                _each("notice, notification", "date time")
-                + _each("notice, notification", "timestamp")
-                + _each("notice, notification", "issue, created, sent, delivered", STAMPS)
-                + _each(NOTICE_KINDS, "notice, notification", STAMPS)
-                + _each("document", "-, issue, created", STAMPS)
-                + _each("reference, tracking", STAMPS)
-                + _each("issue, created, sent, delivered, record, entry, submission", STAMPS)
-                + _each("received, processed, updated, modified", STAMPS),
-                "usj",
-            ),
-        ),
-        ("notice_date", ["timestamp", "datetime", "time", "date_time", "date time"]),
-    ]
-    seen: dict[str, str] = {}
-    for canonical, names in grammar:
-        for name in names:
-            seen.setdefault(name, canonical)
-    return tuple((a, c, i) for i, (a, c) in enumerate(seen.items()))
+    """(alias, canonical field, order)."""
+    pairs = [(a, field) for field, names in v.HEADER_ALIASES.items() for a in names]
+    return tuple((a, field, i) for i, (a, field) in enumerate(pairs))
 
 
 FIELD_ORDER = tuple(dict.fromkeys(c for _, c, _ in alias_rows()))

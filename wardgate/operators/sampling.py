@@ -7,6 +7,7 @@ any retry gives the same rows.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from wardgate.functions import vocab as v
 # Share and seed of each scenario, drawn independently of the others.
 SCENARIOS = {"null_id": (0.15, "id"), "revoked": (0.10, "consent"), "expired": (0.05, "date")}
 EXPIRED_AGE_DAYS = 31
-BUCKET_CHARS = 4  # hex digits: 65 536 buckets
+PREFIX_CHARS = (4, 8, None)  # hex digits: 65 536 prefixes at a time, then whole draws
 
 
 def draw(key: Column, seed: str) -> Column:
@@ -26,34 +27,51 @@ def draw(key: Column, seed: str) -> Column:
     return F.concat(F.md5(F.concat(text, F.lit(f"|{seed}"))), F.lit("|"), text)
 
 
-def _last_drawn(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
-    """One row, one value: the draw of the last key inside the share, empty when none is.
+def _cuts(df: DataFrame, key: str) -> dict[str, str | None]:
+    """The first draw beyond the share of each scenario (None: all are inside).
 
-    Keys are counted per hash bucket; the running total over the fixed number of buckets names the
-    bucket the cut falls into, and only that bucket's keys are put in order.
+    Rows with a key are counted per prefix of their hash, for all scenarios together; the running
+    total over a bounded number of prefixes names the one the cut falls into, and only its keys are
+    counted by a longer prefix.  Rows of one key are inside together, so a share is never exceeded.
     """
-    drawn = df.select(draw(F.col(key), seed).alias("d"))
-    bucket = F.left("d", F.lit(BUCKET_CHARS))
-    counts = drawn.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(share))
-    edge = (
-        counts.withColumns({"upto": F.sum("n").over(running), "wanted": wanted})
-        .filter((F.col("upto") >= F.col("wanted")) & (F.col("wanted") > 0))
-        .agg(F.min(F.struct("b", (F.col("wanted") - (F.col("upto") - F.col("n"))).alias("rest"))).alias("e"))
-    )
-    inside = drawn.filter(bucket == edge.select("e.b").scalar())
-    ranked = inside.withColumn("rn", F.row_number().over(Window.orderBy("d")))
-    return ranked.filter(F.col("rn") == edge.select("e.rest").scalar()).agg(
-        F.coalesce(F.max("d"), F.lit("")).alias("d")
+    draws = F.array(
+        *[F.struct(F.lit(n).alias("s"), draw(F.col(key), seed).alias("d")) for n, (_, seed) in SCENARIOS.items()]
     )
+    drawn = df.filter(F.col(key).isNotNull()).select(F.inline(draws))
+    edge: dict[str, tuple[str, int]] = {}
+    for chars in PREFIX_CHARS:
+        inside = drawn
+        if edge:
+            prefixes = [(F.col("s") == n) & F.col("d").startswith(p) for n, (p, _) in edge.items()]
+            inside = drawn.filter(reduce(lambda a, b: a | b, prefixes))
+        elif chars != PREFIX_CHARS[0]:
+            break
+        prefix = F.col("d") if chars is None else F.left("d", F.lit(chars))
+        counts = inside.groupBy("s", prefix.alias("b")).agg(F.count("*").alias("n"))
+        by = Window.partitionBy("s")
+        upto = F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        room = F.lit(None).cast("long")
+        for n, (share, _) in SCENARIOS.items():
+            rest = F.lit(edge[n][1]) if n in edge else F.floor(F.sum("n").over(by) * F.lit(share))
+            room = F.when(F.col("s") == n, rest).otherwise(room)
+        beyond = counts.withColumns({"upto": upto, "room": room}).filter(F.col("upto") > F.col("room"))
+        first = beyond.groupBy("s").agg(
+            F.min(F.struct("b", (F.col("room") - F.col("upto") + F.col("n")).alias("rest"))).alias("e")
+        )
+        edge = {r.s: (r.e.b, r.e.rest) for r in first.collect()}
+    return {n: edge[n][0] if n in edge else None for n in SCENARIOS}
 
 
 def mark_scenarios(df: DataFrame, as_of: datetime, key: str = "notice_id") -> DataFrame:
-    """Exactly the stated share of rows without an id, revoked, and with an old notice date."""
+    """At most the stated share of rows without an id, revoked, and with an old notice date.
+
+    With unique keys the share is exact.  Rows without a key are neither counted nor marked.
+    """
+    cuts = _cuts(df, key)
+    keyed = F.col(key).isNotNull()
     marks = {
-        name: draw(F.col(key), seed) <= _last_drawn(df, key, share, seed).scalar()
-        for name, (share, seed) in SCENARIOS.items()
+        name: keyed if cuts[name] is None else keyed & (draw(F.col(key), seed) < F.lit(cuts[name]))
+        for name, (_, seed) in SCENARIOS.items()
     }
     old = (as_of - timedelta(days=EXPIRED_AGE_DAYS)).date().isoformat()
     return df.withColumns(

@@ -105,7 +105,7 @@ def s4_split(spark, sf):
 
 
 def _report_json(name: str) -> str:
-    return f"CAST(json_object('{name}', left(body, 2000)) AS STRING)"
+    return f"CAST(json_object('{name}', body) AS STRING)"
 
 
 _NAME = f"split_part({q.strip(q.first_match('body', v.REPORT_NAME))}, chr(10), 1)"
@@ -150,8 +150,8 @@ def s6(spark, sf):
             {q.first_match('body', (v.SUMMARY_ADDRESS,))}) AS abha_id,
         CASE WHEN regexp_matches(body, {q.lit(v.SUMMARY_FINDING)})
             THEN {q.strip(f"regexp_extract(body, {q.lit(v.SUMMARY_FINDING)}, 1)")}
-            ELSE replace(left(body, 200), chr(10), ' ') || '...' END AS clinical_payload,
-        'N-2026-PDF-120000' AS notice_id, '1998-07-01' AS notice_date, 'GRANTED' AS consent_status
+            ELSE replace(body, chr(10), ' ') || '...' END AS clinical_payload,
+        'N-2026-PDF-120000-' || left(md5(CAST(doc_id AS STRING)), 12) AS notice_id, '1998-07-01' AS notice_date, 'GRANTED' AS consent_status
         FROM reports""",
 )
 def s7(spark, sf):
@@ -174,7 +174,7 @@ def s8(spark, sf):
     INTAKE
     + MESSAGES
     + """ UNION ALL SELECT 'Unknown/Redacted', NULL, CAST(doc_id AS STRING), NULL, 'ACTIVE',
-        CAST(json_object('raw_message', left(body, 2000)) AS STRING), NULL, NULL FROM reports""".replace(
+        CAST(json_object('raw_message', body) AS STRING), NULL, NULL FROM reports""".replace(
         "FROM reports", f"FROM ({with_fixtures('reports')} SELECT * FROM reports) r"
     ),
 )
@@ -304,7 +304,7 @@ def s12_dispatch(spark, sf):
     render.write_xml(base.filter(kind == 2), f"{root}/c")
     text = render.documents(base.filter(kind == 3), _chunk(20), "k", render.labelled_text())
     render.write_text(text, f"{root}/d")
-    return intake.read_landing(spark, root, json_lines=True)
+    return intake.read_landing(spark, root)
 
 
 PEEKED = {

@@ -471,21 +471,30 @@ def w2(spark, sf):
 
 
 def _marked(seed: str, share: float) -> str:
-    return f"""row_number() OVER (ORDER BY md5(notice_id || '|{seed}'), notice_id)
-        <= floor(count(*) OVER () * {share}::DOUBLE)"""
+    return f"""coalesce(notice_id IS NOT NULL AND count(notice_id) OVER (ORDER BY
+        md5(notice_id || '|{seed}') NULLS LAST, notice_id RANGE UNBOUNDED PRECEDING)
+        <= floor(count(notice_id) OVER () * {share}::DOUBLE), false)"""
+
+
+# Every 53rd record has no key, and every 47th the key of another one.
+MESSY_KEYS = """SELECT * REPLACE (CASE WHEN k % 53 = 0 THEN NULL WHEN k % 47 = 0 THEN
+    'N-2026-CONS-v1.0-' || CAST(k % 470 AS STRING) ELSE notice_id END AS notice_id) FROM base"""
 
 
 @query(
     "W4_scenario_marking",
-    INTAKE
+    with_fixtures("base", keyed=MESSY_KEYS)
     + f"""SELECT notice_id, CASE WHEN NOT m1 THEN abha_id END AS abha_id,
         CASE WHEN m2 THEN 'REVOKED' ELSE consent_status END AS consent_status,
         CASE WHEN m3 THEN '1998-05-31' ELSE notice_date END AS notice_date
         FROM (SELECT *, {_marked('id', 0.15)} AS m1, {_marked('consent', 0.10)} AS m2,
-            {_marked('date', 0.05)} AS m3 FROM intake) t""",
+            {_marked('date', 0.05)} AS m3 FROM keyed) t""",
 )
 def w4(spark, sf):
-    out = sampling.mark_scenarios(fixture(spark, sf, "intake"), AS_OF)
+    base = fixture(spark, sf, "base")
+    other = F.concat(F.lit("N-2026-CONS-v1.0-"), (c("k") % 470).cast("string"))
+    key = F.when(c("k") % 53 == 0, None).when(c("k") % 47 == 0, other).otherwise(c("notice_id"))
+    out = sampling.mark_scenarios(base.withColumn("notice_id", key), AS_OF)
     return out.select("notice_id", "abha_id", "consent_status", "notice_date")
 
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardgate.workspace import is_committed, new_folder
-
 TABLES = ("orders", "customer", "part")
 
 
@@ -128,6 +126,7 @@ SELECT k AS doc_id,
         ELSE 'Consent Status: ' || coalesce(consent_status, 'pending') END
     || chr(10) || 'Clinical Payload: ' || coalesce(clinical_payload, 'None')
     || CASE WHEN k % 6 = 0 THEN chr(10) || 'Impression: ' || diag || ', stable' ELSE '' END
+    || CASE WHEN k % 29 = 0 THEN repeat(chr(10) || 'Seen again on the ward.', 120) ELSE '' END
     AS body
 FROM base
 """
@@ -213,38 +212,12 @@ def with_fixtures(*names: str, **extra: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes as fewer splits than there are cores.
-
-    The given tables are one row group each.  Tables with splits for everyone are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-_landed: dict[tuple[str, str, str], str] = {}
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input, landed once per application as Parquet in the shared folder.
-
-    Queries then start from a scan, as they would on a landed intake, with the columns pruned to
-    what they use.  The landed table is written from the whole given tables.
-    """
-    if name == "intake":
-        return fixture(spark, sf_dir, "base").select(*[x.strip() for x in FIELDS.split(",")])
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _landed or not is_committed(spark, _landed[key]):
-        for t in TABLES:
-            if f"FROM {t}" in SQL[name]:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        for t in NEEDS[name]:
-            fixture(spark, sf_dir, t).createOrReplaceTempView(t)
-        folder = new_folder(spark, f"fixture-{name}")
-        spark.sql(SQL[name]).write.parquet(folder)
-        _landed[key] = folder
-    return spark.read.parquet(_landed[key])
+    """A derived input, as a projection of the given tables inside the query's own plan."""
+    for t in TABLES:
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(with_fixtures(name) + f"SELECT * FROM {name}")

@@ -1,75 +1,265 @@
-"""Take in a landing folder of mixed formats as one table of canonical records."""
+"""Take in a landing folder of mixed formats: canonical records, and what could not be read.
+
+What a file holds decides how it is read: the header of each CSV file, the layout of each JSON file, the record
+tag of each XML file.  Files alike in that are read together, under their own field names, which are then mapped.
+Every reader gives records and rejects, so that nothing landed vanishes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from collections import defaultdict
+from collections.abc import Callable, Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgate.functions import vocab as v
-from wardgate.operators import naming
-from wardgate.sources import fhir, files, landing, messages, reports
+from wardgate.operators import aliases, naming
+from wardgate.sources import fhir, landing, messages, reports
+from wardgate.sources.api import unwrap
+
+CORRUPT = "_corrupt"
+PATH = "_metadata.file_path"
+REJECT = "path string, text string, reason string"
+
+Landed = tuple[DataFrame, DataFrame]
+Naming = Callable[[str], str | None]
+
+
+def by_canonical(name: str) -> str | None:
+    """Fields by their canonical names in any letter case."""
+    return name.strip().lower() if name.strip().lower() in v.CANONICAL else None
+
+
+def by_synonym(name: str) -> str | None:
+    """Fields by the header synonyms of the first intake version."""
+    return naming.synonym_map().get(name.strip().lower()) or by_canonical(name)
 
-# Readers of formats that need a single-machine decoder first.
-NOT_READ = ("xlsx", "pdf_text")
+
+def by_alias(name: str) -> str | None:
+    """Fields by the header aliases of the adapter."""
+    found = aliases.resolve_name(name)
+    return found if found in v.CANONICAL else by_canonical(name)
 
 
 def _any_case(extension: str) -> str:
     return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
-def _documents(spark: SparkSession, path: str, by_line: bool, **options: str) -> DataFrame:
+def _options(extension: str) -> dict[str, str]:
+    return {"pathGlobFilter": _any_case(extension), "recursiveFileLookup": "true"}
+
+
+def _documents(spark: SparkSession, paths, whole: bool, **options: str) -> DataFrame:
     return (
         spark.read.options(**options)
-        .text(path, wholetext=not by_line)
-        .select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("body"))
+        .text(paths, wholetext=whole)
+        .select(F.col(PATH).alias("doc_id"), F.col("value").alias("body"))
     )
 
 
-def read_format(
-    spark: SparkSession, path: str, reader: str, extension: str, json_lines: bool = False
-) -> DataFrame:
-    """Records of the files of one extension, under the reader's own column names."""
-    options = {"pathGlobFilter": _any_case(extension), "recursiveFileLookup": "true"}
-    if reader == "csv":
-        return spark.read.options(**options).csv(path, header=True, escape='"', inferSchema=False)
-    if reader == "json":
-        return files.json_records(_documents(spark, path, json_lines, **options))
-    if reader == "xml":
-        return naming.drop_null_tokens(files.read_xml_any_tag(spark, path, **options))
-    docs = _documents(spark, path, False, **options)
-    if reader == "report":
-        return reports.labelled_blocks(docs)
-    if reader == "hl7":
-        return messages.hl7_records(docs)
-    if reader == "fhir":
-        return fhir.records(docs)
-    if reader == "imaging":
-        return messages.imaging_records(docs)
-    raise ValueError(f"no reader for {extension}: decode it to text or CSV first")
-
-
-def read_landing(
-    spark: SparkSession, path: str, json_lines: bool = False, skip_unread: bool = True
-) -> DataFrame:
-    """Canonical records of every supported file under ``path``, with the ``format`` of each.
-
-    Which extensions occur is looked up first (at most as many as there are known ones); then one
-    scan per extension, combined by name.  Extensions without a reader are skipped or refused.
+def _lines(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    """Lines with their file, and ``at``, which orders the lines of the first block of each file."""
+    return spark.read.options(**_options(extension)).text(path).select(
+        F.col(PATH).alias("path"),
+        "value",
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+    )
+
+
+def _fields(columns: Iterable[str], name: Naming) -> dict[str, str]:
+    """Source column of each field; the last of several claiming one wins."""
+    return {name(c): c for c in columns if name(c)}
+
+
+def _canonical(df: DataFrame, source: dict[str, str]) -> DataFrame:
+    """``path`` and the canonical fields as text."""
+    picked = [
+        (F.col(f"`{source[f]}`").cast("string") if f in source else F.lit(None).cast("string")).alias(f)
+        for f in v.CANONICAL
+    ]
+    return df.select("path", *picked)
+
+
+def _rejects(df: DataFrame, text: Column, reason: str) -> DataFrame:
+    return df.select("path", text.alias("text"), F.lit(reason).alias("reason"))
+
+
+def _text(columns: list[str]) -> Column:
+    """The text of a bad row; Spark wants a field read beside it."""
+    return F.coalesce(CORRUPT, *[F.col(f"`{c}`") for c in columns[:1]])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+# --- CSV --------------------------------------------------------------------------------------
+
+
+def read_csv_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:
+    """Files grouped by their header; quoted line breaks are read where a file has some."""
+    lines = _lines(spark, path, extension)
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    found = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.bool_or(odd).alias("broken"))
+    groups: dict[tuple[str, bool], list[str]] = defaultdict(list)
+    for r in found.collect():  # one row per file, as the listing of the folder has
+        groups[(r.header or "").lstrip("﻿"), r.broken].append(r.path)
+    records, rejects = [], []
+    for (header, broken), paths in sorted(groups.items()):
+        names = next(csv.reader([header]), [])
+        unique = [c if names.index(c) == i and c else f"{c}#{i}" for i, c in enumerate(names)] or ["#0"]
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*unique, CORRUPT])
+        # Without pruning, so that a row is held against its whole header whatever columns are asked for.
+        rows = spark.read.option("columnPruning", False).csv(
+            paths, schema=schema, header=True, escape='"', multiLine=broken, columnNameOfCorruptRecord=CORRUPT
+        ).withColumn("path", F.col(PATH))
+        source = _fields([c for c in unique if "`" not in c], name)
+        records.append(_canonical(rows.filter(F.col(CORRUPT).isNull()), source))
+        bad = rows.filter(F.col(CORRUPT).isNotNull())
+        rejects.append(_rejects(bad, _text(unique), "fields do not match the header"))
+    return _union(records), _union(rejects)
+
+
+# --- JSON -------------------------------------------------------------------------------------
+
+
+def json_fields(docs: DataFrame, name: Naming, known: Iterable[str]) -> Landed:
+    """Records and rejects of JSON documents (``path``, ``body``) under their own member names.
+
+    ``known`` are the names to look for, since members become columns one by one.
     """
-    found = landing.classify(landing.list_files(spark, path))
-    kinds = found.filter(F.col("reader").isNotNull()).select("extension", "reader").distinct()
+    readable = F.try_parse_json("body").isNotNull()
+    text = F.trim("body")
+    shaped = readable & (text.startswith("{") | text.startswith("["))
+    items = unwrap(docs.filter(shaped), "body", v.JSON_ENVELOPES)
+    by_field: dict[str, list[str]] = defaultdict(list)
+    for k in known:
+        if name(k):
+            by_field[name(k)].append(k)
+    lower = F.transform(F.map_entries("item"), lambda e: F.struct(F.trim(F.lower(e["key"])).alias("k"), e["value"].alias("x")))
+
+    def member(field: str) -> Column:
+        names = sorted({k.lower() for k in by_field[field]})
+        mine = F.filter("_m", lambda e: e["k"].isin(names) | F.translate(e["k"], " -", "__").isin(names))
+        return F.try_element_at(mine, F.lit(-1))["x"]
+
+    filled = items.withColumn("_m", lower)
+    records = filled.select(
+        "path", *[(member(f) if by_field[f] else F.lit(None).cast("string")).alias(f) for f in v.CANONICAL]
+    )
+    return records, _rejects(docs.filter(~shaped & (text != "")), F.col("body"), "no JSON record")
+
+
+def read_json_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:
+    """Files of one document a line are split; a file whose first line is no document is one itself."""
+    lines = _lines(spark, path, extension).filter(F.trim("value") != "")
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("first"))
+    by_line: dict[bool, list[str]] = defaultdict(list)
+    for r in first.select("path", F.try_parse_json(F.trim("first")).isNotNull().alias("whole")).collect():
+        by_line[r.whole].append(r.path)
+    known = [*v.CANONICAL, *v.CANONICAL.values(), *naming.synonym_map(), *(a for a, _, _ in aliases.alias_rows())]
     parts = []
+    for whole_lines, paths in by_line.items():
+        docs = _documents(spark, paths, not whole_lines).withColumnRenamed("doc_id", "path")
+        parts.append(json_fields(docs, name, known))
+    if not parts:
+        return _nothing(spark)
+    return _union([p[0] for p in parts]), _union([p[1] for p in parts])
+
+
+# --- XML --------------------------------------------------------------------------------------
+
+
+def _root_child(text: Column) -> Column:
+    """Name of the first element inside the root."""
+    bare = F.regexp_replace(text, r"(?s)<\?.*?\?>|<!--.*?-->|<![^>]*>", "")
+    return F.regexp_extract(bare, r"(?s)<[A-Za-z_][^>/]*>\s*<([A-Za-z_][\w.:-]*)", 1)
+
+
+def read_xml_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:
+    """Files grouped by their record tag: the first known one that occurs, else the root's children."""
+    docs = _documents(spark, path, True, **_options(extension)).withColumnRenamed("doc_id", "path")
+    tags = F.coalesce(
+        *[F.when(F.col("body").rlike(rf"<{t}[\s>/]"), F.lit(t)) for t in v.XML_RECORD_TAGS],
+        F.nullif(_root_child(F.col("body")), F.lit("")),
+    )
+    groups: dict[str | None, list[str]] = defaultdict(list)
+    for r in docs.select("path", tags.alias("tag")).collect():
+        groups[r.tag].append(r.path)
+    records, rejects = [], []
+    for tag, paths in sorted(groups.items(), key=lambda x: x[0] or ""):
+        if tag is None:
+            bad = docs.filter(F.col("path").isin(paths))
+            rejects.append(_rejects(bad, F.col("body"), "no XML record"))
+            continue
+        reader = spark.read.format("xml").options(rowTag=tag, inferSchema=False, columnNameOfCorruptRecord=CORRUPT)
+        schema = reader.load(paths).schema
+        own = [f.name for f in schema if f.name != CORRUPT]
+        flat = ", ".join(f"`{f}` string" for f in [*own, CORRUPT])
+        rows = reader.schema(flat).load(paths).withColumn("path", F.col(PATH))
+        rows = naming.drop_null_tokens(rows, [c for c in own if c != "path"])
+        records.append(_canonical(rows.filter(F.col(CORRUPT).isNull()), _fields(own, name)))
+        rejects.append(_rejects(rows.filter(F.col(CORRUPT).isNotNull()), _text(own), "element cannot be parsed"))
+    nothing = _nothing(spark)
+    return _union([nothing[0], *records]), _union([nothing[1], *rejects])
+
+
+# --- documents --------------------------------------------------------------------------------
+
+
+def read_document_files(spark: SparkSession, path: str, extension: str, reader: str) -> Landed:
+    """Labelled text, HL7, FHIR and imaging dumps; a document without any record is a reject."""
+    docs = _documents(spark, path, True, **_options(extension))
+    parse = {
+        "report": reports.labelled_blocks,
+        "hl7": messages.hl7_records,
+        "fhir": fhir.records,
+        "imaging": messages.imaging_records,
+    }[reader]
+    records = parse(docs).withColumnRenamed("doc_id", "path")
+    if reader == "hl7":  # a document without a message comes as its raw text: here it is a reject
+        has = docs.filter(F.col("body").rlike(r"(?m)^\s*MSH\|")).select(F.col("doc_id").alias("path"))
+        records = records.join(has.distinct(), "path", "left_semi")
+    kept = _canonical(records, _fields(records.columns, by_canonical))
+    left = docs.withColumnRenamed("doc_id", "path").join(kept.select("path").distinct(), "path", "left_anti")
+    return kept, _rejects(left, F.col("body"), "no record in the document")
+
+
+def _nothing(spark: SparkSession) -> Landed:
+    records = ", ".join(f"{f} string" for f in ("path", *v.CANONICAL))
+    return spark.createDataFrame([], records), spark.createDataFrame([], REJECT)
+
+
+def take_in(spark: SparkSession, path: str, name: Naming = by_canonical) -> Landed:
+    """(records, rejects) of every file under ``path``.
+
+    Records have the canonical fields, the ``format`` and the ``path``; rejects have ``path``, ``text`` and
+    ``reason``.  Files of unknown kind, and kinds that need a decoder first, are rejects without text.  One scan
+    per kind finds what its files hold, one reads each group of alike files.
+    """
+    files = landing.classify(landing.list_files(spark, path))
+    unread = files.filter(F.col("reader").isNull() | F.col("reader").isin("xlsx", "pdf_text"))
+    reason = F.when(F.col("reader").isNull(), "unknown kind of file").otherwise("needs a decoder first")
+    nothing = _nothing(spark)
+    records = [nothing[0].withColumn("format", F.lit(None).cast("string"))]
+    rejects = [nothing[1], unread.select("path", F.lit(None).cast("string").alias("text"), reason.alias("reason"))]
+    kinds = files.filter(F.col("reader").isNotNull()).select("extension", "reader").distinct()
     for extension, reader in sorted(tuple(row) for row in kinds.collect()):
-        if reader in NOT_READ and skip_unread:
+        if reader in ("xlsx", "pdf_text"):
             continue
-        records = naming.canonical_rename(read_format(spark, path, reader, extension, json_lines))
-        parts.append(
-            records.select(*v.CANONICAL, F.lit(extension[1:].upper()).alias("format"))
-        )
-    if not parts:
-        empty = spark.createDataFrame([], files.RECORD)
-        return naming.canonical_rename(empty).withColumn("format", F.lit(None).cast("string"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        if reader in ("csv", "json", "xml"):
+            read = {"csv": read_csv_files, "json": read_json_files, "xml": read_xml_files}[reader]
+            good, bad = read(spark, path, extension, name)
+        else:
+            good, bad = read_document_files(spark, path, extension, reader)
+        records.append(good.withColumn("format", F.lit(extension[1:].upper())))
+        rejects.append(bad)
+    return naming.canonical_rename(_union(records)), _union(rejects)
+
+
+def read_landing(spark: SparkSession, path: str, name: Naming = by_canonical) -> DataFrame:
+    """The records of :func:`take_in` alone."""
+    return take_in(spark, path, name)[0].select(*v.CANONICAL, "format")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgate.functions import text as t
-from wardgate.functions import vocab as v
 
 
 def _nth(fields: Column, i: int) -> Column:
@@ -20,32 +19,40 @@ def _segment(segments: Column, kind: str) -> Column:
     return F.split(F.get(found, F.lit(0)), r"\|")
 
 
-def read_hl7(spark: SparkSession, path: str) -> DataFrame:
+MESSAGE_START = "MSH|"
+
+
+def read_hl7(spark: SparkSession, path: str, line_break: str = "\n") -> DataFrame:
     """``doc_id`` (file path), ``body``: one row per message, for files that hold messages only.
 
-    Files are cut at the message header while they are read, so that a file of any size is read by
-    many tasks.  Documents of unknown content go through ``reports.read_documents`` instead.
+    Files are cut at message headers that start a line while they are read, so that a file of any
+    size is read by many tasks; what stands before the first header is a preamble and no message.
+    ``line_break`` is the character a line ends in.  Documents of unknown content go through
+    ``reports.read_documents`` instead.
     """
-    pieces = spark.read.text(path, lineSep="MSH|")
-    return pieces.filter(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("doc_id"),
-        F.concat(F.lit("MSH|"), "value").alias("body"),
+    pieces = spark.read.text(path, lineSep=f"{line_break}{MESSAGE_START}")
+    first = F.col("value").startswith(MESSAGE_START)
+    # A piece after a cut starts with the encoding characters, which no other segment does.
+    cut = F.col("value").rlike(r"^[^A-Za-z0-9\s]{3,5}(\||$)")
+    body = F.when(first, F.col("value")).when(cut, F.concat(F.lit(MESSAGE_START), "value"))
+    return pieces.select(F.col("_metadata.file_path").alias("doc_id"), body.alias("body")).filter(
+        F.col("body").isNotNull()
     )
 
 
 def hl7_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> DataFrame:
     """One record per message: PID-3 id, PID-5 name, MSH-10 notice, MSH-7 date, MSH-9 as payload.
 
-    Segments end in any line break.  A document without a message yields one record with its raw
+    Segments end in any line break, and a message starts where a line does.  A document without a message yields one record with its raw
     text, so nothing landed goes missing.  The date in PID field 8 and the consent in PV1 field 20,
     which some senders fill, come along as ``pid_date`` and ``pv1_consent``.
     """
     messages = F.filter(
-        F.split(F.col(body), r"(?=MSH\|)"), lambda m: F.ltrim(m).startswith("MSH|")
+        F.split(F.ltrim(body), r"(?m)^(?=MSH\|)"), lambda m: m.startswith(MESSAGE_START)
     )
     # Two steps, so that a document's text does not ride along with each of its messages.
     found = docs.withColumn("_list", messages)
-    raw_text = F.when(F.size("_list") == 0, F.left(body, F.lit(v.REPORT_PAYLOAD_CHARS)))
+    raw_text = F.when(F.size("_list") == 0, F.col(body))
     slim = found.select(stem, raw_text.alias("_raw"), "_list")
     exploded = slim.select(stem, "_raw", F.explode_outer("_list").alias("_msg"))
     segments = F.split(F.col("_msg"), r"[\r\n]+")

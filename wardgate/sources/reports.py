@@ -58,7 +58,7 @@ def text_report(
     docs: DataFrame,
     body: str = "body",
     stem: str = "doc_id",
-    payload_chars: int | None = v.REPORT_PAYLOAD_CHARS,
+    payload_chars: int | None = None,
 ) -> DataFrame:
     """One record per free-text report; the report itself becomes the payload."""
     text = F.col(body)
@@ -81,7 +81,7 @@ def pdf_text(
     docs: DataFrame,
     body: str = "body",
     stem: str = "doc_id",
-    payload_chars: int | None = v.REPORT_PAYLOAD_CHARS,
+    payload_chars: int | None = None,
 ) -> DataFrame:
     """One record per text taken from a PDF; day-first dates become ISO."""
     text = F.col(body)
@@ -103,15 +103,20 @@ def pdf_text(
 
 
 def pdf_summary(
-    docs: DataFrame, as_of: datetime, body: str = "body", stem: str = "doc_id"
+    docs: DataFrame,
+    as_of: datetime,
+    body: str = "body",
+    stem: str = "doc_id",
+    payload_chars: int | None = None,
 ) -> DataFrame:
-    """Short record of a PDF text: its finding, or its opening words, as the payload."""
+    """Short record of a PDF text: its finding, or the text itself, as the payload.
+
+    The notice id ends in a hash of the document's name, so that documents of one run stay apart.
+    """
     text = F.col(body)
     titled = F.nullif(F.regexp_extract(text, v.SUMMARY_TITLE_NAME, 0), F.lit(""))
     hyphened = F.replace(t.first_match(text, [v.SUMMARY_ID]), F.lit(" "), F.lit("-"))
-    opening = F.concat(
-        F.translate(F.left(text, F.lit(v.SUMMARY_CHARS)), "\n", " "), F.lit("...")
-    )
+    opening = F.concat(F.translate(_cut(text, payload_chars), "\n", " "), F.lit("..."))
     finding = t.strip(F.regexp_extract(text, v.SUMMARY_FINDING, 1))
     return docs.select(
         stem,
@@ -120,7 +125,9 @@ def pdf_summary(
         F.when(text.rlike(v.SUMMARY_FINDING), finding).otherwise(opening).alias(
             "clinical_payload"
         ),
-        F.lit(f"N-2026-PDF-{as_of:%H%M%S}").alias("notice_id"),
+        F.concat(
+            F.lit(f"N-2026-PDF-{as_of:%H%M%S}-"), F.left(F.md5(F.col(stem).cast("string")), F.lit(12))
+        ).alias("notice_id"),
         F.lit(as_of.date().isoformat()).alias("notice_date"),
         F.lit("GRANTED").alias("consent_status"),
     )

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only by a single-machine session that names none.
-    """
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the warehouse every session has."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _local_folders:
-            _local_folders[app] = tempfile.mkdtemp(prefix="wardgate-")
-        return _local_folders[app]
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
