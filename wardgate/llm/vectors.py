@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from wardgate.llm.common import landed
 from wardgate.llm.components import components
 
-SHARD = 4096  # rows a shard holds
+SHARD = 512  # rows a shard holds
 PIVOTS = 1024  # of a cell, at most
-OVERLAP = 3
+OVERLAP = 2
 LEVELS = 2
 ROWS_PER_SALT = 50_000
 NEAREST, DISTANT = 40, 24  # candidates of a vector
