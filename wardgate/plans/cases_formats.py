@@ -307,6 +307,57 @@ def s12_dispatch(spark, sf):
     return intake.read_landing(spark, root)
 
 
+@query(
+    "S12_lossless_landing",
+    with_fixtures("base")
+    + """SELECT CASE WHEN k % 8 < 2 THEN 'CSV' WHEN k % 8 < 4 THEN 'JSON' WHEN k % 8 < 7 THEN 'XML' ELSE 'TXT' END
+        AS format, patient_name, CASE WHEN k % 8 = 7 THEN coalesce(abha_id, 'None') ELSE abha_id END AS abha_id,
+        CASE WHEN k % 8 = 7 THEN coalesce(clinical_payload, 'None') ELSE clinical_payload END
+            AS clinical_payload, bill_amount,
+        CASE WHEN k % 8 = 7 THEN coalesce(consent_status, 'None') ELSE consent_status END
+            AS consent_status, notice_id, CASE WHEN k % 8 <> 7 THEN notice_date END AS notice_date,
+        CASE WHEN k % 8 <> 7 THEN data_purpose END AS data_purpose FROM base""",
+)
+def s12_lossless(spark, sf):
+    """Two column orders of CSV, JSON lines and envelopes with other letter cases, XML with two known record tags
+    and one unknown, and labelled text, all in one folder."""
+    base = fixture(spark, sf, "base")
+    root = new_folder(spark, "s12l")
+    kind = c("k") % 8
+    fields = list(v.CANONICAL)
+    shown = [c(f).alias(v.CANONICAL[f]) for f in fields]
+    render.write_csv(base.filter(kind == 0).select(*fields), f"{root}/a")
+    render.write_csv(base.filter(kind == 1).select(*reversed(fields)), f"{root}/b")
+    base.filter(kind == 2).select(*shown).write.json(f"{root}/c")
+    wrapped = base.filter(kind == 3).groupBy(_chunk(160)).agg(F.collect_list(F.struct(*shown)).alias("records"))
+    wrapped.select("records").write.json(f"{root}/d")
+    for i, tag in enumerate(("record", "patient", "entry"), start=4):
+        rows = base.filter(kind == i).select(*fields)
+        rows.write.format("xml").options(rowTag=tag, rootTag="all").save(f"{root}/e{i}")
+    text = render.documents(base.filter(kind == 7), _chunk(20), "k", render.labelled_text())
+    render.write_text(text, f"{root}/f")
+    return intake.read_landing(spark, root)
+
+
+@query(
+    "S16_landing_rejects",
+    with_fixtures("base")
+    + """SELECT CASE WHEN k % 29 = 0 THEN 'fields do not match the header' ELSE 'accepted' END AS reason,
+        notice_id || ',' || patient_name || CASE WHEN k % 29 = 0 THEN ',too,much' ELSE '' END AS line FROM base""",
+)
+def s16_landing(spark, sf):
+    """CSV rows with fields too many: each landed line is an accepted record or a reject with its text."""
+    root = new_folder(spark, "s16l")
+    extra = F.when(c("k") % 29 == 0, ",too,much").otherwise("")
+    lines = fixture(spark, sf, "base").select(
+        F.concat("notice_id", F.lit(","), "patient_name", extra).alias("notice_id,patient_name")
+    )
+    lines.write.options(header=True, sep="\x01", quote="").csv(root)
+    good, bad = intake.take_in(spark, root)
+    accepted = good.select(F.lit("accepted").alias("reason"), F.concat_ws(",", "notice_id", "patient_name").alias("line"))
+    return accepted.unionByName(bad.select("reason", c("text").alias("line")))
+
+
 PEEKED = {
     "Pt_Name": "patient_name",
     "ABHA Number": "abha_id",
