@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardgate.operators import tables as tb
+from wardgate.plans import flows
+from wardgate.streaming.incremental import intake_stream
 from wardgate.workspace import new_folder
 
 AS_OF = datetime(2026, 7, 1, 12)
@@ -46,26 +48,41 @@ def test_table_applies_batches_in_order(spark, table):
     table.upsert(batch(spark, ("a", "3", 1), ("c", "3", 1)), "seq")
     want = [("a", "3"), ("b", "1"), ("c", "3")]
     assert rows(table.current()) == want
-    table.rewrite()
+    table.compact()
     assert rows(table.current()) == want
 
 
-def test_named_batch_is_applied_once_even_after_compaction(spark, table):
-    table.upsert(batch(spark, ("a", "1", 1)), "seq", name="s-0")
-    table.upsert(batch(spark, ("a", "2", 1)), "seq", name="s-1")
-    table.rewrite()
-    table.upsert(batch(spark, ("a", "1", 1)), "seq", name="s-0")
-    table.upsert(batch(spark, ("a", "1", 1)), "seq", name="s-1")
-    assert rows(table.current()) == [("a", "2")]
+def test_a_repeated_batch_changes_nothing(spark, table):
+    new = batch(spark, ("a", "1", 1), (None, "x", 1), (None, "x", 1), (None, "y", 1))
+    want = [("a", "1"), (None, "x"), (None, "x"), (None, "y")]
+    for _ in range(3):
+        table.upsert(new, "seq")
+        assert rows(table.current()) == sorted(want, key=str)
 
 
-def test_unfinished_write_is_not_seen(spark, table):
-    table.upsert(batch(spark, ("a", "1", 1)), "seq")
-    half = f"{table.root}/batches/commit={9:012d}__batch"
-    spark.createDataFrame([("a", "lost")], SCHEMA).write.parquet(half)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{half}/_SUCCESS")
-    fs.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs, False)
-    assert rows(table.current()) == [("a", "1")]
+def files_of(table):
+    return {r[0] for r in table._rows().select("_metadata.file_path").distinct().collect()}
+
+
+def test_untouched_buckets_keep_their_files(spark, table):
+    table.upsert(batch(spark, *[(f"k{i}", "1", 1) for i in range(200)]), "seq")
+    before = files_of(table)
+    table.upsert(batch(spark, ("k7", "2", 1)), "seq")
+    assert len(before - files_of(table)) == 1
+    middle = files_of(table)
+    table.delete_where(c("k") == "k9")
+    assert len(middle - files_of(table)) == 1
+    assert table.current().count() == 199
+
+
+def test_a_bucket_without_rows_is_gone(spark, table):
+    table.upsert(batch(spark, ("a", "1", 1), ("b", "2", 1), ("c", "3", 1)), "seq")
+    table.delete_keys(batch(spark, ("a", "", 1), ("nobody", "", 1)))
+    assert rows(table.current()) == [("b", "2"), ("c", "3")]
+    table.delete_where(F.lit(True))
+    assert rows(table.current()) == [] and files_of(table) == set()
+    table.upsert(batch(spark, ("a", "9", 1)), "seq")
+    assert rows(table.current()) == [("a", "9")]
 
 
 def test_delete_keeps_rows_the_condition_does_not_know(spark, table):
@@ -94,6 +111,45 @@ def test_cascade_erasure_leaves_no_trace_but_the_token(spark):
     assert "id-1" not in str(events.collect()) and events.count() == 1
 
 
+def test_corrections_can_set_null(spark):
+    desk = spark.createDataFrame([("1", "a", "p"), ("2", "b", "q")], "notice_id string, v string, w string")
+    edits = spark.createDataFrame(
+        [("1", None, None, ["v"], 2), ("1", "x", "y", ["v", "w"], 1), ("2", None, "z", ["w"], 1), (None, "n", "n", ["v"], 1)],
+        "notice_id string, v string, w string, given array<string>, seq int",
+    )
+    fixed = tb.apply_corrections(desk, edits, ["v", "w"], "notice_id", ("seq",), "given")
+    assert rows(fixed) == [("1", None, "p"), ("2", "b", "z")]
+
+
+def test_a_correction_batch_given_twice_counts_once(spark):
+    root = new_folder(spark, "desk")
+    record = ("A", None, "Patient with asthma, prescribed salbutamol.", 100.0, "ACTIVE", "N1", "2026-06-30", "Treatment")
+    columns = "patient_name string, abha_id string, clinical_payload string, bill_amount double, consent_status string, notice_id string, notice_date string, data_purpose string"
+    patients = tb.KeyedTable(spark, f"{root}/patients", tb.PATIENTS, "notice_id")
+    patients.upsert(tb.to_stored(flows.gate_intake(spark.createDataFrame([record], columns)), AS_OF))
+    edits = spark.createDataFrame(
+        [("N1", "22-0000-0000-0000", 1), ("N1", "22-1234-5678-9012", 2)], "notice_id string, abha_id string, seq int"
+    )
+    for _ in range(2):
+        flows.correct(patients, edits, "IDENTITY", AS_OF, root, "b1", "seq")
+        assert [r.abha_id for r in patients.current().collect()] == ["22-1234-5678-9012"]
+        assert spark.read.parquet(f"{root}/audit").count() == 1
+
+
+def test_stream_keeps_bad_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(
+        '{"Notice_ID": "N1", "Patient_Name": "A"}\n{broken\n{"patient_name": "keyless"}\n'
+    )
+    root = new_folder(spark, "stream")
+    patients = tb.KeyedTable(spark, f"{root}/patients", tb.PATIENTS, "notice_id")
+    intake_stream(spark, str(tmp_path / "in"), patients, f"{root}/audit", f"{root}/checkpoint", AS_OF).awaitTermination()
+    assert rows(patients.current().select("notice_id", "patient_name")) == [("N1", "A")]
+    bad = spark.read.parquet(f"{root}/audit-rejects").select("text", "reason").collect()
+    assert sorted(r.reason for r in bad) == ["no JSON record", "no key"]
+    assert "{broken" in {r.text for r in bad}
+
+
 def test_audit_trail_appends(spark):
     path = new_folder(spark, "audit")
     one = spark.createDataFrame([("x",)], "t string")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +12,7 @@ from pyspark.sql.window import Window
 from wardgate.functions import privacy as p
 from wardgate.functions import rules as r
 from wardgate.functions import vocab as v
-from wardgate.workspace import (
-    committed_children,
-    delete_path,
-    is_committed,
-    mark_path,
-    path_exists,
-)
+from wardgate.workspace import child_names, delete_path, is_committed, path_exists
 
 # --- rows per key -----------------------------------------------------------------------------
 
@@ -110,80 +102,85 @@ def as_canonical(stored: DataFrame) -> DataFrame:
 
 
 class KeyedTable:
-    """A keyed Parquet table: one base and the upsert batches since, latest row per key on read.
-
-    ``upsert`` writes only the batch, so taking in a small batch never rewrites a large table.
-    ``rewrite`` folds the batches into a new base under a change (a delete, a compaction).  A
-    directory counts once Spark has put its success marker there, so a lost driver leaves either
-    the old state or the new one.  One writer at a time.
+    """A keyed Parquet table, one row per key, cut into buckets by a hash of the key.
 
-    Layout: ``base/upto=<n>__<name>`` holds every batch up to n, ``batches/commit=<n>__<name>`` one
-    batch each, ``applied/<name>`` marks named batches that were folded.
+    A batch or a delete reads and overwrites the buckets it touches, with Spark's dynamic partition overwrite; the
+    others keep their files.  A batch given again finds its own rows and changes nothing.  Rows without
+    a key are spread by a hash of the whole row.  ``buckets`` is fixed for the life of a table; choose it so that a
+    bucket is a few hundred megabytes.  One writer at a time, and no reader while it commits.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 16):
         self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
-
-    def _folders(self, kind: str) -> dict[int, str]:
-        found = committed_children(self.spark, f"{self.root}/{kind}")
-        return {int(re.search(r"=(\d+)__", x).group(1)): f"{self.root}/{kind}/{x}" for x in found}
-
-    def _state(self) -> tuple[dict[int, str], dict[int, str]]:
-        """Bases, and the batches that came after the latest one."""
-        bases = self._folders("base")
-        newest = max(bases, default=-1)
-        return bases, {n: x for n, x in self._folders("batches").items() if n > newest}
-
-    def has_applied(self, name: str) -> bool:
-        bases, batches = self._state()
-        if any(x.endswith(f"__{name}") for x in (*bases.values(), *batches.values())):
-            return True
-        return path_exists(self.spark, f"{self.root}/applied/{name}")
-
-    def upsert(self, batch: DataFrame, *arrival: str, name: str | None = None) -> None:
-        """Add a batch; the first one becomes the base.  A named batch is added once only."""
-        if name is not None and self.has_applied(name):
-            return
-        bases, batches = self._state()
-        n = max([*bases, *batches], default=-1) + 1
-        kind = "batches/commit" if bases else "base/upto"
-        path = f"{self.root}/{kind}={n:012d}__{name or 'batch'}"
-        latest = keep_last(batch, self.key, *arrival)
-        latest.select(*self.schema.names).write.mode("overwrite").parquet(path)
+        self.buckets = buckets
+        self._stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        by = F.when(F.col(self.key).isNull(), F.xxhash64(*self.schema.names)).otherwise(F.xxhash64(self.key))
+        return df.withColumn(BUCKET, F.pmod(by, F.lit(self.buckets)).cast("int"))
+
+    def _rows(self) -> DataFrame:
+        if not path_exists(self.spark, self.root):
+            return self.spark.createDataFrame([], self._stored)
+        return self.spark.read.schema(self._stored).parquet(self.root)
+
+    def _hit(self, bucketed: DataFrame) -> list[int]:
+        """Buckets that occur: at most ``buckets`` numbers."""
+        return sorted(r[0] for r in bucketed.select(BUCKET).distinct().collect())
+
+    def _overwrite(self, rows: DataFrame, hit: list[int]) -> None:
+        """Replace the buckets in ``hit`` by ``rows``.  Buckets left without rows are removed: the overwrite itself
+        would leave their old rows in place."""
+        left = self._hit(rows) if hit else []
+        if left:
+            (
+                rows.select(*self.schema.names, BUCKET)
+                .repartition(BUCKET)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(BUCKET)
+                .parquet(self.root)
+            )
+        for n in set(hit) - set(left):
+            delete_path(self.spark, f"{self.root}/{BUCKET}={n}")
+
+    def upsert(self, batch: DataFrame, *arrival: str) -> None:
+        """Insert or replace the rows of a batch; within it the last arrival of a key wins."""
+        latest = self._bucketed(keep_last(batch, self.key, *arrival).select(*self.schema.names))
+        hit = self._hit(latest)
+        if hit:
+            held = self._rows().filter(F.col(BUCKET).isin(hit))
+            known = latest.filter(F.col(self.key).isNull())
+            kept = held.join(latest.select(self.key), self.key, "left_anti").select(*self.schema.names, BUCKET)
+            # Rows without a key are never replaced; one that is already there is not stored twice.
+            again = known.exceptAll(held.filter(F.col(self.key).isNull()).select(*self.schema.names, BUCKET))
+            keyed = latest.filter(F.col(self.key).isNotNull())
+            self._overwrite(kept.unionByName(keyed).unionByName(again), hit)
 
     def current(self) -> DataFrame:
-        bases, batches = self._state()
-        read = self.spark.read.schema(self.schema)
-        if not bases:
-            return self.spark.createDataFrame([], self.schema)
-        table = read.parquet(bases[max(bases)])
-        if not batches:
-            return table
-        commit = F.regexp_extract(F.col("_metadata.file_path"), r"commit(?:=|%3D)(\d+)", 1)
-        changes = read.parquet(*batches.values()).withColumn("_commit", commit)
-        return upsert(table, changes, self.key, "_commit")
-
-    def rewrite(self, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-        """New base from the current rows; older bases and folded batches are then removed."""
-        bases, batches = self._state()
-        n = max([*bases, *batches], default=-1) + 1
-        path = f"{self.root}/base/upto={n:012d}__rewrite"
-        change(self.current()).select(*self.schema.names).write.mode("overwrite").parquet(path)
-        if not is_committed(self.spark, path):
-            raise RuntimeError(f"{path} was not committed")
-        for old in (*bases.values(), *self._folders("batches").values()):
-            mark_path(self.spark, f"{self.root}/applied/{old.rsplit('__', 1)[1]}")
-            delete_path(self.spark, old)
+        return self._rows().select(*self.schema.names)
+
+    def compact(self) -> None:
+        """Write every bucket anew as one file each."""
+        rows = self._rows()
+        self._overwrite(rows, self._hit(rows))
 
     def delete_where(self, condition: Column) -> None:
         """Hard delete; rows for which the condition is unknown stay."""
-        self.rewrite(lambda df: df.filter(~r.is_true(condition)))
+        rows = self._rows()
+        hit = self._hit(rows.filter(r.is_true(condition)))
+        self._overwrite(rows.filter(F.col(BUCKET).isin(hit)).filter(~r.is_true(condition)), hit)
 
     def delete_keys(self, keys: DataFrame) -> None:
-        self.rewrite(lambda df: df.join(keys.select(self.key), self.key, "left_anti"))
+        rows, gone = self._rows(), keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()
+        hit = self._hit(rows.join(gone, self.key, "left_semi"))
+        self._overwrite(rows.filter(F.col(BUCKET).isin(hit)).join(gone, self.key, "left_anti"), hit)
 
     def clear(self) -> None:
-        self.rewrite(lambda df: df.limit(0))
+        delete_path(self.spark, self.root)
+
+
+BUCKET = "bucket"
 
 
 # --- corrections ------------------------------------------------------------------------------
@@ -206,15 +203,28 @@ def apply_corrections(
     columns: list[str],
     key: str = "notice_id",
     arrival: tuple[str, ...] = (),
+    given: str | None = None,
 ) -> DataFrame:
-    """Stored rows with the corrected columns replaced where a correction is given.
+    """Stored rows with the corrected columns replaced.
 
-    Of several corrections of one row the last arrival counts, so no row is multiplied.
+    Of several corrections of one row the last arrival counts, so no row is multiplied.  ``given`` names a column
+    of ``corrections`` that lists the columns a correction sets, also to null; without it a null leaves what is
+    stored.
     """
-    last = keep_last(corrections, key, *arrival)
-    new = last.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    last = keep_last(corrections.filter(F.col(key).isNotNull()), key, *arrival)
+    new = last.select(
+        key,
+        *[F.col(c).alias(f"_new_{c}") for c in columns],
+        *[
+            (F.col(c).isNotNull() if given is None else F.array_contains(given, c)).alias(f"_set_{c}")
+            for c in columns
+        ],
+    )
     return table.join(new, key, "left").select(
-        *[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns]
+        *[
+            F.when(F.col(f"_set_{c}"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+            for c in table.columns
+        ]
     )
 
 
@@ -235,6 +245,11 @@ def audit_events(
     )
 
 
+def write_audit(events: DataFrame, path: str, batch: str) -> None:
+    """The events of a named batch; given again, they replace themselves."""
+    events.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def append_audit(events: DataFrame, path: str) -> None:
     """Append to the trail, one folder per day so that a day is read without scanning the rest."""
     events.withColumn("event_date", F.to_date("event_ts")).write.mode("append").partitionBy(
@@ -293,6 +308,52 @@ def cascade_erase(
     )
 
 
+class Vault:
+    """Identity and observations as two stored tables under one folder, with their audit trail."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.people = KeyedTable(spark, f"{self.root}/demographics", DEMOGRAPHICS, "abha_id", buckets)
+
+    def store(self, records: DataFrame, as_of: datetime, batch: str, *arrival: str) -> None:
+        """A named batch of records: identities are upserted, its observations replace themselves."""
+        people, payloads = split_vault(records, as_of, *arrival)
+        payloads.write.mode("overwrite").parquet(f"{self.root}/observations/batch={batch}")
+        self.people.upsert(people)
+
+    def observations(self) -> DataFrame:
+        if not path_exists(self.spark, f"{self.root}/observations"):
+            return self.spark.createDataFrame([], OBSERVATIONS)
+        return self.spark.read.schema(OBSERVATIONS).parquet(f"{self.root}/observations/*")
+
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/audit").select(*AUDIT_COLUMNS)
+
+    def erase(self, ids: DataFrame, as_of: datetime, batch: str) -> None:
+        """Erase ids everywhere: the trail first, then the observations, then the identities.
+
+        The ids of a named erasure are kept until it is through, so that one that broke off is finished by giving
+        it again, with the same events.
+        """
+        pending = f"{self.root}/pending/{batch}"
+        if not is_committed(self.spark, pending):
+            ids.select("abha_id").filter("abha_id is not null").distinct().write.mode("overwrite").parquet(pending)
+        gone = self.spark.read.schema(DEMOGRAPHICS).parquet(pending).select("abha_id")
+        events, _, _ = cascade_erase(gone, gone, gone, as_of)
+        if not is_committed(self.spark, f"{self.root}/audit/batch={batch}"):
+            write_audit(events, f"{self.root}/audit", batch)
+        for name in child_names(self.spark, f"{self.root}/observations"):
+            folder = f"{self.root}/observations/{name}"
+            held = self.spark.read.schema(OBSERVATIONS).parquet(folder)
+            if not held.join(gone, "abha_id", "left_semi").isEmpty():
+                left = f"{self.root}/rewrite/{name}"
+                held.join(gone, "abha_id", "left_anti").write.mode("overwrite").parquet(left)
+                self.spark.read.schema(OBSERVATIONS).parquet(left).write.mode("overwrite").parquet(folder)
+                delete_path(self.spark, left)
+        self.people.delete_keys(gone)
+        delete_path(self.spark, pending)
+
+
 def route_pillars(df: DataFrame, key: str, pillar_of: dict[str, str]) -> dict[str, DataFrame]:
     """One table per pillar: the key and the columns the config sends there."""
     pillars = dict.fromkeys(pillar_of.values())

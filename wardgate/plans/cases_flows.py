@@ -82,6 +82,50 @@ def flow_adapter_batch(spark, sf):
     )
 
 
+@query(
+    "flow_adapter_landing",
+    with_fixtures(
+        "intake",
+        "registry",
+        "links",
+        first="SELECT patient_name, abha_id AS rid, consent_status AS rcs FROM registry WHERE reg_seq = 1",
+        found="""SELECT i.notice_id, i.patient_name, i.notice_date, i.clinical_payload,
+            coalesce(i.abha_id, f.rid, l.abha_id) AS abha_id,
+            CASE WHEN i.abha_id IS NULL AND f.rid IS NOT NULL THEN f.rcs ELSE i.consent_status END
+                AS consent_status,
+            CASE WHEN i.abha_id IS NOT NULL THEN NULL WHEN f.rid IS NOT NULL THEN 'RECOVERED_FROM_DB'
+                WHEN l.abha_id IS NOT NULL THEN 'LINKED_BY_GATEWAY' END AS discovery_status
+            FROM intake i LEFT JOIN first f ON i.patient_name = f.patient_name
+            LEFT JOIN links l ON i.patient_name = l.patient_name""",
+        judged=f"""SELECT *, CASE WHEN upper(consent_status) = 'REVOKED' THEN 'CONSENT_REVOKED'
+            WHEN CAST(notice_date AS TIMESTAMP) < {q.CUTOFF} THEN 'NOTICE_EXPIRED' ELSE 'N/A' END
+            AS erasure_reason FROM found""",
+    )
+    + f"""SELECT notice_id, consent_status, discovery_status, {q.OUTCOME} AS outcome,
+        CASE WHEN erasure_reason <> 'N/A' THEN 'REDACTED' ELSE patient_name END AS patient_name,
+        CASE WHEN erasure_reason <> 'N/A' THEN 'REDACTED' ELSE abha_id END AS abha_id,
+        {q.member('clinical_payload', 'visit_type', 'UNKNOWN')} AS visit_type,
+        {q.snomed(q.member('clinical_payload', 'diagnosis', ''), '')} AS snomed_code FROM judged""",
+)
+def flow_adapter_landing(spark, sf):
+    """The adapter batch over landed files: three kinds, each with its own spelling of the headers."""
+    root = new_folder(spark, "adapter")
+    fields = ["patient_name", "abha_id", "clinical_payload", "consent_status", "notice_id", "notice_date", "data_purpose"]
+    base = fixture(spark, sf, "base").withColumn("kind", c("k") % 3)
+    names = {"patient_name": "Member Name", "abha_id": "uhid", "clinical_payload": "case-data"}
+    shown = [c(f).alias(names.get(f, f)) for f in fields]
+    base.filter("kind = 0").select(*shown).write.options(header=True, escape='"').csv(f"{root}/a")
+    base.filter("kind = 1").select(*reversed(shown)).write.options(header=True, escape='"').csv(f"{root}/b")
+    base.filter("kind = 2").select(*shown).write.json(f"{root}/c")
+    out, _ = flows.adapter_landing(
+        spark, root, AS_OF, fixture(spark, sf, "registry"), fixture(spark, sf, "links")
+    )
+    return out.select(
+        "notice_id", "consent_status", "discovery_status", "outcome", "patient_name", "abha_id",
+        "visit_type", "snomed_code",
+    )
+
+
 @query(
     "flow_desk_corrections",
     with_fixtures(
@@ -107,5 +151,9 @@ def flow_desk_corrections(spark, sf):
     # The clinical desk first: its records keep their reason until it has seen them.
     for desk in ("CLINICAL", "IDENTITY"):
         waiting = edits if desk == "CLINICAL" else edits.filter(c("abha_id").isNotNull())
-        flows.correct(patients, waiting, desk, AS_OF, f"{root}/audit")
+        # An earlier edit of each record, which must not count, and the batch given twice.
+        early = waiting.withColumns({"seq": F.lit(0), "abha_id": F.lit("x"), "clinical_payload": F.lit("x")})
+        both = waiting.withColumn("seq", F.lit(1)).unionByName(early)
+        for _ in range(2):
+            flows.correct(patients, both, desk, AS_OF, root, desk, "seq")
     return patients.current().select(*[x.strip() for x in S.split(",")])

@@ -9,6 +9,7 @@ from wardgate.functions import privacy as p
 from wardgate.functions import rules as r
 from wardgate.operators import dispositions as d
 from wardgate.operators import tables as tb
+from wardgate.plans import flows
 from wardgate.plans import sql_rules as q
 from wardgate.plans.fixtures import fixture, with_fixtures
 from wardgate.plans.registry import AS_OF, query
@@ -65,7 +66,7 @@ def k1_table(spark, sf):
 @query("K1_compacted_table", UPSERTED + f"SELECT {S} FROM stored")
 def k1_compacted(spark, sf):
     patients = _loaded(spark, sf, "k1c")
-    patients.rewrite()
+    patients.compact()
     return _columns(patients.current())
 
 
@@ -130,11 +131,13 @@ def _purge_events(gated):
         FROM ({PURGE_AUDIT}) t""",
 )
 def k4(spark, sf):
+    """Table and trail are emptied, then the trail begins anew."""
     folder = new_folder(spark, "k4")
     gated = d.apply_gate(fixture(spark, sf, "intake"))
     tb.append_audit(_purge_events(gated), folder)
     patients = _loaded(spark, sf, "k4t")
-    patients.clear()
+    flows.reset(patients, folder)
+    tb.append_audit(_purge_events(gated), folder)
     left = patients.current().select(F.lit(1).alias("p"), F.lit(None).cast("int").alias("e"))
     events = spark.read.parquet(folder).select(
         F.lit(None).cast("int").alias("p"), F.lit(1).alias("e")
@@ -144,6 +147,61 @@ def k4(spark, sf):
     )
 
 
+@query(
+    "K3_purge_flow",
+    UPSERTED
+    + """SELECT 'event' AS part, CAST(count(*) AS STRING) || ' Records' AS what FROM stored
+            WHERE status_reason = 'CONSENT_REVOKED'
+        UNION ALL SELECT 'left', notice_id FROM stored WHERE coalesce(status_reason <> 'CONSENT_REVOKED', true)""",
+)
+def k3_flow(spark, sf):
+    """Delete, then record the event with its number; given twice it is the same."""
+    patients = _loaded(spark, sf, "k3f")
+    trail = new_folder(spark, "k3f-audit")
+    for _ in range(2):
+        flows.purge(patients, "CONSENT_REVOKED", AS_OF, trail, "p1")
+    events = spark.read.parquet(trail).select(F.lit("event").alias("part"), c("target_token").alias("what"))
+    return events.unionByName(patients.current().select(F.lit("left").alias("part"), c("notice_id").alias("what")))
+
+
+@query(
+    "K10_stored_vault_erasure",
+    with_fixtures(
+        "base",
+        demographics="""SELECT abha_id, patient_name, notice_date, consent_status FROM base
+        QUALIFY abha_id IS NULL OR row_number() OVER (PARTITION BY abha_id ORDER BY k DESC) = 1""",
+        observations="SELECT abha_id, clinical_payload FROM base",
+        gone=f"""SELECT DISTINCT abha_id FROM demographics WHERE upper(consent_status) = 'REVOKED'
+        OR CAST(notice_date AS TIMESTAMP) < {q.CUTOFF}""",
+    )
+    + f"""SELECT 'audit' AS part, {q.token('abha_id')} AS key, CAST(1 AS BIGINT) AS n FROM gone
+        WHERE abha_id IS NOT NULL
+    UNION ALL SELECT 'observations', abha_id, CAST(count(*) AS BIGINT) FROM observations o
+        WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.abha_id = o.abha_id) GROUP BY abha_id
+    UNION ALL SELECT 'demographics', abha_id, CAST(count(*) AS BIGINT) FROM demographics o
+        WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.abha_id = o.abha_id) GROUP BY abha_id""",
+)
+def k10_stored(spark, sf):
+    """The vault stored in two batches, erased by id twice, and all three tables read back."""
+    vault = tb.Vault(spark, new_folder(spark, "vault"))
+    base = fixture(spark, sf, "base")
+    middle = base.agg(F.max("k")).first()[0] // 2
+    for name, part in (("a", base.filter(c("k") <= middle)), ("b", base.filter(c("k") > middle))):
+        for _ in range(2):
+            vault.store(part, AS_OF, name, "k")
+    for _ in range(2):
+        judged = d.apply_retention_policy(vault.people.current(), AS_OF)
+        vault.erase(judged.filter(c("evaluation") == "PURGE_REQUIRED"), AS_OF, "e1")
+
+    def per_key(df, part, key):
+        return df.groupBy(c(key).alias("key")).agg(F.count("*").alias("n")).withColumn("part", F.lit(part))
+
+    audit = vault.events().select(c("target_token").alias("key"), F.lit(1).cast("bigint").alias("n"), F.lit("audit").alias("part"))
+    return audit.unionByName(per_key(vault.observations(), "observations", "abha_id")).unionByName(
+        per_key(vault.people.current(), "demographics", "abha_id")
+    )
+
+
 @query("K5_audit_append", PURGE_AUDIT)
 def k5(spark, sf):
     folder = new_folder(spark, "k5")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgate.functions import privacy as p
 from wardgate.operators import aliases, dispositions, identity, metrics, naming
 from wardgate.operators import tables as tb
+from wardgate.sources import intake
+from wardgate.workspace import delete_path, is_committed
 
 
 def gate_intake(raw: DataFrame) -> DataFrame:
@@ -49,27 +52,80 @@ DESK_COLUMNS = {"IDENTITY": ["abha_id"], "CLINICAL": ["clinical_payload", "bill_
 
 
 def correct(
-    patients: tb.KeyedTable, edits: DataFrame, desk: str, as_of: datetime, audit_path: str
+    patients: tb.KeyedTable,
+    edits: DataFrame,
+    desk: str,
+    as_of: datetime,
+    work_path: str,
+    batch: str,
+    arrival: str,
+    given: str | None = None,
 ) -> None:
-    """Take in a desk's edits: log the changed records, gate them again and store them.
+    """Take in a named batch of a desk's edits: log the changed records, gate them again and store them.
 
-    Every rule looks at one record, so only corrected records are gated again.
+    Of several edits of a record the last by ``arrival`` counts; ``given`` as in ``apply_corrections``.  The
+    changed records are written once, below ``work_path``; trail and table are made from them, so a batch given
+    again, or one that broke off, leaves the same trail and the same table.  Every rule looks at one
+    record, so only corrected records are gated again.
     """
     columns = DESK_COLUMNS[desk]
     event, label = DESK_EVENTS[desk]
-    stored = patients.current()
-    waiting = stored.filter(F.col("status_reason") == dispositions.DESKS[desk][0])
-    changed = tb.changed_rows(waiting, edits.select(patients.key, *columns), columns)
-    changed = changed.select(patients.key, *columns)
-    touched = waiting.join(changed.select(patients.key), patients.key, "left_semi")
-    fixed = tb.apply_corrections(touched, changed, columns, patients.key)
+    spark = edits.sparkSession
+    folder = f"{work_path}/corrected/{batch}"
+    if not is_committed(spark, folder):
+        waiting = patients.current().filter(F.col("status_reason") == dispositions.DESKS[desk][0])
+        last = tb.keep_last(edits.filter(F.col(patients.key).isNotNull()), patients.key, arrival)
+        touched = waiting.join(last.select(patients.key), patients.key, "left_semi")
+        fixed = tb.apply_corrections(touched, last, columns, patients.key, (), given)
+        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in columns]
+        changed = fixed.alias("new").join(touched.alias("old"), patients.key).filter(~reduce(Column.__and__, same))
+        rows = tb.to_stored(dispositions.apply_gate(changed.select("new.*")), as_of)
+        rows.write.mode("overwrite").parquet(folder)
+    done = spark.read.schema(tb.PATIENTS).parquet(folder)
     events = tb.audit_events(
-        changed,
+        done,
         as_of,
         F.lit(event),
         p.id_token(F.col(patients.key)),
         F.lit(label),
         F.lit(f"Corrected {', '.join(columns)}"),
     )
-    tb.append_audit(events, audit_path)
-    patients.upsert(tb.to_stored(dispositions.apply_gate(fixed), as_of))
+    tb.write_audit(events, f"{work_path}/audit", batch)
+    patients.upsert(done)
+
+
+def purge(patients: tb.KeyedTable, reason: str, as_of: datetime, audit_path: str, batch: str) -> None:
+    """Delete the records held for ``reason``, then record the event with their number.
+
+    The number is written before the rows go, under the batch's name, so that a purge that broke off is finished with
+    the number it began with.
+    """
+    pending = f"{audit_path}-pending/{batch}"
+    spark = patients.spark
+    if not is_committed(spark, pending):
+        doomed = patients.current().filter(F.col("status_reason") == reason)
+        doomed.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(pending)
+    patients.delete_where(F.col("status_reason") == reason)
+    events = tb.audit_events(
+        spark.read.parquet(pending),
+        as_of,
+        F.lit("RULE_8_PURGE"),
+        F.format_string("%d Records", F.col("n")),
+        F.lit("DPDP Rule 8"),
+        F.lit(f"Purge of {reason}"),
+    )
+    tb.write_audit(events, audit_path, batch)
+
+
+def reset(patients: tb.KeyedTable, audit_path: str) -> None:
+    """Empty the table and its trail."""
+    patients.clear()
+    delete_path(patients.spark, audit_path)
+
+
+def adapter_landing(
+    spark: SparkSession, path: str, as_of: datetime, registry: DataFrame, links: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(adapter records, rejects) of a folder of mixed files: aliases, identity, coding, erasure, wiping."""
+    records, rejects = intake.take_in(spark, path, intake.by_alias)
+    return adapter_batch(records.drop("path", "format"), as_of, registry, links), rejects

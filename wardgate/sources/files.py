@@ -100,15 +100,6 @@ def read_xml_any_tag(
     return last
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
-    """Stored records, or none when there is no table yet."""
-    from wardgate.workspace import is_committed
-
-    if not is_committed(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
 def accepted_and_rejected(
     docs: DataFrame, body: str = "body", schema: T.StructType = RECORD
 ) -> tuple[DataFrame, DataFrame]:

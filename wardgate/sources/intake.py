@@ -44,6 +44,11 @@ def by_alias(name: str) -> str | None:
     return found if found in v.CANONICAL else by_canonical(name)
 
 
+def known_names() -> list[str]:
+    """Every spelling that some naming knows."""
+    return [*v.CANONICAL, *v.CANONICAL.values(), *naming.synonym_map(), *(a for a, _, _ in aliases.alias_rows())]
+
+
 def _any_case(extension: str) -> str:
     return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in extension)
 
@@ -147,8 +152,9 @@ def json_fields(docs: DataFrame, name: Naming, known: Iterable[str]) -> Landed:
         return F.try_element_at(mine, F.lit(-1))["x"]
 
     filled = items.withColumn("_m", lower)
+    rest = [c for c in docs.columns if c != "body"]
     records = filled.select(
-        "path", *[(member(f) if by_field[f] else F.lit(None).cast("string")).alias(f) for f in v.CANONICAL]
+        *rest, *[(member(f) if by_field[f] else F.lit(None).cast("string")).alias(f) for f in v.CANONICAL]
     )
     return records, _rejects(docs.filter(~shaped & (text != "")), F.col("body"), "no JSON record")
 
@@ -160,11 +166,10 @@ def read_json_files(spark: SparkSession, path: str, extension: str, name: Naming
     by_line: dict[bool, list[str]] = defaultdict(list)
     for r in first.select("path", F.try_parse_json(F.trim("first")).isNotNull().alias("whole")).collect():
         by_line[r.whole].append(r.path)
-    known = [*v.CANONICAL, *v.CANONICAL.values(), *naming.synonym_map(), *(a for a, _, _ in aliases.alias_rows())]
     parts = []
     for whole_lines, paths in by_line.items():
         docs = _documents(spark, paths, not whole_lines).withColumnRenamed("doc_id", "path")
-        parts.append(json_fields(docs, name, known))
+        parts.append(json_fields(docs, name, known_names()))
     if not parts:
         return _nothing(spark)
     return _union([p[0] for p in parts]), _union([p[1] for p in parts])

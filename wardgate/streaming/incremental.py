@@ -6,12 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardgate.operators import naming
 from wardgate.operators.dispositions import apply_gate
 from wardgate.operators.tables import KeyedTable, audit_events, to_stored
-from wardgate.sources.files import RECORD
+from wardgate.sources import intake
 
 
 def intake_stream(
@@ -21,32 +20,37 @@ def intake_stream(
     audit_path: str,
     checkpoint: str,
     as_of: datetime,
-    schema: T.StructType = RECORD,
+    rejects_path: str | None = None,
+    name_of: intake.Naming = intake.by_canonical,
     files_per_batch: int | None = None,
     name: str = "stream",
 ):
     """Start the job over JSON-lines files and return its query; it ends when all are taken in.
 
-    The table is the state, so no watermark is needed.  A micro-batch is stored under its own
-    number: a batch delivered again after a lost executor or driver is found to be in already, and
-    its audit row replaces itself.
+    The table is the state, so no watermark is needed.  Members are mapped by ``name_of``; lines that hold no
+    record and records without a key go to ``rejects_path`` (default: beside the trail).  A micro-batch
+    delivered again after a lost executor or driver replaces its own rows, rejects and audit row.
     """
-    reader = spark.readStream.schema(schema)
+    rejects_path = rejects_path or f"{audit_path}-rejects"
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arrivals = reader.json(landing).withColumns(
-        {
-            "_landed": F.col("_metadata.file_modification_time"),
-            "_file": F.col("_metadata.file_path"),
-        }
+    arrivals = reader.text(landing).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("landed"),
+        F.col("value").alias("body"),
     )
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        gated = apply_gate(naming.canonical_rename(batch))
-        rows = to_stored(gated, as_of, "_landed", "_file")
-        table.upsert(rows, "_landed", "_file", name=f"{name}-{batch_id}")
+        good, bad = intake.json_fields(batch, name_of, intake.known_names())
+        keyless = good.filter(F.col(table.key).isNull())
+        texts = F.to_json(F.struct(*[x for x in good.columns if x not in ("path", "landed")]))
+        bad = bad.unionByName(keyless.select("path", texts.alias("text"), F.lit("no key").alias("reason")))
+        bad.write.mode("overwrite").parquet(f"{rejects_path}/stream={name}/batch={batch_id}")
+        gated = apply_gate(naming.canonical_rename(good.filter(F.col(table.key).isNotNull())))
+        table.upsert(to_stored(gated, as_of, "landed", "path"), "landed", "path")
         events = audit_events(
-            batch.agg(F.count("*").alias("n")),
+            good.agg(F.count("*").alias("n")),
             as_of,
             F.lit("INTAKE"),
             F.format_string("%d Records", F.col("n")),

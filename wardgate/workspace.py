@@ -28,13 +28,12 @@ def is_committed(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def committed_children(spark: SparkSession, path: str) -> list[str]:
-    """Names of the sub-folders whose write job finished."""
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(n for n in names if is_committed(spark, f"{path}/{n}"))
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -42,12 +41,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def mark_path(spark: SparkSession, path: str) -> None:
-    """An empty folder whose presence is the message."""
-    fs, p = _fs(spark, path)
-    fs.mkdirs(p)
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
