@@ -38,27 +38,29 @@ STEP = 0.2  # greatest share of a length that one filling covers at a time
 SHARPNESS = 8.0
 SALTS = 256
 ROWS_PER_SALT = 1_000_000
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 LONGEST_WORD_KEPT = 48
 TEXTS_AT_A_TIME = 256
+BETWEEN = "♥"
 
 Filling = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
+STOP = re.compile(r"(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])([.,])(?=[ \n])")  # letters that stay one letter in lower case
+
+
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts, encoded word by word.
 
     The tokenizer drops white space and never joins across it, so each word between white space is encoded
     once and remembered; the memory is dropped as a whole when it is full.  New words go to the tokenizer many
-    at a time, with a special token between them.
+    at a time, with a sign between them that no word holds.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special}
-        self.between, self.between_id = max(special.items(), default=("", -1), key=lambda x: x[1])
-        self.first_of_specials = {x[0] for x in special}
+        self.between = np.frombuffer(self._alone(BETWEEN), "<u4")
         self.known: dict[str, bytes] = {}
 
     def _alone(self, word: str) -> bytes:
@@ -66,22 +68,19 @@ class WordIds:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of all words."""
-        found = {}
-        plain = []
-        for w in words:
-            if not self.between or self.first_of_specials.intersection(w):
-                found[w] = self._alone(w)
-            else:
-                plain.append(w)
-        for at in range(0, len(plain), 2048):
-            some = plain[at : at + 2048]
-            joined = f" {self.between} ".join([*some, ""])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.between_id)
+        found = {w: self._alone(w) for w in words if BETWEEN in w}
+        plain = [w for w in words if w not in found]
+        size = len(self.between)
+        for at in range(0, len(plain), 1024):
+            some = plain[at : at + 1024]
+            joined = f" {BETWEEN} ".join([*some, ""])
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+            hit = np.lib.stride_tricks.sliding_window_view(ids, size) == self.between
+            ends = np.flatnonzero(hit.all(axis=1))
             data, start = ids.tobytes(), 0
             for w, e in zip(some, ends.tolist(), strict=True):
                 found[w] = data[4 * start : 4 * e]
-                start = e + 1
+                start = e + size
         return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -101,9 +100,16 @@ class WordIds:
 
 
 def _split(text: str | None) -> list[str]:
-    """Words between white space; the separators U+001C to U+001F, white space to Python alone, stay in words."""
+    """Words between white space; the separators U+001C to U+001F, white space to Python alone, stay in words.
+
+    A full stop or comma between a letter and white space is a token of its own, so it is split off; plain ASCII is
+    lower-cased as the tokenizer does.  Both leave fewer different words to remember.
+    """
     if not text:
         return []
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    text = STOP.sub(r" \1", text)
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return [w for w in re.split(r"[ \t\n\r\f\v]+", text) if w]
     return text.split()

@@ -64,7 +64,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-@query("op9_topk")
+@query(
+    "op9_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+        AS rank, vec_id, score FROM s QUALIFY rank <= 10
+    """,
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for each vector whose id is divisible by 100."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -120,7 +135,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
-@query("op7_embeddings")
+@query(
+    "op7_embeddings",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+    ), reach(a, b) AS (
+        SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
+        vec_id <= coalesce(low.b, vec_id) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
+    """,
+)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all vectors within their labels."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
