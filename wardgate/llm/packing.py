@@ -57,7 +57,8 @@ class WordIds:
     at a time, with a sign between them that no word holds.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, kept: int | None = None):
+        self.kept = kept or WORDS_KEPT
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.between = np.frombuffer(self._alone(BETWEEN), "<u4")
@@ -86,7 +87,7 @@ class WordIds:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         words = [_split(t) for t in texts]
         new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > WORDS_KEPT:
+        if len(self.known) + len(new) > self.kept:
             self.known = {}
             new = set().union(*words)
         found = self.learn(list(new))
@@ -116,16 +117,21 @@ def _split(text: str | None) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def word_ids(tokenizer_file: str) -> WordIds:
-    return WordIds(tokenizer_file)
+def word_ids(tokenizer_file: str, kept: int | None = None) -> WordIds:
+    return WordIds(tokenizer_file, kept)
 
 
-def cut(docs: DataFrame, doc_id: str, text: str, tokenizer_file: str, size: int, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece."""
+def cut(
+    docs: DataFrame, doc_id: str, text: str, tokenizer_file: str, size: int, end_id: int, words_kept: int | None = None
+) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every piece.
+
+    ``words_kept`` bounds the words a task remembers: fewer take less memory and more time, the ids are the same.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_ids(tokenizer_file)
+        words = word_ids(tokenizer_file, words_kept)
         for b in batches:
             rows = []
             for at in range(0, len(b), TEXTS_AT_A_TIME):
@@ -301,6 +307,7 @@ def pack(
     text: str = "text",
     size: int = SEQUENCE,
     end_id: int = 0,
+    words_kept: int | None = None,
 ) -> DataFrame:
     """Every piece of every document with its sequence and its offset there."""
-    return packed(landed(cut(docs, doc_id, text, tokenizer_file, size, end_id), "pieces"), size)
+    return packed(landed(cut(docs, doc_id, text, tokenizer_file, size, end_id, words_kept), "pieces"), size)
