@@ -1,0 +1,63 @@
+import random
+
+import pytest
+
+from wardgate.llm import alike, simhash, stages
+
+
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def plain_components(texts):
+    """{doc: smallest doc reachable} by the Jaccard similarity of all pairs."""
+    ids = sorted(texts)
+    sets = {i: plain_shingles(texts[i]) for i in ids}
+    low = {i: i for i in ids}
+    root = lambda i: i if low[i] == i else root(low[i])
+    for i in ids:
+        for j in ids:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                low[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"edit{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def planted(seed):
+    """Unlike texts, near copies of some with one to six edited words, and one group of near copies."""
+    rng = random.Random(seed)
+    texts = [[f"w{rng.randrange(4000)}" for _ in range(rng.randrange(30, 220))] for _ in range(60)]
+    out = [" ".join(t) for t in texts]
+    out += [edited(rng, t, rng.randrange(1, 7)) for t in texts[:30] for _ in range(2)]
+    group = [f"g{i}" for i in range(200)]
+    out += [edited(rng, group, rng.randrange(1, 4)) for _ in range(40)]
+    out += [None, "", " \t", "One", "one", "One two", out[0], out[0].upper()]
+    rng.shuffle(out)
+    return dict(enumerate(out))
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_components_equal_brute_force(spark, most):
+    """With ``most`` 2 nearly every shared shingle goes through pivots."""
+    texts = planted(3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = alike.near_duplicates(docs, most=most).collect()
+    assert {r.doc_id: r.component_id for r in rows} == plain_components(texts) and len(rows) == len(texts)
+
+
+def test_stage_keeps_one_of_texts_that_fingerprints_hold_apart(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    texts = {1: " ".join(words), 2: edited(rng, words, 2), 3: " ".join(f"u{i}" for i in range(120))}
+    assert (simhash.fingerprint(texts[1]) ^ simhash.fingerprint(texts[2])).bit_count() > 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()) == [1, 3]
+    assert stages.near_duplicates(spark, docs.limit(0), "").collect() == []
