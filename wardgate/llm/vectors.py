@@ -11,8 +11,11 @@ greedy beam from the medoid and the vector's own node, then an expansion over al
 What is found is verified in double precision.  A pair found in several shards counts in the first shard both
 share, so tasks hand on counts and local components, not pairs.
 
-Recall is audited: at most ``AUDITED`` vectors are compared with all rows of their label, and the build is repeated with
-more overlap and a wider beam while less than ``ENOUGH`` of their links were found.
+Recall is audited: vectors picked by hash are compared with all rows of their label, in chunks of ``CHUNK_AUDITED``, until
+``AUDITED`` vectors with at most ``FEW`` links and as many with more were seen, or all vectors, or ``AUDIT_CHUNKS`` chunks.  Recall
+is the mean share of a vector's links that was found, apart for those with few links and those with more, so that a
+tight cluster does not hide scattered pairs.  The build is repeated with more overlap and a wider beam while one of
+the two is under ``ENOUGH``; if it is so after ``BUILDS`` builds, every two blocks of a label are compared exactly.
 
 Equal vectors of a label are one node with a number of copies.  Vectors that are null, empty, zero, without label
 or with null or non-finite components link with nothing; labels with vectors of several lengths are several labels.
@@ -32,7 +35,7 @@ from wardgate.llm.components import components
 
 SHARD = 512  # rows a shard holds
 PIVOTS = 1024  # of a cell, at most
-OVERLAP = 2
+OVERLAP = 4
 LEVELS = 2
 ROWS_PER_SALT = 50_000
 NEAREST, DISTANT = 40, 24  # candidates of a vector
@@ -40,7 +43,10 @@ KEPT_NEAR, KEPT_FAR = 16, 8  # after pruning
 ALPHA = 1.2
 BEAM = 32
 WIDER = 0.08  # below the threshold, nodes that the search still goes through
-AUDITED = 200
+AUDITED = 200  # vectors with links, of few and of many
+FEW = 8  # links
+CHUNK_AUDITED, AUDIT_CHUNKS = 4096, 16
+BUILDS = 3
 ENOUGH = 0.97
 CHUNK = 256
 
@@ -198,10 +204,10 @@ def _apart(p: np.ndarray, most: float) -> np.ndarray:
     return p[kept]
 
 
-def _cells(nodes: DataFrame, threshold: float, overlap: int, shard: int) -> DataFrame:
-    """(id, copies, x, shard): each node once for every shard it is in."""
+def _cells(nodes: DataFrame, threshold: float, overlap: int, shard: int, levels: int = LEVELS) -> DataFrame:
+    """(id, copies, x, shard): each node once for every shard it is in.  Without levels every two nodes share a shard."""
     rows = nodes.withColumn("cell", F.col("grp")).drop("grp")
-    for level in range(LEVELS):
+    for level in range(levels):
         sizes = rows.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > shard)
         sizes = landed(sizes, "cell-sizes")
         if sizes.isEmpty():
@@ -250,9 +256,20 @@ def _cells(nodes: DataFrame, threshold: float, overlap: int, shard: int) -> Data
     return marked.withColumn("shard", F.explode(others)).select("id", "copies", "x", "shard")
 
 
-def _search(nodes: DataFrame, threshold: float, overlap: int, beam: int, shard: int) -> DataFrame:
+def exact_links(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Codes i * n + j (i < j) of all pairs with a cosine of at least ``threshold``."""
+    n = len(x)
+    codes = [np.zeros(0, np.int64)]
+    for at in range(0, n, CHUNK):
+        i, j = np.nonzero(x[at : at + CHUNK] @ x.T >= threshold)
+        codes.append((i + at) * n + j)
+    code = np.concatenate(codes)
+    return code[code // n < code % n] if n else code
+
+
+def _search(nodes: DataFrame, threshold: float, overlap: int, beam: int, shard: int, exact: bool = False) -> DataFrame:
     """(id, links, low): links of each node in a shard, and the smallest id of its component there."""
-    rows = landed(_cells(nodes, threshold, overlap, shard), "shards")
+    rows = landed(_cells(nodes, threshold, overlap, shard, 0 if exact else LEVELS), "shards")
     shards = rows.groupBy("id").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -264,6 +281,8 @@ def _search(nodes: DataFrame, threshold: float, overlap: int, beam: int, shard:
         return pd.DataFrame({"id": ids[owner], "near": pd.Series(np.split(ids[b], first[1:]) if len(a) else [], dtype=object)})
 
     lists = rows.groupBy("shard").applyInPandas(build, "id long, near array<long>")
+    if exact:
+        lists = lists.limit(0)
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     full = landed(rows.join(shards, "id").join(united, "id", "left"), "united")
 
@@ -276,7 +295,7 @@ def _search(nodes: DataFrame, threshold: float, overlap: int, beam: int, shard:
         b_ids = np.concatenate(near) if n else np.zeros(0, np.int64)
         b = np.minimum(np.searchsorted(ids, b_ids), n - 1)
         here = ids[b] == b_ids  # the part of the united graph in this shard
-        code = found_links(x, adjacency(n, a[here], b[here]), threshold, beam)
+        code = exact_links(x, threshold) if exact else found_links(x, adjacency(n, a[here], b[here]), threshold, beam)
         i, j = code // n, code % n
         low = local_components(n, i, j)
         # a pair counts in the first shard both are in
@@ -297,27 +316,41 @@ def _search(nodes: DataFrame, threshold: float, overlap: int, beam: int, shard:
     return landed(full.groupBy("shard").applyInPandas(search, "id long, links long, low long"), "links")
 
 
-def audited(nodes: DataFrame, links: DataFrame, threshold: float, most: int = AUDITED) -> tuple[int, int]:
-    """(found, true) links of at most ``most`` nodes, compared with every row of their label."""
-    some = nodes.orderBy(F.xxhash64("id", F.lit(99)), "id").limit(most).toPandas()
-    if not len(some):
-        return 0, 0
-    held = nodes.sparkSession.sparkContext.broadcast((some["id"].to_numpy(), some["grp"].to_numpy(), list(some["x"])))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, groups, vectors = held.value
-        for b in batches:
-            for g, part in b.groupby("grp"):
-                of = np.flatnonzero(groups == g)
-                if len(of):
-                    q = _unit(np.array([np.asarray(vectors[i], float) for i in of]))
-                    hit = (q @ _unit(_matrix(part["x"])).T >= threshold) & (ids[of][:, None] != part["id"].to_numpy()[None, :])
-                    yield pd.DataFrame({"id": ids[of], "n": hit @ part["copies"].to_numpy()})
-
-    true = nodes.mapInPandas(compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    sums = links.groupBy("id").agg(F.sum("links").alias("links"))
-    got = true.join(sums, "id", "left").agg(F.sum(F.least("links", "n")), F.sum("n")).first()
-    return int(got[0] or 0), int(got[1] or 0)
+def audited(nodes: DataFrame, links: DataFrame, threshold: float, most: int = AUDITED) -> list[tuple[int, float]]:
+    """(vectors seen, mean recall) of the linked vectors with few and with more links, compared with all rows of their label."""
+    spark = nodes.sparkSession
+    sums = landed(links.groupBy("id").agg(F.sum("links").alias("links")), "found")
+    parts = max(1, -(-nodes.count() // CHUNK_AUDITED))
+    part_of = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(parts))
+    seen = []
+
+    for chunk in range(min(parts, AUDIT_CHUNKS)):
+        some = nodes.where(part_of == chunk).toPandas()
+        if not len(some):
+            continue
+        held = spark.sparkContext.broadcast((some["id"].to_numpy(), some["grp"].to_numpy(), list(some["x"])))
+
+        def compare(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, groups, vectors = held.value
+            for b in batches:
+                for g, part in b.groupby("grp"):
+                    of = np.flatnonzero(groups == g)
+                    rows = _unit(_matrix(part["x"])).T if len(of) else None
+                    for at in range(0, len(of), CHUNK):
+                        some = of[at : at + CHUNK]
+                        q = _unit(np.array([np.asarray(vectors[i], float) for i in some]))
+                        hit = (q @ rows >= threshold) & (ids[some][:, None] != part["id"].to_numpy()[None, :])
+                        n = hit @ part["copies"].to_numpy()
+                        yield pd.DataFrame({"id": ids[some][n > 0], "n": n[n > 0]})
+
+        true = nodes.mapInPandas(compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        seen += true.join(sums, "id", "left").select("n", F.coalesce("links", F.lit(0)).alias("links")).collect()
+        held.unpersist()
+        few = sum(r.n <= FEW for r in seen)
+        if few >= most and len(seen) - few >= most:
+            break
+    shares = [[min(r.links, r.n) / r.n for r in seen if (r.n <= FEW) == side] for side in (True, False)]
+    return [(len(v), float(np.mean(v)) if v else 1.0) for v in shares]
 
 
 def near_duplicates(
@@ -330,12 +363,13 @@ def near_duplicates(
         rows.groupBy("grp", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "nodes"
     )
     beam = BEAM
-    for _ in range(3):
+    for _ in range(BUILDS):
         links = _search(nodes, threshold, overlap, beam, shard)
-        found, true = audited(nodes, links, threshold)
-        if found >= ENOUGH * true:
+        if all(recall >= ENOUGH for _, recall in audited(nodes, links, threshold)):
             break
         overlap, beam = 2 * overlap, 2 * beam
+    else:
+        links = _search(nodes, threshold, overlap, beam, shard, exact=True)
     sums = links.groupBy("id").agg(F.sum("links").alias("links"))
     together = components(links.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     of_node = (
