@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import hmm, lang, rollup, substrings, topk, toxicity, vectors
+from wardgate.llm import exact, hmm, lang, resample, rollup, substrings, topk, toxicity, vectors
 from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, new_folder, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
@@ -158,3 +158,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all vectors within their labels."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query(
+    "op12_exact_dedup",
+    r"""
+    WITH n AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+        FROM documents
+    )
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+        row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+    FROM n WINDOW w AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal without white space, and the row of each that stays."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn by importance for the benchmark's word distribution."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
