@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import exact, hmm, lang, resample, rollup, substrings, topk, toxicity, vectors
+from wardgate.llm import exact, hmm, lang, resample, rollup, substrings, topk, toxicity, turns, vectors
 from wardgate.llm.common import ORACLES, QUERIES, crc_part, landed, new_folder, query, table  # noqa: F401
 from wardgate.llm.packing import pack
 from wardgate.llm.pieces import piece_digests
@@ -181,3 +181,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents drawn by importance for the benchmark's word distribution."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage to a fifth of the rows."""
+    return turns.repaired(turns.damaged(table(spark, sf_dir, "conversations")))
