@@ -10,7 +10,7 @@ from wardgate.llm.pieces import PieceCodec, piece_digests, piece_ids, pieces_tex
 from wardgate.llm.queries import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-LETTERS = "aab  ▁\n\té́ﬁＡ😀x.,'日本語ü\x00<s>01thernd "
+LETTERS = "aab  ▁\n\té́ﬁＡ😀x.,;:!?'日本語ü²_\x00<s>01thernd "
 
 
 @pytest.fixture(scope="module")

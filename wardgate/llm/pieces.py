@@ -27,6 +27,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+MARKS = ".,;:!?"  # where parts of a word are looked for
 WORDS_KEPT = 300_000
 PAIRS_KEPT = 600_000
 NEVER = float("-inf")
@@ -52,23 +53,35 @@ class PieceCodec:
         ]
         self.score = {self.pieces[i]: model.get_score(i) for i in normal}
         self.id_of = {self.pieces[i]: i for i in normal}
+        self.size_of = [len(p) for p in self.pieces]
+        self.id_text = [str(i) for i in every]
+        self.display = {i: self.pieces[i].replace(SPACE, " ") for i in normal}
         self.matcher = ahocorasick.Automaton()
-        for p in self.score:
-            self.matcher.add_word(p, len(p))
+        for p, i in self.id_of.items():
+            self.matcher.add_word(p, i)
         self.matcher.make_automaton()
-        # The next shorter piece that a piece starts with; single characters are always possible.
-        self.shorter = {p: self._shorter(p) for p in self.score if len(p) > 1}
-        joined = {c for p in self.score if len(p) > 1 for c in p}
-        alone = "\n" if "\n" not in joined else ""
+        # The longest shorter piece that a piece starts with; below zero: none, its first character is unknown.
+        self.shorter = {i: self._shorter(p) for p, i in self.id_of.items()}
         assert not any(SPACE in p.lstrip(SPACE) for p in self.score), "words of this model are not independent"
-        self.words = re.compile(f"{alone}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.number = self.id_of.get
-        self.stable: dict = {}
-        self.known = _Remembered(self._word_ids)
-        self.shown = _Remembered(self._shown)
+        self.words = re.compile(self._word_pattern())
+        self.stable: dict[int, bool] = {}
+        self.known = _Remembered(self._word)
+
+    def _word_pattern(self) -> str:
+        """Parts of a text that no piece goes beyond.
+
+        Words begin with their space marks.  A character that no longer piece holds stands alone, and a mark after a character that no piece
+        holds before such a mark begins a part of its own.
+        """
+        longer = [p for p in self.score if len(p) > 1]
+        alone = "\n" if not any("\n" in p for p in longer) else ""
+        before = {a for p in longer for a, b in zip(p, p[1:], strict=False) if b in MARKS}
+        joins = "".join(map(re.escape, sorted(before | {SPACE})))
+        part = f"[^{SPACE}{alone}](?:[^{SPACE}{alone}{re.escape(MARKS)}]+|(?<=[{joins}])[{re.escape(MARKS)}])*"
+        return (f"{alone}|" if alone else "") + f"{SPACE}*{part}|{SPACE}+"
 
     def _shorter(self, piece: str) -> int:
-        return next((k for k in range(len(piece) - 1, 1, -1) if piece[:k] in self.score), 1)
+        return next((self.id_of[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.id_of), -1)
 
     def merged(self, text: str) -> list[str]:
         """Pieces after merging the best-scored adjacent pair, leftmost first, until none is in the vocabulary."""
@@ -87,70 +100,92 @@ class PieceCodec:
                 joins[i] = score(parts[i] + parts[i + 1], NEVER)
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay as they are when their text is merged anew."""
-        number = self.number
-        key = number(left, -1) * 65536 + number(right, -1) if len(self.pieces) <= 65536 else (left, right)
-        found = self.stable.get(key)
-        if found is None or number(left) is None or number(right) is None:
-            if len(self.stable) >= PAIRS_KEPT:
-                self.stable.clear()
-            found = self.stable[key] = self.merged(left + right) == [left, right]
+    def fits(self, left: int, right: int) -> bool:
+        """Whether two pieces stay as they are when their text is merged anew; remembered."""
+        a, b = self.pieces[left], self.pieces[right]
+        found = self.merged(a + b) == [a, b]
+        if len(self.stable) >= PAIRS_KEPT:
+            self.stable.clear()
+        self.stable[left << 32 | right] = found
         return found
 
-    def word_pieces(self, word: str) -> list[str]:
+    def stays(self, piece: int) -> bool:
+        return piece < 0 or self.merged(self.pieces[piece]) == [self.pieces[piece]]
+
+    def word_ids(self, word: str) -> list[int]:
+        """Piece ids of a word; -1 for a character that is no piece."""
         n = len(word)
-        longest = [1] * n
-        for end, length in self.matcher.iter(word):
-            if length > longest[end + 1 - length]:
-                longest[end + 1 - length] = length
-        if longest[0] == n and self.merged(word) == [word]:
-            return [word]
-        out: list[str] = []
+        longest, size_of, shorter, stable = [-1] * n, self.size_of, self.shorter, self.stable
+        for end, i in self.matcher.iter(word):  # of one start, later ends are longer pieces
+            longest[end + 1 - size_of[i]] = i
+        piece = longest[0]
+        if piece >= 0 and size_of[piece] == n:
+            if n == 1 or self.stays(piece):
+                return [piece]
+            piece = shorter[piece]
+        out: list[int] = []
         failed = 0  # bit p: no way on from position p
-        at, size = 0, min(longest[0], n - 1) if n > 1 else 1
-        if n > 1 and size != longest[0] and word[:size] not in self.score:
-            size = self._shorter(word[: size + 1])
+        at, left = 0, None
         while at < n:
-            piece = word[at : at + size]
-            if not failed >> (at + size) & 1 and (not out or self.fits(out[-1], piece)):
+            end = at + (size_of[piece] if piece >= 0 else 1)
+            if failed >> end & 1:
+                fits = False
+            elif left is None:
+                fits = True
+            elif left >= 0 and piece >= 0:
+                fits = stable.get(left << 32 | piece)
+                if fits is None:
+                    fits = self.fits(left, piece)
+            else:  # nothing merges with an unknown character
+                fits = self.stays(left) and self.stays(piece)
+            if fits:
                 out.append(piece)
-                at += size
-                size = longest[at] if at < n else 0
+                at, left = end, piece
+                piece = longest[at] if at < n else -1
                 continue
-            while size == 1 and out:  # nothing shorter here: step back
+            while piece < 0 or size_of[piece] == 1:  # nothing shorter here: step back
+                if not out:
+                    raise ValueError(f"no merge result for {word[:80]!r}")
                 failed |= 1 << at
-                size = len(out.pop())
-                at -= size
-            if size == 1:
-                raise ValueError(f"no merge result for {word[:80]!r}")
-            size = self.shorter[word[at : at + size]]
+                piece = out.pop()
+                at -= size_of[piece] if piece >= 0 else 1
+            piece = shorter[piece]
+            left = out[-1] if out else None
         return out
 
-    def _word_ids(self, word: str) -> str:
-        ids: list[int] = []
-        for p in self.word_pieces(word):
-            found = self.id_of.get(p)
-            if found is not None:
-                ids.append(found)
-            elif self.id_of_byte:
-                ids += [self.id_of_byte[b] for b in p.encode()]
-            else:
-                ids.append(self.unknown_id)
-        return ",".join(map(str, ids))
-
-    def id_words(self, text: str | None) -> list[str]:
-        """The ids of each word, as decimal numbers joined by commas."""
+    def _word(self, word: str) -> tuple[str, str]:
+        """Ids of a word as decimal numbers joined by commas, and the text they stand for."""
+        ids = self.word_ids(word)
+        if -1 in ids:
+            whole, at = [], 0
+            for i in ids:
+                size = self.size_of[i] if i >= 0 else 1
+                if i >= 0:
+                    whole.append(i)
+                else:
+                    whole += [self.id_of_byte[b] for b in word[at].encode()] if self.id_of_byte else [self.unknown_id]
+                at += size
+            ids = whole
+        text = self.id_text
+        return ",".join([text[i] for i in ids]), self.surface(ids)
+
+    def parts(self, text: str | None) -> list[tuple[str, str]]:
+        """For each part of the text its ids, as decimal numbers joined by commas, and what they decode to."""
         if not text:
             return []
         known = self.known
         return [known[w] for w in self.words.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for w in self.id_words(text) for i in w.split(",")]
+        return [int(i) for ids, _ in self.parts(text) for i in ids.split(",")]
 
     def surface(self, ids: list[int]) -> str:
         """Text of the ids, with the mark of the first word still there as a space."""
+        display = self.display
+        try:
+            return "".join([display[i] for i in ids])
+        except KeyError:  # bytes, control ids or unknown ones among them
+            pass
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -174,15 +209,11 @@ class PieceCodec:
         dummy = first is not None and first not in self.byte_of and self.pieces[first].startswith(SPACE)
         return text[1:] if dummy else text
 
-    def _shown(self, id_word: str) -> str:
-        return self.surface([int(i) for i in id_word.split(",")])
-
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        words = self.id_words(text)
-        ids = ",".join(words)
-        shown = self.shown
-        back = "".join([shown[w] for w in words])[1:]  # an encoded text starts with the mark of its first word
+        parts = self.parts(text)
+        ids = ",".join([p[0] for p in parts])
+        back = "".join([p[1] for p in parts])[1:]  # an encoded text starts with the mark of its first word
         return (
             ids.count(",") + 1 if ids else 0,
             hashlib.sha256(ids.encode()).hexdigest(),
