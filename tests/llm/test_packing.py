@@ -13,7 +13,7 @@ from wardgate.llm.queries import QUERIES
 FILE = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.01"
 PARTS = ["<|endoftext|>", " ", "'s", "a", "É", "é", "́", "1", "²", ".", ",", "\n", "\x1c", " ", "\xa0", "\x1f",
-         "日", "İ", "ß", "don't", "!!", "\r", "\x0b", "\x0c", "<|startoftext|>", "Word"]
+         "日", "İ", "ß", "don't", "!!", "\r", "\x0b", "\x0c", "<|startoftext|>", "Word", "#$%", "&*", "a;", "né:?", "ÀÿÖ", "ẞ", "'ll", "12ab"]
 
 
 @pytest.fixture(scope="module")
@@ -73,8 +73,7 @@ def test_plan_takes_every_piece_once(seed):
         for m, k in filling:
             taken[m] += k * n
     assert (taken == counts).all()
-    used, least = sum(n for _, n in plan), (counts * np.arange(65)).sum() / 64
-    assert used <= max(1.02 * least, sum(n for _, n in packing.best_fit(counts)) * 1.02) + 3
+    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts))
     assert packing.plan(np.zeros(65, int)) == []
 
 

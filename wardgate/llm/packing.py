@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,15 +47,20 @@ BETWEEN = "♥"
 Filling = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
-STOP = re.compile(r"(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])([.,])(?=[ \n])")  # letters that stay one letter in lower case
+# Letters that stay one letter in lower case and when composed; marks at the end of a word are a token apart.
+LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+STOP = re.compile(r"(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])([.,;:!?#$%&*]+)(?=[ \n])")
+# The character that stands for each byte: itself where it is printed, else the next free one from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTER = {b: b if b in _PRINTED else 256 + k for k, b in zip(range(256), sorted(range(256), key=lambda b: (b in _PRINTED, b)), strict=True)}
 
 
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts, encoded word by word.
 
     The tokenizer drops white space and never joins across it, so each word between white space is encoded
-    once and remembered; the memory is dropped as a whole when it is full.  New words go to the tokenizer many
-    at a time, with a sign between them that no word holds.
+    once and remembered; the memory is dropped as a whole when it is full.  A new word of letters alone is one word to the
+    tokenizer too and goes to its merges at once; others go many at a time, with a sign between them that no word holds.
     """
 
     def __init__(self, tokenizer_file: str, kept: int | None = None):
@@ -63,19 +69,30 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.between = np.frombuffer(self._alone(BETWEEN), "<u4")
         self.known: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of all words."""
-        found = {w: self._alone(w) for w in words if BETWEEN in w}
-        plain = [w for w in words if w not in found]
+        found, merges, letters, pack = {}, self.merges, LETTERS.fullmatch, struct.pack
+        plain = []
+        for w in words:
+            if letters(w):
+                shown = w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(BYTE_CHARACTER)
+                tokens = merges(shown)
+                found[w] = pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            elif BETWEEN in w:
+                found[w] = self._alone(w)
+            else:
+                plain.append(w)
         size = len(self.between)
         for at in range(0, len(plain), 1024):
             some = plain[at : at + 1024]
             joined = f" {BETWEEN} ".join([*some, ""])
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+            (encoded,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4")
             hit = np.lib.stride_tricks.sliding_window_view(ids, size) == self.between
             ends = np.flatnonzero(hit.all(axis=1))
             data, start = ids.tobytes(), 0
@@ -103,7 +120,7 @@ class WordIds:
 def _split(text: str | None) -> list[str]:
     """Words between white space; the separators U+001C to U+001F, white space to Python alone, stay in words.
 
-    A full stop or comma between a letter and white space is a token of its own, so it is split off; plain ASCII is
+    Marks between a letter and white space are a token of their own, so they are split off; plain ASCII is
     lower-cased as the tokenizer does.  Both leave fewer different words to remember.
     """
     if not text:
@@ -229,21 +246,27 @@ def best_fit(counts: np.ndarray) -> list[tuple[list[int], int]]:
 
 
 def plan(counts: np.ndarray) -> list[tuple[Filling, int]]:
-    """Fillings and whole numbers of uses that take every piece of the histogram once."""
+    """Fillings and whole numbers of uses that take every piece of the histogram once.
+
+    The rounded program with its rest packed best-fit, or best fit alone where that takes fewer sequences.
+    """
     left = counts.astype(np.int64).copy()
-    out: list[tuple[Filling, int]] = []
     if not left.any():
-        return out
-    solved = fractions(left)
-    for filling, use in sorted(solved.items(), key=lambda x: (-x[1], x[0])):
+        return []
+
+    def filled(groups: list[tuple[list[int], int]]) -> list[tuple[Filling, int]]:
+        return [(tuple((m, items.count(m)) for m in sorted(set(items), reverse=True)), n) for items, n in groups]
+
+    alone = filled(best_fit(left))
+    out: list[tuple[Filling, int]] = []
+    for filling, use in sorted(fractions(left).items(), key=lambda x: (-x[1], x[0])):
         n = min([int(use), *(int(left[m]) // k for m, k in filling)])
         if n:
             out.append((filling, n))
             for m, k in filling:
                 left[m] -= k * n
-    for items, n in best_fit(left):
-        out.append((tuple((m, items.count(m)) for m in sorted(set(items), reverse=True)), n))
-    return out
+    out += filled(best_fit(left))
+    return min(out, alone, key=lambda way: sum(n for _, n in way))
 
 
 def _places(fillings: list[tuple[Filling, int]]) -> pd.DataFrame:
