@@ -1,8 +1,9 @@
 """Take in a landing folder of mixed formats: canonical records, and what could not be read.
 
 What a file holds decides how it is read: the header of each CSV file, the layout of each JSON file, the record
-tag of each XML file.  Files alike in that are read together, under their own field names, which are then mapped.
-Every reader gives records and rejects, so that nothing landed vanishes.
+tags of each XML file.  Files alike in that are read together, under their own field names, which are then mapped.
+Every reader gives records and rejects, one verdict per row, element, block or message, so that nothing landed vanishes
+and no odd file stops the others.  Large files are split whatever their format: see :mod:`wardgate.sources.split`.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardgate.functions import payload as pl
 from wardgate.functions import vocab as v
 from wardgate.operators import aliases, naming
-from wardgate.sources import fhir, landing, messages, reports
-from wardgate.sources.api import unwrap
+from wardgate.sources import fhir, landing, messages, reports, split
 
 CORRUPT = "_corrupt"
 PATH = "_metadata.file_path"
@@ -57,23 +58,6 @@ def _options(extension: str) -> dict[str, str]:
     return {"pathGlobFilter": _any_case(extension), "recursiveFileLookup": "true"}
 
 
-def _documents(spark: SparkSession, paths, whole: bool, **options: str) -> DataFrame:
-    return (
-        spark.read.options(**options)
-        .text(paths, wholetext=whole)
-        .select(F.col(PATH).alias("doc_id"), F.col("value").alias("body"))
-    )
-
-
-def _lines(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    """Lines with their file, and ``at``, which orders the lines of the first block of each file."""
-    return spark.read.options(**_options(extension)).text(path).select(
-        F.col(PATH).alias("path"),
-        "value",
-        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
-    )
-
-
 def _fields(columns: Iterable[str], name: Naming) -> dict[str, str]:
     """Source column of each field; the last of several claiming one wins."""
     return {name(c): c for c in columns if name(c)}
@@ -103,134 +87,214 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 # --- CSV --------------------------------------------------------------------------------------
 
+UNKNOWN = "no known field"
+
 
 def read_csv_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:
-    """Files grouped by their header; quoted line breaks are read where a file has some."""
-    lines = _lines(spark, path, extension)
+    """Files grouped by their header; of files with quoted line breaks the records are found in splits.
+
+    A header without any known field makes each of its rows a reject.
+    """
+    lines = split.pieces(spark, path, **_options(extension))
     odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    found = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.bool_or(odd).alias("broken"))
+    header = F.min_by("value", F.struct("block", "at"))
+    found = lines.groupBy("path").agg(header.alias("header"), F.bool_or(odd).alias("broken"))
     groups: dict[tuple[str, bool], list[str]] = defaultdict(list)
     for r in found.collect():  # one row per file, as the listing of the folder has
         groups[(r.header or "").lstrip("﻿"), r.broken].append(r.path)
     records, rejects = [], []
-    for (header, broken), paths in sorted(groups.items()):
-        names = next(csv.reader([header]), [])
+    for (shown, broken), paths in sorted(groups.items()):
+        names = next(csv.reader([shown]), [])
         unique = [c if names.index(c) == i and c else f"{c}#{i}" for i, c in enumerate(names)] or ["#0"]
         schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*unique, CORRUPT])
-        # Without pruning, so that a row is held against its whole header whatever columns are asked for.
-        rows = spark.read.option("columnPruning", False).csv(
-            paths, schema=schema, header=True, escape='"', multiLine=broken, columnNameOfCorruptRecord=CORRUPT
-        ).withColumn("path", F.col(PATH))
         source = _fields([c for c in unique if "`" not in c], name)
+        if broken or not source:
+            texts = split.csv_records(split.pieces(spark, paths))
+            rejects.append(_rejects(texts.where("NOT closed"), F.col("text"), "a quote is never closed"))
+            texts = texts.where("closed")
+        if not source:
+            rejects.append(_rejects(texts, F.col("text"), UNKNOWN))
+            continue
+        if broken:
+            how = {"escape": '"', "columnNameOfCorruptRecord": CORRUPT}
+            rows = texts.select("path", F.from_csv("text", schema, how).alias("_r")).select("path", "_r.*")
+        else:
+            # Without pruning, so that a row is held against its whole header whatever columns are asked for.
+            rows = spark.read.option("columnPruning", False).csv(
+                paths, schema=schema, header=True, escape='"', columnNameOfCorruptRecord=CORRUPT
+            ).withColumn("path", F.col(PATH))
         records.append(_canonical(rows.filter(F.col(CORRUPT).isNull()), source))
         bad = rows.filter(F.col(CORRUPT).isNotNull())
         rejects.append(_rejects(bad, _text(unique), "fields do not match the header"))
-    return _union(records), _union(rejects)
+    nothing = _nothing(spark)
+    return _union([nothing[0], *records]), _union([nothing[1], *rejects])
 
 
 # --- JSON -------------------------------------------------------------------------------------
 
 
+def _kind(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _one_value(text: Column) -> Column:
+    """The text as a variant where it is one JSON value and nothing else; the parser alone would pass over what follows the first."""
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.size(held.cast("array<variant>")) == 1, F.try_variant_get(held, "$[0]", "variant"))
+
+
+def json_items(docs: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """``docs`` by the elements of their lists, with ``text``, ``is_object`` and ``readable`` in place of ``body``.
+
+    The list is the document, or the first of its members ``keys`` that holds one; any other document is its own element.
+    The parsed value says what each element is, the text what it holds.
+    """
+    text = F.trim(F.translate("body", "\r\n\t", "   "))
+    text = F.when(text != "", F.trim(F.regexp_replace("body", r"^\s+|\s+$", "")))
+    rest = [c for c in docs.columns if c != "body"]
+    parsed = docs.withColumn("_text", text).where("_text IS NOT NULL").withColumn("_v", _one_value(F.col("_text")))
+    member = {k: F.try_variant_get("_v", f"$.{k}", "variant") for k in keys}
+    chosen = F.coalesce(*[F.when(_kind(x, "ARRAY"), F.lit(k)) for k, x in member.items()], F.lit(None).cast("string"))
+    shown = parsed.withColumn("_key", chosen).withColumn(
+        "_list", F.when(F.col("_key").isNotNull(), F.try_element_at(pl.json_object(F.col("_text")), F.col("_key"))).otherwise(F.col("_text"))
+    )
+    inner = F.coalesce(*[F.when(F.col("_key") == k, x) for k, x in member.items()], F.col("_v"))
+    shown = shown.withColumn("_v", inner).withColumn("_is_list", _kind(F.col("_v"), "ARRAY"))
+    texts = F.when(F.col("_is_list"), F.from_json("_list", "array<string>")).otherwise(F.array("_text"))
+    kinds = F.when(
+        F.col("_is_list"),
+        F.transform(F.expr("CAST(CASE WHEN _is_list THEN _v END AS ARRAY<VARIANT>)"), lambda e: _kind(e, "OBJECT")),
+    ).otherwise(F.array(_kind(F.col("_v"), "OBJECT")))
+    items = shown.select(
+        *rest, F.col("_v").isNotNull().alias("readable"), F.explode(F.arrays_zip(texts.alias("text"), kinds.alias("is_object"))).alias("_i")
+    )
+    return items.select(*rest, F.coalesce("_i.text", F.lit("null")).alias("text"), F.col("_i.is_object").alias("is_object"), "readable")
+
+
 def json_fields(docs: DataFrame, name: Naming, known: Iterable[str]) -> Landed:
-    """Records and rejects of JSON documents (``path``, ``body``) under their own member names.
+    """Records and rejects of JSON documents (``path``, ``body``) under their own member names, one verdict per element.
 
     ``known`` are the names to look for, since members become columns one by one.
     """
-    readable = F.try_parse_json("body").isNotNull()
-    text = F.trim("body")
-    shaped = readable & (text.startswith("{") | text.startswith("["))
-    items = unwrap(docs.filter(shaped), "body", v.JSON_ENVELOPES)
+    items = json_items(docs, v.JSON_ENVELOPES)
     by_field: dict[str, list[str]] = defaultdict(list)
     for k in known:
         if name(k):
             by_field[name(k)].append(k)
-    lower = F.transform(F.map_entries("item"), lambda e: F.struct(F.trim(F.lower(e["key"])).alias("k"), e["value"].alias("x")))
+    entries = F.map_entries(pl.json_object(F.col("text")))
+    lower = F.transform(entries, lambda e: F.struct(F.trim(F.lower(e["key"])).alias("k"), e["value"].alias("x")))
 
     def member(field: str) -> Column:
         names = sorted({k.lower() for k in by_field[field]})
         mine = F.filter("_m", lambda e: e["k"].isin(names) | F.translate(e["k"], " -", "__").isin(names))
-        return F.try_element_at(mine, F.lit(-1))["x"]
+        return F.try_element_at(mine, F.lit(-1))
 
-    filled = items.withColumn("_m", lower)
     rest = [c for c in docs.columns if c != "body"]
-    records = filled.select(
-        *rest, *[(member(f) if by_field[f] else F.lit(None).cast("string")).alias(f) for f in v.CANONICAL]
+    asked = [f for f in v.CANONICAL if by_field[f]]
+    filled = items.withColumn("_m", F.when(F.col("is_object"), lower)).select(
+        *rest, "text", "is_object", "readable", F.size("_m").alias("_n"), *[member(f).alias(f) for f in asked]
     )
-    return records, _rejects(docs.filter(~shaped & (text != "")), F.col("body"), "no JSON record")
+    known_one = reduce(Column.__or__, [F.col(f).isNotNull() for f in asked])
+    records = filled.filter(known_one).select(
+        *rest, *[(F.col(f"{f}.x") if f in asked else F.lit(None).cast("string")).alias(f) for f in v.CANONICAL]
+    )
+    reason = F.when(~F.col("readable"), "no JSON record").when(F.col("is_object"), UNKNOWN).otherwise("element is no object")
+    return records, filled.filter(~known_one).select("path", "text", reason.alias("reason"))
 
 
 def read_json_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:
-    """Files of one document a line are split; a file whose first line is no document is one itself."""
-    lines = _lines(spark, path, extension).filter(F.trim("value") != "")
-    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("first"))
+    """Files of which most lines are documents are read by lines, the others by the elements of their one document."""
+    lines = split.pieces(spark, path, **_options(extension))
+    text = F.trim("value")
+    whole = _one_value(text).isNotNull() & (text.startswith("{") | text.startswith("["))
+    counts = lines.filter(text != "").groupBy("path").agg((2 * F.count_if(whole) >= F.count("*")).alias("by_line"))
     by_line: dict[bool, list[str]] = defaultdict(list)
-    for r in first.select("path", F.try_parse_json(F.trim("first")).isNotNull().alias("whole")).collect():
-        by_line[r.whole].append(r.path)
-    parts = []
-    for whole_lines, paths in by_line.items():
-        docs = _documents(spark, paths, not whole_lines).withColumnRenamed("doc_id", "path")
-        parts.append(json_fields(docs, name, known_names()))
-    if not parts:
+    for r in counts.collect():  # one row per file
+        by_line[r.by_line].append(r.path)
+    docs = []
+    if by_line[True]:
+        docs.append(split.pieces(spark, by_line[True]).select("path", F.col("value").alias("body")))
+    if by_line[False]:
+        parts = split.json_elements(spark, by_line[False], v.JSON_ENVELOPES)
+        docs.append(parts.select("path", F.col("text").alias("body")))
+    if not docs:
         return _nothing(spark)
-    return _union([p[0] for p in parts]), _union([p[1] for p in parts])
+    return json_fields(_union(docs), name, known_names())
 
 
 # --- XML --------------------------------------------------------------------------------------
 
 
-def _root_child(text: Column) -> Column:
-    """Name of the first element inside the root."""
-    bare = F.regexp_replace(text, r"(?s)<\?.*?\?>|<!--.*?-->|<![^>]*>", "")
-    return F.regexp_extract(bare, r"(?s)<[A-Za-z_][^>/]*>\s*<([A-Za-z_][\w.:-]*)", 1)
-
-
 def read_xml_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:
-    """Files grouped by their record tag: the first known one that occurs, else the root's children."""
-    docs = _documents(spark, path, True, **_options(extension)).withColumnRenamed("doc_id", "path")
-    tags = F.coalesce(
-        *[F.when(F.col("body").rlike(rf"<{t}[\s>/]"), F.lit(t)) for t in v.XML_RECORD_TAGS],
-        F.nullif(_root_child(F.col("body")), F.lit("")),
-    )
-    groups: dict[str | None, list[str]] = defaultdict(list)
-    for r in docs.select("path", tags.alias("tag")).collect():
-        groups[r.tag].append(r.path)
-    records, rejects = [], []
-    for tag, paths in sorted(groups.items(), key=lambda x: x[0] or ""):
-        if tag is None:
-            bad = docs.filter(F.col("path").isin(paths))
-            rejects.append(_rejects(bad, F.col("body"), "no XML record"))
-            continue
-        reader = spark.read.format("xml").options(rowTag=tag, inferSchema=False, columnNameOfCorruptRecord=CORRUPT)
-        schema = reader.load(paths).schema
-        own = [f.name for f in schema if f.name != CORRUPT]
-        flat = ", ".join(f"`{f}` string" for f in [*own, CORRUPT])
-        rows = reader.schema(flat).load(paths).withColumn("path", F.col(PATH))
-        rows = naming.drop_null_tokens(rows, [c for c in own if c != "path"])
-        records.append(_canonical(rows.filter(F.col(CORRUPT).isNull()), _fields(own, name)))
-        rejects.append(_rejects(rows.filter(F.col(CORRUPT).isNotNull()), _text(own), "element cannot be parsed"))
+    """Files grouped by their record tags: all known ones that occur, else the first child of the root.
+
+    Of known tags inside one another the one that is known first counts: an element that holds one known before it is no
+    record, and a tag that stands inside one known before it is a field there.
+    """
+    lines = split.pieces(spark, path, **_options(extension))
+    found = split.known_tags(lines, v.XML_RECORD_TAGS)
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for r in found.collect():  # one row per file
+        tags = tuple(t for t in v.XML_RECORD_TAGS if t in r.tags) or ((r.child,) if r.child else ())
+        groups[tags].append(r.path)
     nothing = _nothing(spark)
-    return _union([nothing[0], *records]), _union([nothing[1], *rejects])
+    records, rejects = [nothing[0]], [nothing[1]]
+    marked = found.select("path")
+    empty = lines.filter(F.trim("value") != "").join(marked, "path", "left_anti")
+    rejects.append(_rejects(empty, F.col("value"), "no XML record"))
+    for tags, paths in sorted(groups.items()):
+        if not tags:
+            rejects.append(_rejects(split.pieces(spark, paths).filter(F.trim("value") != ""), F.col("value"), "no XML record"))
+        fields: dict[str, list[str]] = {}
+        for tag in tags:
+            if any(tag in own for own in fields.values()):
+                continue
+            reader = spark.read.format("xml").options(rowTag=tag, inferSchema=False, columnNameOfCorruptRecord=CORRUPT)
+            fields[tag] = own = [f.name for f in reader.load(paths).schema if f.name != CORRUPT]
+            flat = ", ".join(f"`{f}` string" for f in [*own, CORRUPT])
+            rows = reader.schema(flat).load(paths).withColumn("path", F.col(PATH))
+            for inner in set(own) & set(fields) - {tag}:
+                rows = rows.filter(F.col(f"`{inner}`").isNull())
+            rows = naming.drop_null_tokens(rows, [c for c in own if c != "path"])
+            source = _fields(own, name)
+            good = rows.filter(F.col(CORRUPT).isNull())
+            if source:
+                records.append(_canonical(good, source))
+            else:
+                rejects.append(_rejects(good, F.to_json(F.struct(*[F.col(f"`{f}`") for f in own])), UNKNOWN))
+            rejects.append(_rejects(rows.filter(F.col(CORRUPT).isNotNull()), _text(own), "element cannot be parsed"))
+    return _union(records), _union(rejects)
 
 
 # --- documents --------------------------------------------------------------------------------
 
 
 def read_document_files(spark: SparkSession, path: str, extension: str, reader: str) -> Landed:
-    """Labelled text, HL7, FHIR and imaging dumps; a document without any record is a reject."""
-    docs = _documents(spark, path, True, **_options(extension))
-    parse = {
-        "report": reports.labelled_blocks,
-        "hl7": messages.hl7_records,
-        "fhir": fhir.records,
-        "imaging": messages.imaging_records,
-    }[reader]
-    records = parse(docs).withColumnRenamed("doc_id", "path")
-    if reader == "hl7":  # a document without a message comes as its raw text: here it is a reject
-        has = docs.filter(F.col("body").rlike(r"(?m)^\s*MSH\|")).select(F.col("doc_id").alias("path"))
-        records = records.join(has.distinct(), "path", "left_semi")
-    kept = _canonical(records, _fields(records.columns, by_canonical))
-    left = docs.withColumnRenamed("doc_id", "path").join(kept.select("path").distinct(), "path", "left_anti")
-    return kept, _rejects(left, F.col("body"), "no record in the document")
+    """Labelled text, HL7, FHIR and imaging dumps: each block, message or entry is a record or a reject."""
+    how = _options(extension)
+    if reader == "report":
+        parts = split.text_blocks(spark, path, v.BLOCK_SEPARATOR, **how)
+        is_record, parse = F.coalesce(*reports.block_fields("text").values()).isNotNull(), reports.labelled_blocks
+    elif reader == "imaging":
+        parts = split.text_blocks(spark, path, r"\n---\n?", **how)
+        is_record, parse = F.coalesce(*messages.block_tags("text").values()).isNotNull(), messages.imaging_records
+    elif reader == "hl7":
+        found = split.messages(spark, path, messages.MESSAGE_START, **how)
+        batch = F.col("text").rlike(r"\A\s*(?:[FB]HS\|[^\r\n]*\s*)+\z")  # headers of a batch
+        parts, is_record, parse = found.filter(F.col("is_message") | ~batch), F.col("is_message"), messages.hl7_records
+    else:
+        bundle = r'"resourceType"\s*:\s*"Bundle"'
+        found = split.json_elements(spark, path, ("entry",), bundle, **how).select("path", F.col("text").alias("body"))
+        parts = json_items(found, ()).withColumn("_v", F.try_parse_json(F.when(F.col("is_object"), F.col("text"))))
+        entry = F.try_variant_get("_v", "$.resource.resourceType", "string").isNotNull()
+        own = F.try_variant_get("_v", "$.resourceType", "string")
+        listed = F.concat(F.lit('{"resourceType":"Bundle","entry":['), "text", F.lit("]}"))
+        parts = parts.select("path", "text", F.when(entry, listed).when(own != "Bundle", F.col("text")).alias("_body"))
+        is_record, parse = F.col("_body").isNotNull(), fhir.records
+    body = F.col("_body") if reader == "fhir" else F.col("text")
+    records = parse(parts.filter(is_record).select(F.col("path").alias("doc_id"), body.alias("body")))
+    kept = _canonical(records.withColumnRenamed("doc_id", "path"), _fields(records.columns, by_canonical))
+    return kept, _rejects(parts.filter(~is_record), F.col("text"), "no record in the document")
 
 
 def _nothing(spark: SparkSession) -> Landed:

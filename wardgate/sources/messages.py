@@ -110,15 +110,16 @@ IMAGING_TAGS = {
 CLINICAL_TAGS = ("study_description", "modality", "body_part")
 
 
+def block_tags(block: str) -> dict[str, Column]:
+    """The values of the header tags in a block of a dump."""
+    return {f: F.nullif(t.strip(F.regexp_extract(block, p, 1)), F.lit("")) for f, p in IMAGING_TAGS.items()}
+
+
 def imaging_records(docs: DataFrame, body: str = "body", stem: str = "doc_id") -> DataFrame:
     """One record per header block of a tag dump; clinical tags become a JSON payload."""
     blocks = F.split(F.regexp_replace(F.col(body), "\r\n?", "\n"), r"(?m)^---\n?")
     tags = docs.select(stem, F.explode_outer(blocks).alias("_b")).select(
-        stem,
-        *[
-            F.nullif(t.strip(F.regexp_extract("_b", p, 1)), F.lit("")).alias(f)
-            for f, p in IMAGING_TAGS.items()
-        ],
+        stem, *[c.alias(f) for f, c in block_tags("_b").items()]
     )
     clinical = F.when(F.coalesce(*CLINICAL_TAGS).isNotNull(), F.to_json(F.struct(*CLINICAL_TAGS)))
     return tags.filter(F.coalesce(*IMAGING_TAGS).isNotNull()).select(

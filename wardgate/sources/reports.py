@@ -30,14 +30,19 @@ def unix_lines(body: Column) -> Column:
     return F.regexp_replace(body, "\r\n?", "\n")
 
 
+def block_fields(block: str) -> dict[str, Column]:
+    """The labelled values of a block; null where a label or its value is missing."""
+    return {
+        f: F.nullif(t.strip(F.regexp_extract(block, pattern, 1)), F.lit(""))
+        for f, pattern in v.BLOCK_LABELS.items()
+    }
+
+
 def labelled_blocks(docs: DataFrame, body: str = "body") -> DataFrame:
     """One record per labelled block; a block without any known label is dropped."""
     pieces = F.split(unix_lines(F.col(body)), v.BLOCK_SEPARATOR)
     rest = [c for c in docs.columns if c != body]
-    fields = {
-        f: F.nullif(t.strip(F.regexp_extract("_block", pattern, 1)), F.lit(""))
-        for f, pattern in v.BLOCK_LABELS.items()
-    }
+    fields = block_fields("_block")
     records = docs.select(*rest, F.explode_outer(pieces).alias("_block")).select(
         *rest, *[c.alias(f) for f, c in fields.items()]
     )
