@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +46,22 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
+_FOLDERS = weakref.WeakKeyDictionary()  # of landed tables
+
+
 def landed(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, lost executors cost nothing."""
     folder = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    return out
+
+
+def dropped(*landed_tables: DataFrame) -> None:
+    """Removes landed tables that nothing reads any more."""
+    for df in landed_tables:
+        folder = _FOLDERS.pop(df, None)
+        if folder is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

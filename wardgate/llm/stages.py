@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardgate.llm import alike, lang, packing, substrings, toxicity
+from wardgate.llm import lang, packing, simhash, substrings, toxicity
 from wardgate.llm.common import landed, table
 
 LEAST_SCORE = 0.5
@@ -39,9 +39,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate component, once.
 
-    Links are shingles of five words with a Jaccard similarity of 0.8 or more; the two bits of SimHash are for op2 alone.
+    Links are those of the operator: fingerprints of three-word shingles that differ in at most two bits.
     """
-    groups = alike.near_duplicates(docs)
+    groups = simhash.near_duplicates(docs)
     firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     firsts = landed(firsts, "kept-ids")
     kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
@@ -58,8 +58,8 @@ def whole_words(data: bytes, start: int, end: int) -> int:
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that it shares: byte strings of ``substrings.MIN_BYTES``, or of
-    ``PASSAGE_BYTES`` with at least ``PASSAGE_WORDS`` whole words.  Characters cut in part go as a whole."""
+    """Every document without the passages that it shares: runs covered by repeated strings of ``PASSAGE_BYTES`` bytes, where they
+    have ``substrings.MIN_BYTES`` bytes or ``PASSAGE_WORDS`` whole words.  Characters cut in part go as a whole."""
 
     def long_enough(data: bytes, cuts) -> list:
         return [

@@ -2,16 +2,16 @@
 
 Every window of ``MIN_BYTES`` bytes belongs to its anchor, the smallest hash of the 32-byte strings in it, so equal windows
 have equal anchors wherever they are.  A text falls into runs of neighbouring windows with one anchor, about one
-run per 185 bytes; a run with the bytes of its windows is a context.  Contexts are counted by anchor and digest:
-all windows of a context that occurs twice are repeats, and an anchor seen once has none.  What is left are the
-distinct contexts of anchors that occur with several surroundings, such as the ends of shared passages and the
+run per 185 bytes; a run with the bytes of its windows is a context.  An anchor seen once has no repeats: anchors are counted by
+themselves, and only the runs of repeated ones move on.  Their contexts are counted by anchor and digest:
+all windows of a context that occurs twice are repeats.  What is left are the distinct contexts of anchors that occur with several surroundings, such as the ends of shared passages and the
 places where near copies differ.  Their bytes are fetched and dealt to shards by anchor.
 
 Each shard sorts its suffixes (Larsson-Sadakane refinement: groups that agree so far are sorted by the rank
 of what follows, doubling the depth), and Kasai's recursion gives the common prefixes of neighbours; windows with
 a neighbour of ``MIN_BYTES`` common bytes are repeats.  An anchor with more contexts than a shard holds is split
-over shards; these hand on their distinct windows as sorted digests, cut into ranges, and each range merges the
-sorted runs of all shards by binary search.
+over shards; these hand on their distinct windows as sorted digests, one value for each range of digests, of which there are as
+many as the bytes of the anchor ask for, and each range merges the sorted runs of all shards by binary search.
 
 Digests have 128 bits.  Null and empty texts, and texts shorter than a window, have nothing to remove.  Repeated rows repeat each other.
 Long texts are taken in slices for the anchors; a text is held whole by the task that cuts it.
@@ -24,16 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardgate.llm.common import landed
+from wardgate.llm.common import dropped, landed
 
 MIN_BYTES = 400
 GRAM = 32
 SLICE = 1 << 21
 SHARD_BYTES = 1 << 20
+TEXTS_AT_A_TIME = 64
+RANGE_BYTES = 64 << 20  # of handed digests that meet in one range, about
+HANDED_BYTES = 8  # per byte of contexts, about: digest, context and place of each distinct window
 KASAI_BLOCKS = 4096
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -208,19 +212,29 @@ def shard_repeats(contexts: list[bytes], min_bytes: int) -> tuple[list[np.ndarra
 
 def merged_repeats(shards: list[np.ndarray]) -> list[np.ndarray]:
     """For the sorted digests of each shard, which of them another shard has too: binary search in the merger."""
-    found = [np.zeros(len(s), bool) for s in shards]
-    merged, owner, place = shards[0], np.zeros(len(shards[0]), int), np.arange(len(shards[0]))
+    firsts = np.cumsum([0, *map(len, shards)])
+    found = np.zeros(firsts[-1], bool)
+    merged, place = shards[0], np.arange(len(shards[0]))
     for k, s in enumerate(shards[1:], 1):
         at = np.searchsorted(merged, s)
         inside = np.minimum(at, max(0, len(merged) - 1))
         hit = (merged[inside] == s) if len(merged) else np.zeros(len(s), bool)
-        found[k] |= hit
-        for o, p in zip(owner[inside[hit]].tolist(), place[inside[hit]].tolist(), strict=True):
-            found[o][p] = True
+        found[firsts[k] + np.flatnonzero(hit)] = True
+        found[place[inside[hit]]] = True
         merged = np.insert(merged, at[~hit], s[~hit])
-        owner = np.insert(owner, at[~hit], k)
-        place = np.insert(place, at[~hit], np.flatnonzero(~hit))
-    return found
+        place = np.insert(place, at[~hit], firsts[k] + np.flatnonzero(~hit))
+    return [found[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
+
+
+def handed_on(digests: np.ndarray, owner: np.ndarray, at: np.ndarray, n_ranges: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(range, sorted digests, their contexts, their places there) of the distinct windows of a shard."""
+    by = np.lexsort((digests[:, 1], digests[:, 0]))
+    digests, owner, at = digests[by], owner[by].astype("<u4"), at[by].astype("<u4")
+    cell = ((digests[:, 0] >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
+    edges = np.searchsorted(cell, np.arange(n_ranges + 1, dtype=np.uint64))
+    for r, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+        if y > x:
+            yield r, digests[x:y].astype(">u8").tobytes(), owner[x:y].tobytes(), at[x:y].tobytes()
 
 
 def text_key(doc_id: str, text: str) -> Column:
@@ -229,30 +243,37 @@ def text_key(doc_id: str, text: str) -> Column:
 
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, min_bytes: int = MIN_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, spans array<struct<at, n>>): the runs of repeated windows of each row of ``docs`` that has some."""
+    """(key, spans array<struct<at, n>>): the runs of repeated windows of each row of ``docs`` that has some; landed."""
     keyed = docs.select(text_key(doc_id, text).alias("key"), F.col(text).alias("text"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "s", "n", "anchor", "digest", "places"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         for b in batches:
-            for at in range(0, len(b), 512):
-                rows = []
-                part = b.iloc[at : at + 512]
-                for key, t in zip(part["key"], part["text"], strict=True):
-                    data = t.encode()
+            for at in range(0, len(b), TEXTS_AT_A_TIME):
+                part, rows = b.slice(at, TEXTS_AT_A_TIME), []
+                for key, data in zip(part["key"].to_pylist(), part["text"].to_pylist(), strict=True):
                     rows += [
                         (key, s, n, anchor, xxhash.xxh3_128_digest(data[s : s + n + min_bytes - 1]), places)
                         for s, n, anchor, places in runs(data, min_bytes)
                     ]
-                yield pd.DataFrame(rows, columns=["key", "s", "n", "anchor", "digest", "places"])
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    data = keyed.where(F.octet_length("text") >= min_bytes).withColumn("text", F.col("text").cast("binary"))
     windows = landed(
-        keyed.where(F.octet_length("text") >= min_bytes).mapInPandas(
-            cut, "key binary, s long, n long, anchor long, digest binary, places long"
-        ),
+        data.mapInArrow(cut, "key binary, s long, n long, anchor long, digest binary, places long"),
         "runs",
     )
-    contexts = windows.groupBy("anchor", "digest").agg(
-        F.count("*").alias("copies"), F.sum("places").alias("places"), F.min(F.struct("key", "s", "n")).alias("of")
+    counts = windows.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("places").alias("p"))
+    seen = landed(counts.where("n > 1 OR p > 1").select("anchor"), "anchors")  # landed, so that a hot one's runs can be split
+    every, windows = windows, landed(windows.join(seen, "anchor", "left_semi"), "repeated-runs")
+    dropped(every, seen)
+    contexts = landed(
+        windows.groupBy("anchor", "digest").agg(
+            F.count("*").alias("copies"), F.sum("places").alias("places"), F.min(F.struct("key", "s", "n")).alias("of")
+        ),
+        "all-contexts",
     )
     anchors = contexts.groupBy("anchor").agg(
         F.count("*").alias("kinds"),
@@ -266,6 +287,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, min_bytes: int = MIN
         ),
         "contexts",
     )
+    dropped(contexts)
     whole = sorted_out.where("copies > 1").select(
         "anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n"))).alias("ranges")
     )
@@ -274,26 +296,23 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, min_bytes: int = MIN
     n_shards = max(1, -(-int(total) // shard_bytes))
 
     wanted = opened.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "s", "n", "bytes", "copies")).alias("c"))
-    parts = keyed.join(wanted.hint("shuffle_hash"), "key").select("key", "text", "c")
+    parts = data.join(wanted.hint("shuffle_hash"), "key").select("key", "text", "c")
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["anchor", "digest", "bytes", "copies", "context"], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
-            for at in range(0, len(b), 64):
-                rows = []
-                part = b.iloc[at : at + 64]
-                for t, cs in zip(part["text"], part["c"], strict=True):
-                    data = t.encode()
-                    rows += [
-                        (c["anchor"], c["digest"], c["bytes"], c["copies"], data[c["s"] : c["s"] + c["n"] + min_bytes - 1])
-                        for c in cs
-                    ]
-                yield pd.DataFrame(rows, columns=["anchor", "digest", "bytes", "copies", "context"])
+            for at in range(0, len(b), TEXTS_AT_A_TIME):
+                part, rows = b.slice(at, TEXTS_AT_A_TIME), []
+                for t, cs in zip(part["text"].to_pylist(), part["c"].to_pylist(), strict=True):
+                    rows += [(c["anchor"], c["digest"], c["bytes"], c["copies"], t[c["s"] : c["s"] + c["n"] + min_bytes - 1]) for c in cs]
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     # An anchor of more bytes than a shard is split by digest over shards of its own.
     pieces = F.ceil(F.col("bytes") / F.lit(shard_bytes)).cast("long")
     split = F.col("bytes") > shard_bytes
     dealt = (
-        parts.mapInPandas(fetch, "anchor long, digest binary, bytes long, copies long, context binary")
+        parts.mapInArrow(fetch, "anchor long, digest binary, bytes long, copies long, context binary")
         .dropDuplicates(["anchor", "digest"])  # rows of one key bring the same contexts
         .withColumn("split", split)
         .withColumn(
@@ -308,42 +327,54 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, min_bytes: int = MIN
         shard = shard.reset_index(drop=True)
         flags, data, fresh, firsts = shard_repeats(shard["context"].tolist(), min_bytes)
         rows = [
-            (a, d, [{"at": x, "n": n} for x, n in _ranges(f)], None, None, 0, False)
+            (a, d, [{"at": x, "n": n} for x, n in _ranges(f)], None, None, None, None, None)
             for a, d, copies, f in zip(shard["anchor"], shard["digest"], shard["copies"], flags, strict=True)
             if copies == 1 and f.any()
         ]
         if shard["split"].iloc[0]:  # distinct windows for the other shards of the anchor
-            digests = window_digests(data, fresh, min_bytes)
             owner = np.searchsorted(firsts, fresh, side="right") - 1
-            for (hi, lo), o, x in zip(digests.tolist(), owner.tolist(), (fresh - firsts[owner]).tolist(), strict=True):
-                both = hi.to_bytes(8, "big") + lo.to_bytes(8, "big")
-                rows.append((shard["anchor"][o], shard["digest"][o], None, both, shard["shard"][o], x, True))
-        return pd.DataFrame(rows, columns=["anchor", "digest", "ranges", "window", "shard", "at", "handed"])
+            n_ranges = max(1, -(-int(shard["bytes"].iloc[0]) * HANDED_BYTES // RANGE_BYTES))
+            names = b"".join(shard["digest"])
+            anchor = shard["anchor"].iloc[0]
+            for r, *parts in handed_on(window_digests(data, fresh, min_bytes), owner, fresh - firsts[owner], n_ranges):
+                rows.append((anchor, None, None, r, *parts, names))
+        return pd.DataFrame(rows, columns=["anchor", "digest", "ranges", "range", "windows", "owners", "places", "names"])
 
     schema = (
-        "anchor long, digest binary, ranges array<struct<at: long, n: long>>, window binary, shard string, "
-        "at long, handed boolean"
+        "anchor long, digest binary, ranges array<struct<at: long, n: long>>, range long, windows binary, owners binary, places binary, names binary"
     )
     local = landed(dealt.groupBy("shard").applyInPandas(sort, schema), "shard-repeats")
 
-    def merge(runs_: pd.DataFrame) -> pd.DataFrame:
-        groups = [g.sort_values("window") for _, g in runs_.groupby("shard")]
-        found = merged_repeats([g["window"].to_numpy(dtype="S16") for g in groups])
-        hits = pd.concat([g[f] for g, f in zip(groups, found, strict=True)])
-        return hits[["anchor", "digest", "at"]]
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        """The repeated windows of each context, as runs of places."""
+        rows = []
+        shards = [np.frombuffer(w, "S16") for w in parts["windows"]]
+        for hit, owners, places, names in zip(merged_repeats(shards), parts["owners"], parts["places"], parts["names"], strict=True):
+            owner, at = np.frombuffer(owners, "<u4")[hit].astype(np.int64), np.frombuffer(places, "<u4")[hit].astype(np.int64)
+            by = np.lexsort((at, owner))
+            owner, at = owner[by], at[by]
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else at
+            size = np.diff(np.append(new, len(at)))
+            found: dict[int, list] = {}
+            for o, x, n in zip(owner[new].tolist(), at[new].tolist(), size.tolist(), strict=True):
+                found.setdefault(o, []).append({"at": x, "n": n})
+            rows += [(parts["anchor"].iloc[0], names[16 * o : 16 * o + 16], r) for o, r in found.items()]
+        return pd.DataFrame(rows, columns=["anchor", "digest", "ranges"])
 
-    handed = local.where("handed").withColumn("range", F.conv(F.hex(F.substring("window", 1, 2)), 16, 10))
     across = (
-        handed.groupBy("anchor", "range")
-        .applyInPandas(merge, "anchor long, digest binary, at long")
+        local.where("range IS NOT NULL")
+        .groupBy("anchor", "range")
+        .applyInPandas(merge, "anchor long, digest binary, ranges array<struct<at: long, n: long>>")
         .groupBy("anchor", "digest")
-        .agg(F.collect_list(F.struct("at", F.lit(1).cast("long").alias("n"))).alias("ranges"))
+        .agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     )
-    flagged = whole.union(local.where("not handed").select("anchor", "digest", "ranges")).union(across)
+    flagged = whole.union(local.where("range IS NULL").select("anchor", "digest", "ranges")).union(across)
     hits = windows.join(flagged, ["anchor", "digest"]).select(
         "key", F.transform("ranges", lambda r: F.struct((F.col("s") + r["at"]).alias("at"), r["n"].alias("n"))).alias("r")
     )
-    return hits.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("spans"))
+    spans = landed(hits.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
+    dropped(windows, sorted_out, local)
+    return spans
 
 
 def covered(spans, min_bytes: int) -> list[tuple[int, int]]:
@@ -360,7 +391,7 @@ def covered(spans, min_bytes: int) -> list[tuple[int, int]]:
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``cut``, an array of (start, end) byte runs to remove, null where there are none."""
-    spans = landed(repeated_spans(docs, doc_id, text, min_bytes, shard_bytes), "spans")
+    spans = repeated_spans(docs, doc_id, text, min_bytes, shard_bytes)
 
     @F.pandas_udf("array<array<long>>")
     def merged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -368,6 +399,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_byt
             yield pd.Series([[list(r) for r in covered(s, min_bytes)] for s in b], dtype=object)
 
     cuts = landed(spans.select(F.col("key").alias("__key"), merged("spans").alias("cut")), "cuts")
+    dropped(spans)
     columns = [c for c in docs.columns if c != "cut"]
     marked = docs.select(*columns, text_key(doc_id, text).alias("__key"))
     return marked.join(cuts.hint("shuffle_hash"), "__key", "left").select(*columns, "cut")
