@@ -157,3 +157,17 @@ def test_purpose_is_only_known_by_its_display_name(spark):
     assert al.standardize(display).first()["data_purpose"] == "Audit"
     assert al.standardize(low, overrides={"data_purpose": "data_purpose"}).first()["data_purpose"] == "Audit"
     assert "UNMAPPED_data_purpose" in al.standardize(low, unknown="keep").columns
+
+
+def test_first_alias_and_first_field_win_ties(spark):
+    """Literal expectations: of equal scores the field that is tried first counts, and in it the alias that stands first."""
+    from wardgate.functions import vocab
+    from wardgate.operators import aliases
+
+    assert vocab.HEADER_ALIASES["patient_name"][:5] == ("patient_name", "patient name", "name", "patient", "full_name")
+    assert list(vocab.HEADER_ALIASES) == [
+        "patient_name", "abha_id", "clinical_payload", "consent_status", "consent_token", "notice_id", "notice_date",
+    ]
+    headers = spark.createDataFrame([("patient_name",), ("abha",)], "column_name string")
+    got = {(r["column_name"], r["rank"]): (r["canonical"], r["alias"]) for r in aliases.top_candidates(headers).collect()}
+    assert got["patient_name", 1] == ("patient_name", "patient_name") and got["abha", 1] == ("abha_id", "abha")
