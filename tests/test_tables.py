@@ -167,3 +167,113 @@ def test_pillars(spark):
     routed = tb.route_pillars(df, "k", PILLAR_OF_COLUMN)
     assert routed["Medications"].columns == ["k", "med_name"]
     assert routed["Insurance"].columns == ["k", "price"]
+
+
+VERSIONS = T.StructType([T.StructField("seq", T.IntegerType())])
+
+
+def test_batches_give_one_table_in_any_order(spark):
+    batches = [
+        [("a", "1", 1), ("b", "1", 1), (None, "x", 1)],
+        [("a", "2", 2), ("c", "2", 2)],
+        [("a", "3", 3), ("b", "3", 3), ("b", "late", 0), (None, "x", 3)],
+    ]
+    seen = set()
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0], [2, 0, 2, 1, 0]):
+        t = tb.KeyedTable(spark, new_folder(spark, "v"), SCHEMA, "k", versions=VERSIONS)
+        for i in order:
+            t.upsert(batch(spark, *batches[i]))
+        seen.add(str([x for x in rows(t.current()) if x[0]]))
+    assert seen == {str([("a", "3"), ("b", "3"), ("c", "2")])}
+
+
+class Lost(Exception):
+    pass
+
+
+def crashing(monkeypatch, step):
+    """Makes the step-th change of the file system from now on fail, before it is made."""
+    from wardgate import workspace
+
+    real, count = workspace._fs, [0]
+
+    class Fs:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name in ("rename", "delete", "create", "mkdirs"):
+                count[0] += 1
+                if count[0] == step:
+                    raise Lost
+            return getattr(self.fs, name)
+
+    def fs_of(spark, path):
+        fs, p = real(spark, path)
+        return Fs(fs), p
+
+    monkeypatch.setattr(workspace, "_fs", fs_of)
+    return count
+
+
+@pytest.mark.parametrize("step", range(1, 12))
+def test_a_writer_lost_at_any_step_leaves_the_old_or_the_new_table(spark, monkeypatch, step):
+    t = tb.KeyedTable(spark, new_folder(spark, "crash"), SCHEMA, "k", buckets=3)
+    before = [(f"k{i}", "1", 1) for i in range(9)]
+    t.upsert(batch(spark, *before))
+    change = batch(spark, ("k1", "2", 2), ("k2", "2", 2), ("k5", "2", 2))
+    with monkeypatch.context() as m:
+        crashing(m, step)
+        try:
+            t.upsert(change)
+        except Lost:
+            pass
+    old, new = [(k, x) for k, x, _ in before], [(k, "2" if k in ("k1", "k2", "k5") else x) for k, x, _ in before]
+    assert rows(t.current()) in (old, new)
+    t.upsert(change)
+    assert rows(t.current()) == new
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 4, 5, 6, 8, 10])
+def test_an_erasure_lost_at_any_step_is_finished_by_giving_it_again(spark, monkeypatch, step):
+    vault = tb.Vault(spark, new_folder(spark, "vault"), buckets=3)
+    records = lambda *ids: spark.createDataFrame(
+        [(f"id{i}", f"P{i}", "2026-01-01", "ACTIVE", f"seen {i}") for i in ids],
+        "abha_id string, patient_name string, notice_date string, consent_status string, clinical_payload string",
+    )
+    vault.store(records(1, 2, 3, 4), AS_OF, "b1")
+    vault.store(records(2, 3, 5), AS_OF, "b2")
+    gone = records(2, 4)
+    with monkeypatch.context() as m:
+        crashing(m, step)
+        try:
+            vault.erase(gone, AS_OF, "e1")
+        except Lost:
+            pass
+    kept = {x["abha_id"] for x in vault.observations().collect()} & {"id1", "id3", "id5"}
+    assert kept == {"id1", "id3", "id5"}
+    vault.erase(gone, AS_OF, "e1")
+    assert sorted(x["abha_id"] for x in vault.observations().collect()) == ["id1", "id3", "id3", "id5"]
+    assert sorted(x["abha_id"] for x in vault.people.current().collect()) == ["id1", "id3", "id5"]
+    assert vault.events().count() == 2
+
+
+def test_erasing_leaves_the_buckets_of_other_ids(spark):
+    held = tb.BatchedRows(spark, new_folder(spark, "obs"), tb.OBSERVATIONS, "abha_id", buckets=8)
+    some = spark.createDataFrame([(f"id{i}", "p", AS_OF) for i in range(60)], tb.OBSERVATIONS)
+    held.store(some, "b1")
+    held.store(some, "b1")
+    assert held.current().count() == 60
+    before = files_of(held)
+    held.delete_keys(spark.createDataFrame([("id7",), ("nobody",)], "abha_id string"))
+    assert len(before - files_of(held)) == 1 and held.current().count() == 59
+    held.store(some.filter("abha_id = 'id3'"), "b1")
+    assert [x["abha_id"] for x in held.current().collect()] == ["id3"]
+
+
+def test_trails_of_both_layouts_are_read_together(spark):
+    path = new_folder(spark, "trail")
+    events = tb.audit_events(spark.createDataFrame([("x",)], "t string"), AS_OF, F.lit("E"), c("t"), F.lit("R"), F.lit("A"))
+    tb.write_audit(events, path, "b1")
+    tb.append_audit(events, path)
+    assert tb.read_audit(spark, path).count() == 2

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 from wardgate.functions import privacy as p
 from wardgate.functions import rules as r
 from wardgate.functions import vocab as v
-from wardgate.workspace import child_names, delete_path, is_committed, path_exists
+from wardgate.workspace import child_names, delete_path, is_committed, path_exists, prepared, replace_folders, settle
 
 # --- rows per key -----------------------------------------------------------------------------
 
@@ -98,89 +100,152 @@ def as_canonical(stored: DataFrame) -> DataFrame:
     return stored.withColumnsRenamed(names)
 
 
+BUCKET = "bucket"
+
 # --- table on files ---------------------------------------------------------------------------
 
 
-class KeyedTable:
-    """A keyed Parquet table, one row per key, cut into buckets by a hash of the key.
+class _Buckets:
+    """A Parquet table cut into folders by a hash of a key; folders are replaced in two phases.
 
-    A batch or a delete reads and overwrites the buckets it touches, with Spark's dynamic partition overwrite; the
-    others keep their files.  A batch given again finds its own rows and changes nothing.  Rows without
-    a key are spread by a hash of the whole row.  ``buckets`` is fixed for the life of a table; choose it so that a
-    bucket is a few hundred megabytes.  One writer at a time, and no reader while it commits.
+    What a writer was about to replace when it was lost is finished, or dropped, before the table is next read or written.
+    One writer at a time, and no reader while it commits.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 16):
-        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
-        self.buckets = buckets
-        self._stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    parts: tuple[str, ...] = ()  # partition columns below the bucket
+
+    def __init__(
+        self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int, more: Iterable[T.StructField] = ()
+    ):
+        """``more`` are columns that are stored beside ``schema`` and not shown."""
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+        self._shown, self.schema = schema.names, T.StructType([*schema.fields, *more])
+        self._stored = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        by = F.when(F.col(self.key).isNull(), F.xxhash64(*self.schema.names)).otherwise(F.xxhash64(self.key))
+        by = F.when(F.col(self.key).isNull(), F.xxhash64(*[c for c in self._shown if c in df.columns])).otherwise(F.xxhash64(self.key))
         return df.withColumn(BUCKET, F.pmod(by, F.lit(self.buckets)).cast("int"))
 
-    def _rows(self) -> DataFrame:
+    def _rows(self, hit: list[int] | None = None) -> DataFrame:
+        """Stored rows, of the buckets in ``hit`` alone where it is given."""
+        settle(self.spark, self.root)
         if not path_exists(self.spark, self.root):
             return self.spark.createDataFrame([], self._stored)
-        return self.spark.read.schema(self._stored).parquet(self.root)
+        rows = self.spark.read.schema(self._stored).parquet(self.root)
+        return rows if hit is None else rows.filter(F.col(BUCKET).isin(hit))
 
     def _hit(self, bucketed: DataFrame) -> list[int]:
         """Buckets that occur: at most ``buckets`` numbers."""
         return sorted(r[0] for r in bucketed.select(BUCKET).distinct().collect())
 
-    def _overwrite(self, rows: DataFrame, hit: list[int]) -> None:
-        """Replace the buckets in ``hit`` by ``rows``.  Buckets left without rows are removed: the overwrite itself
-        would leave their old rows in place."""
-        left = self._hit(rows) if hit else []
-        if left:
-            (
-                rows.select(*self.schema.names, BUCKET)
-                .repartition(BUCKET)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(BUCKET)
-                .parquet(self.root)
-            )
-        for n in set(hit) - set(left):
-            delete_path(self.spark, f"{self.root}/{BUCKET}={n}")
+    def _prepare(self, rows: DataFrame) -> None:
+        by = [BUCKET, *self.parts]
+        rows.select(*self.schema.names, BUCKET).repartition(BUCKET).write.mode("overwrite").partitionBy(*by).parquet(prepared(self.root))
 
-    def upsert(self, batch: DataFrame, *arrival: str) -> None:
-        """Insert or replace the rows of a batch; within it the last arrival of a key wins."""
-        latest = self._bucketed(keep_last(batch, self.key, *arrival).select(*self.schema.names))
-        hit = self._hit(latest)
+    def _overwrite(self, rows: DataFrame, hit: list[int]) -> None:
+        """Replace the buckets in ``hit`` by ``rows``; those left without rows are removed."""
         if hit:
-            held = self._rows().filter(F.col(BUCKET).isin(hit))
-            known = latest.filter(F.col(self.key).isNull())
-            kept = held.join(latest.select(self.key), self.key, "left_anti").select(*self.schema.names, BUCKET)
-            # Rows without a key are never replaced; one that is already there is not stored twice.
-            again = known.exceptAll(held.filter(F.col(self.key).isNull()).select(*self.schema.names, BUCKET))
-            keyed = latest.filter(F.col(self.key).isNotNull())
-            self._overwrite(kept.unionByName(keyed).unionByName(again), hit)
+            self._prepare(rows)
+            names = {f"{BUCKET}={n}" for n in hit}
+            written = names & set(child_names(self.spark, prepared(self.root)))
+            replace_folders(self.spark, self.root, list(written), list(names - written))
 
     def current(self) -> DataFrame:
-        return self._rows().select(*self.schema.names)
+        return self._rows().select(*self._shown)
+
+    def rows_near(self, keys: DataFrame) -> DataFrame:
+        """Rows of the buckets that the keys of ``keys`` are in."""
+        return self._rows(self._hit(self._bucketed(keys))).select(*self._shown)
 
     def compact(self) -> None:
         """Write every bucket anew as one file each."""
         rows = self._rows()
         self._overwrite(rows, self._hit(rows))
 
+    def delete_keys(self, keys: DataFrame) -> None:
+        """Hard delete of the rows with a key in ``keys``; the buckets of other keys are not read."""
+        gone = self._bucketed(keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()).select(self.key, BUCKET)
+        near = self._rows(self._hit(gone))
+        hit = self._hit(near.select(self.key, BUCKET).join(gone.select(self.key), self.key, "left_semi"))
+        self._overwrite(near.filter(F.col(BUCKET).isin(hit)).join(gone.select(self.key), self.key, "left_anti"), hit)
+
+    def clear(self) -> None:
+        delete_path(self.spark, self.root)
+
+
+class KeyedTable(_Buckets):
+    """A keyed Parquet table, one row per key.
+
+    A batch or a delete reads and replaces the buckets it touches; the others keep their files.  A batch given again finds
+    its own rows and changes nothing.  With ``versions``, columns that order arrivals, each row keeps its own, and a row
+    that arrives late or again never replaces a newer one: batches give one table in whatever order they come.  Rows
+    without a key are spread by a hash of the whole row.  ``buckets`` is fixed for the life of a table; choose it so that a
+    bucket is a few hundred megabytes.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 16, versions: T.StructType | None = None
+    ):
+        self.versions = versions.names if versions is not None else []
+        super().__init__(spark, root, schema, key, buckets, versions.fields if versions is not None else ())
+
+    def upsert(self, batch: DataFrame, *arrival: str) -> None:
+        """Insert or replace the rows of a batch; within it the last arrival of a key wins.
+
+        The batch is written once, with one row a key; it and the buckets it touches meet in one shuffle, by bucket.
+        """
+        order = arrival or tuple(self.versions)
+        staged = f"{self.root}-batch"
+        latest = self._bucketed(keep_last(batch, self.key, *order).select(*self.schema.names))
+        latest.write.mode("overwrite").parquet(staged)
+        latest = self.spark.read.schema(self._stored).parquet(staged)
+        found = latest.groupBy(BUCKET).agg(F.count_if(F.col(self.key).isNull()).alias("keyless")).collect()
+        if found:
+            hit = sorted(r[BUCKET] for r in found)
+            names = [*self.schema.names, BUCKET]
+            held = self._rows(hit).select(*names, F.lit(0).alias("_new"))
+            both = held.unionByName(latest.select(*names, F.lit(1).alias("_new"))).repartition(BUCKET)
+            newest = Window.partitionBy(BUCKET, self.key).orderBy(*[F.desc_nulls_last(c) for c in self.versions], F.desc("_new"))
+            keyed = both.filter(F.col(self.key).isNotNull()).withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1")
+            rows = keyed.select(*names)
+            if any(r["keyless"] for r in found):
+                # Rows without a key are never replaced; one that is already there is not stored twice.
+                own = held.filter(F.col(self.key).isNull()).select(*names)
+                rows = rows.unionByName(own).unionByName(latest.filter(F.col(self.key).isNull()).select(*names).exceptAll(own))
+            else:
+                rows = rows.unionByName(held.filter(F.col(self.key).isNull()).select(*names))
+            self._overwrite(rows, hit)
+        delete_path(self.spark, staged)
+
     def delete_where(self, condition: Column) -> None:
         """Hard delete; rows for which the condition is unknown stay."""
         rows = self._rows()
         hit = self._hit(rows.filter(r.is_true(condition)))
         self._overwrite(rows.filter(F.col(BUCKET).isin(hit)).filter(~r.is_true(condition)), hit)
 
-    def delete_keys(self, keys: DataFrame) -> None:
-        rows, gone = self._rows(), keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()
-        hit = self._hit(rows.join(gone, self.key, "left_semi"))
-        self._overwrite(rows.filter(F.col(BUCKET).isin(hit)).join(gone, self.key, "left_anti"), hit)
 
-    def clear(self) -> None:
-        delete_path(self.spark, self.root)
+class BatchedRows(_Buckets):
+    """Rows of named batches, any number per key, in buckets of the key and folders of the batch below them.
+
+    A batch given again replaces its own rows, whatever buckets they were in.
+    """
 
+    parts = ("batch",)
 
-BUCKET = "bucket"
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 16):
+        super().__init__(spark, root, schema, key, buckets, [T.StructField("batch", T.StringType())])
+
+    def store(self, rows: DataFrame, batch: str) -> None:
+        settle(self.spark, self.root)
+        self._prepare(self._bucketed(rows.select(*self._shown).withColumn("batch", F.lit(batch))))
+        folder = f"batch={batch}"
+        new = {f"{n}/{folder}" for n in child_names(self.spark, prepared(self.root))}
+        held = {
+            f"{n}/{folder}"
+            for n in child_names(self.spark, self.root)
+            if n.startswith(f"{BUCKET}=") and folder in child_names(self.spark, f"{self.root}/{n}")
+        }
+        replace_folders(self.spark, self.root, list(new), list(held - new))
 
 
 # --- corrections ------------------------------------------------------------------------------
@@ -204,8 +269,9 @@ def apply_corrections(
     key: str = "notice_id",
     arrival: tuple[str, ...] = (),
     given: str | None = None,
+    changed_only: bool = False,
 ) -> DataFrame:
-    """Stored rows with the corrected columns replaced.
+    """Stored rows with the corrected columns replaced; with ``changed_only`` those rows that a correction changes.
 
     Of several corrections of one row the last arrival counts, so no row is multiplied.  ``given`` names a column
     of ``corrections`` that lists the columns a correction sets, also to null; without it a null leaves what is
@@ -220,7 +286,11 @@ def apply_corrections(
             for c in columns
         ],
     )
-    return table.join(new, key, "left").select(
+    joined = table.join(new, key, "inner" if changed_only else "left")
+    if changed_only:
+        differs = [F.col(f"_set_{c}") & ~F.col(f"_new_{c}").eqNullSafe(F.col(c)) for c in columns]
+        joined = joined.filter(reduce(Column.__or__, differs))
+    return joined.select(
         *[
             F.when(F.col(f"_set_{c}"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
             for c in table.columns
@@ -257,6 +327,14 @@ def append_audit(events: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The whole trail: events of named batches and events appended by day."""
+    kinds = {name.partition("=")[0] for name in child_names(spark, path)}
+    layouts = [k for k in ("batch", "event_date") if k in kinds]
+    parts = [spark.read.option("basePath", path).parquet(f"{path}/{k}=*").select(*AUDIT_COLUMNS) for k in layouts]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- vault: identity apart from observations --------------------------------------------------
 
 DEMOGRAPHICS = T.StructType(
@@ -309,31 +387,30 @@ def cascade_erase(
 
 
 class Vault:
-    """Identity and observations as two stored tables under one folder, with their audit trail."""
+    """Identity and observations as two stored tables under one folder, both in buckets of the id, with their audit trail."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root = spark, root.rstrip("/")
         self.people = KeyedTable(spark, f"{self.root}/demographics", DEMOGRAPHICS, "abha_id", buckets)
+        self.seen = BatchedRows(spark, f"{self.root}/observations", OBSERVATIONS, "abha_id", buckets)
 
     def store(self, records: DataFrame, as_of: datetime, batch: str, *arrival: str) -> None:
         """A named batch of records: identities are upserted, its observations replace themselves."""
         people, payloads = split_vault(records, as_of, *arrival)
-        payloads.write.mode("overwrite").parquet(f"{self.root}/observations/batch={batch}")
+        self.seen.store(payloads, batch)
         self.people.upsert(people)
 
     def observations(self) -> DataFrame:
-        if not path_exists(self.spark, f"{self.root}/observations"):
-            return self.spark.createDataFrame([], OBSERVATIONS)
-        return self.spark.read.schema(OBSERVATIONS).parquet(f"{self.root}/observations/*")
+        return self.seen.current()
 
     def events(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/audit").select(*AUDIT_COLUMNS)
+        return read_audit(self.spark, f"{self.root}/audit")
 
     def erase(self, ids: DataFrame, as_of: datetime, batch: str) -> None:
         """Erase ids everywhere: the trail first, then the observations, then the identities.
 
-        The ids of a named erasure are kept until it is through, so that one that broke off is finished by giving
-        it again, with the same events.
+        Only the buckets of the ids are read and replaced.  The ids of a named erasure are kept until it is through, so that
+        one that broke off, at whatever step, is finished by giving it again, with the same events.
         """
         pending = f"{self.root}/pending/{batch}"
         if not is_committed(self.spark, pending):
@@ -342,14 +419,7 @@ class Vault:
         events, _, _ = cascade_erase(gone, gone, gone, as_of)
         if not is_committed(self.spark, f"{self.root}/audit/batch={batch}"):
             write_audit(events, f"{self.root}/audit", batch)
-        for name in child_names(self.spark, f"{self.root}/observations"):
-            folder = f"{self.root}/observations/{name}"
-            held = self.spark.read.schema(OBSERVATIONS).parquet(folder)
-            if not held.join(gone, "abha_id", "left_semi").isEmpty():
-                left = f"{self.root}/rewrite/{name}"
-                held.join(gone, "abha_id", "left_anti").write.mode("overwrite").parquet(left)
-                self.spark.read.schema(OBSERVATIONS).parquet(left).write.mode("overwrite").parquet(folder)
-                delete_path(self.spark, left)
+        self.seen.delete_keys(gone)
         self.people.delete_keys(gone)
         delete_path(self.spark, pending)
 

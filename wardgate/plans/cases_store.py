@@ -14,7 +14,7 @@ from wardgate.plans import sql_rules as q
 from wardgate.plans.fixtures import fixture, with_fixtures
 from wardgate.plans.registry import AS_OF, query
 from wardgate.sources.files import accepted_and_rejected
-from wardgate.streaming.incremental import intake_stream
+from wardgate.streaming.incremental import LANDED, intake_stream
 from wardgate.workspace import new_folder
 
 c = F.col
@@ -429,7 +429,7 @@ def _streamed(spark, sf, label):
     lines = fixture(spark, sf, "intake").select(
         *[c(f.name).cast("string") if f.name == "bill_amount" else c(f.name) for f in LINES]
     )
-    patients = tb.KeyedTable(spark, f"{root}/patients", tb.PATIENTS, "notice_id")
+    patients = tb.KeyedTable(spark, f"{root}/patients", tb.PATIENTS, "notice_id", versions=LANDED)
     half = F.right("notice_id", F.lit(1)).cast("int") % 2
     for drop in (0, 1):
         lines.filter(half == drop).write.mode("append").json(f"{root}/landing")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgate.functions import privacy as p
@@ -73,13 +72,10 @@ def correct(
     spark = edits.sparkSession
     folder = f"{work_path}/corrected/{batch}"
     if not is_committed(spark, folder):
-        waiting = patients.current().filter(F.col("status_reason") == dispositions.DESKS[desk][0])
         last = tb.keep_last(edits.filter(F.col(patients.key).isNotNull()), patients.key, arrival)
-        touched = waiting.join(last.select(patients.key), patients.key, "left_semi")
-        fixed = tb.apply_corrections(touched, last, columns, patients.key, (), given)
-        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in columns]
-        changed = fixed.alias("new").join(touched.alias("old"), patients.key).filter(~reduce(Column.__and__, same))
-        rows = tb.to_stored(dispositions.apply_gate(changed.select("new.*")), as_of)
+        waiting = patients.rows_near(last).filter(F.col("status_reason") == dispositions.DESKS[desk][0])
+        changed = tb.apply_corrections(waiting, last, columns, patients.key, (), given, changed_only=True)
+        rows = tb.to_stored(dispositions.apply_gate(changed), as_of)
         rows.write.mode("overwrite").parquet(folder)
     done = spark.read.schema(tb.PATIENTS).parquet(folder)
     events = tb.audit_events(

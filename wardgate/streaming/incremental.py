@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardgate.operators import naming
 from wardgate.operators.dispositions import apply_gate
@@ -13,6 +14,10 @@ from wardgate.operators.tables import KeyedTable, audit_events, to_stored
 from wardgate.sources import intake
 
 
+#: What orders the arrivals of a key: when its file landed, then the file.
+LANDED = T.StructType([T.StructField("landed", T.TimestampType()), T.StructField("path", T.StringType())])
+
+
 def intake_stream(
     spark: SparkSession,
     landing: str,
@@ -24,15 +29,17 @@ def intake_stream(
     name_of: intake.Naming = intake.by_canonical,
     files_per_batch: int | None = None,
     name: str = "stream",
+    oldest: str = "365d",
 ):
     """Start the job over JSON-lines files and return its query; it ends when all are taken in.
 
-    The table is the state, so no watermark is needed.  Members are mapped by ``name_of``; lines that hold no
+    The table is the state, so no watermark is needed; one made with the versions ``LANDED`` keeps what landed last, also when
+    an older file is taken in late.  Files older than ``oldest``, counted from the newest one seen, are not taken in.  Members are mapped by ``name_of``; lines that hold no
     record and records without a key go to ``rejects_path`` (default: beside the trail).  A micro-batch
     delivered again after a lost executor or driver replaces its own rows, rejects and audit row.
     """
     rejects_path = rejects_path or f"{audit_path}-rejects"
-    reader = spark.readStream
+    reader = spark.readStream.option("maxFileAge", oldest)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     arrivals = reader.text(landing).select(

@@ -44,3 +44,59 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
+
+
+# --- replacing folders in two phases ----------------------------------------------------------
+
+NEXT, INTENT = "_next", "_intent"
+
+
+def prepared(root: str) -> str:
+    """Where the new contents of folders under ``root`` are written; readers of ``root`` do not see it."""
+    return f"{root}/{NEXT}"
+
+
+def settle(spark: SparkSession, root: str) -> None:
+    """Finish a replacement that broke off after its intent was written; drop one that broke off before.
+
+    Every step can be done again: a folder whose new contents are still prepared is replaced, one without is in place.
+    """
+    fs, intent = _fs(spark, f"{root}/{INTENT}")
+    if not fs.exists(intent):
+        delete_path(spark, prepared(root))
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    held = fs.open(intent)
+    lines = spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8").split("\n")
+    held.close()
+    for kind, name in ((line[0], line[1:]) for line in lines):
+        old, new = path(f"{root}/{name}"), path(f"{root}/{NEXT}/{name}")
+        if kind == "-":
+            fs.delete(old, True)
+        elif fs.exists(new):
+            fs.delete(old, True)
+            fs.mkdirs(old.getParent())
+            if not fs.rename(new, old):
+                raise OSError(f"{new} cannot be moved to {old}")
+    fs.delete(intent, True)
+    delete_path(spark, prepared(root))
+
+
+def replace_folders(spark: SparkSession, root: str, replaced: list[str], removed: list[str]) -> None:
+    """Put the prepared folders ``replaced`` in place of those under ``root`` and drop the folders ``removed``.
+
+    First the intent is written and given its name at once, then the folders are moved one by one.  A driver lost before
+    the intent leaves the old contents, one lost after it the new ones as soon as :func:`settle` runs.
+    """
+    lines = [f"+{n}" for n in sorted(replaced)] + [f"-{n}" for n in sorted(removed)]
+    if not lines:
+        delete_path(spark, prepared(root))
+        return
+    fs, intent = _fs(spark, f"{root}/{INTENT}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{NEXT}{INTENT}")
+    out = fs.create(draft, True)
+    out.write(bytearray("\n".join(lines).encode()))
+    out.close()
+    if not fs.rename(draft, intent):
+        raise OSError(f"{intent} cannot be written")
+    settle(spark, root)
