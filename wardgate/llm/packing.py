@@ -134,8 +134,8 @@ def _split(text: str | None) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def word_ids(tokenizer_file: str, kept: int | None = None) -> WordIds:
-    return WordIds(tokenizer_file, kept)
+def word_ids(tokenizer_file: str) -> WordIds:
+    return WordIds(tokenizer_file)
 
 
 def cut(
@@ -143,12 +143,13 @@ def cut(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece.
 
-    ``words_kept`` bounds the words a task remembers: fewer take less memory and more time, the ids are the same.
+    ``words_kept`` bounds the words a task remembers: fewer take less memory and more time, the ids are the same.  A task
+    with such a bound leaves nothing to the next task of its worker, neither words nor tokenizer.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_ids(tokenizer_file, words_kept)
+        words = word_ids(tokenizer_file) if words_kept is None else WordIds(tokenizer_file, words_kept)
         for b in batches:
             rows = []
             for at in range(0, len(b), TEXTS_AT_A_TIME):
