@@ -277,3 +277,57 @@ def test_trails_of_both_layouts_are_read_together(spark):
     tb.write_audit(events, path, "b1")
     tb.append_audit(events, path)
     assert tb.read_audit(spark, path).count() == 2
+
+
+def test_a_kept_tally_equals_a_recount(spark, monkeypatch):
+    schema = T.StructType([*SCHEMA.fields, T.StructField("m", T.DoubleType())])
+    tally = tb.Tally(["v"], {"total": "m"})
+    t = tb.KeyedTable(spark, new_folder(spark, "tally"), schema, "k", buckets=3, tally=tally)
+    made = lambda *data: spark.createDataFrame(list(data), "k string, v string, m double")
+
+    def same():
+        assert rows(tally.shown(t.tallied())) == rows(tally.shown(tally.of(t.current())))
+
+    same()
+    first = made(*[(f"k{i}", "ab"[i % 2], i + 0.25) for i in range(20)], (None, "a", 1.0), ("n", None, None))
+    for change in (first, first, made(("k1", "a", 7.5), ("new", "c", None)), made(("k1", "b", 7.5), ("new", "a", 0.1))):
+        t.upsert(change)
+        same()
+    t.delete_keys(made(("k1", "", 0.0), ("k2", "", 0.0)))
+    same()
+    t.delete_where(c("v") == "b")
+    same()
+    t.compact()
+    same()
+    for step in (2, 4, 6):  # a lost writer
+        with monkeypatch.context() as m:
+            crashing(m, step)
+            try:
+                t.upsert(made((f"s{step}", "z", 2.0), ("k4", "z", 3.0)))
+            except Lost:
+                pass
+        same()
+    late = tb.KeyedTable(spark, t.root, schema, "k", buckets=3)
+    late.upsert(made(("x", "y", 1.0)))  # without the tally: it must not be trusted afterwards
+    t.clear()
+    same()
+
+
+def test_bundles_never_hold_more_than_asked(spark):
+    import json
+
+    from wardgate.sinks import fhir_export
+
+    entries = spark.range(57).select(
+        F.concat(F.lit("u"), F.col("id") % 50).alias("full_url"), F.concat(F.lit('{"n":'), F.col("id") % 50, F.lit("}")).alias("resource")
+    )
+    chunk = F.when(c("full_url") != "u1", F.lit(7))
+    got = fhir_export.bundles(entries, chunk, "full_url", "collection", most=10).collect()
+    sizes = [len(json.loads(r["bundle"])["entry"]) for r in got]
+    assert sum(sizes) == 57 and max(sizes) == 10 and len({(r["bundle_id"], r["part"]) for r in got}) == len(got) == 7
+    pairs = spark.range(9).select(
+        F.concat(F.lit("n"), "id").alias("notice_id"), F.inline(F.expr("array(struct(1 AS seq, '{}' AS resource, 'A' AS url), struct(2 AS seq, '{}' AS resource, 'B' AS url))"))
+    )
+    got = fhir_export.bundles(pairs, F.lit(0), "notice_id", "transaction", most=4).collect()
+    urls = [[e["request"]["url"] for e in json.loads(r["bundle"])["entry"]] for r in got]
+    assert sorted(map(len, urls)) == [2, 8, 8] and all(u == ["A", "B"] * (len(u) // 2) for u in urls)

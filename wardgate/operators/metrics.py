@@ -12,6 +12,7 @@ from wardgate.functions import payload as pl
 from wardgate.functions import rules as r
 from wardgate.functions import vocab as v
 from wardgate.operators.dispositions import apply_erasure_policy
+from wardgate.operators.tables import KeyedTable, Tally
 
 MONEY = "decimal(18,2)"
 
@@ -69,6 +70,24 @@ def disposition_summary(gated: DataFrame) -> DataFrame:
     )
 
 
+#: The disposition summary as a tally that a stored table keeps.
+DISPOSITIONS = Tally(("ingest_status", "status_reason"), {"bill_total": "bill_amount"}, MONEY)
+
+
+def kept_summary(table: KeyedTable) -> DataFrame:
+    """:func:`disposition_summary` of a stored table from its kept tally: no row of the table is read."""
+    return DISPOSITIONS.shown(table.tallied())
+
+
+def kept_scorecard(table: KeyedTable) -> DataFrame:
+    """:func:`scorecard` of a stored table from its kept tally."""
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("ingest_status") == s, F.col("n"))), F.lit(0))
+    return table.tallied().agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        *[of(s.upper()).alias(s) for s in ("processed", "purged", "quarantined")],
+    )
+
+
 def revenue_on_hold(gated: DataFrame) -> DataFrame:
     """Billed amount waiting for clinical evidence."""
     return gated.filter(F.col("status_reason") == "PENDING_CLINICAL_AUDIT").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import datetime
 from functools import reduce
 
@@ -105,6 +105,37 @@ BUCKET = "bucket"
 # --- table on files ---------------------------------------------------------------------------
 
 
+class Tally:
+    """Counts and exact sums by group, which differences of rows can be added to.
+
+    ``sums`` name decimal sums of columns; a group without rows is left out.  ``n`` is the number of rows.
+    """
+
+    def __init__(self, groups: Iterable[str], sums: Mapping[str, str] | None = None, money: str = "decimal(18,2)"):
+        self.groups, self.sums, self.money = list(groups), dict(sums or {}), money
+
+    def of(self, rows: DataFrame, sign: int = 1) -> DataFrame:
+        """The tally of rows; with sign -1, of taking them off."""
+        wide = "decimal(38,2)"
+        sums = [F.sum(F.col(c).cast(self.money) * sign).cast(wide).alias(name) for name, c in self.sums.items()]
+        told = [F.sum(F.when(F.col(c).isNotNull(), sign).otherwise(0)).alias(f"{name}_n") for name, c in self.sums.items()]
+        return rows.groupBy(*self.groups).agg(F.sum(F.lit(sign).cast("bigint")).alias("n"), *sums, *told)
+
+    def added(self, parts: DataFrame) -> DataFrame:
+        wide = "decimal(38,2)"
+        sums = [F.sum(name).cast(wide).alias(name) for name in self.sums]
+        told = [F.sum(f"{name}_n").alias(f"{name}_n") for name in self.sums]
+        return parts.groupBy(*self.groups).agg(F.sum("n").alias("n"), *sums, *told).filter("n <> 0")
+
+    def shown(self, kept: DataFrame) -> DataFrame:
+        """Groups, ``n`` and the sums, null where no row of a group has a value."""
+        sums = [F.when(F.col(f"{name}_n") > 0, F.col(name)).alias(name) for name in self.sums]
+        return kept.select(*self.groups, "n", *sums)
+
+
+TALLY = "_tally"
+
+
 class _Buckets:
     """A Parquet table cut into folders by a hash of a key; folders are replaced in two phases.
 
@@ -113,6 +144,7 @@ class _Buckets:
     """
 
     parts: tuple[str, ...] = ()  # partition columns below the bucket
+    tally: Tally | None = None
 
     def __init__(
         self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int, more: Iterable[T.StructField] = ()
@@ -148,7 +180,39 @@ class _Buckets:
             self._prepare(rows)
             names = {f"{BUCKET}={n}" for n in hit}
             written = names & set(child_names(self.spark, prepared(self.root)))
-            replace_folders(self.spark, self.root, list(written), list(names - written))
+            self._replace(list(written), list(names - written))
+
+    def _replace(self, written: list[str], removed: list[str]) -> None:
+        """Commit the prepared folders, and the tally with them."""
+        if self.tally is not None and written + removed:
+            self._tallied(written, removed).write.mode("overwrite").parquet(f"{prepared(self.root)}/{TALLY}")
+            written = [*written, TALLY]
+        replace_folders(self.spark, self.root, written, removed)
+
+    def _read(self, root: str, folders: list[str]) -> DataFrame:
+        found = [f"{root}/{n}" for n in folders if path_exists(self.spark, f"{root}/{n}")]
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.option("basePath", root).schema(self._stored).parquet(*found).select(*self.schema.names)
+
+    def _tallied(self, written: list[str], removed: list[str]) -> DataFrame:
+        """The tally after a commit: the one before it, less the rows of the folders that go, plus those that come."""
+        kept = f"{self.root}/{TALLY}"
+        if path_exists(self.spark, kept):
+            before, gone = self.spark.read.parquet(kept), written + removed
+        else:  # kept from now on
+            every = [n for n in child_names(self.spark, self.root) if n.startswith(f"{BUCKET}=")]
+            before = self.tally.of(self._read(self.root, every))
+            gone = [n for n in {*written, *removed}]
+        come = self.tally.of(self._read(prepared(self.root), written))
+        leave = self.tally.of(self._read(self.root, gone), -1)
+        return self.tally.added(before.unionByName(come).unionByName(leave)).coalesce(1)
+
+    def tallied(self) -> DataFrame:
+        """The kept tally: as many rows as there are groups, whatever the size of the table."""
+        settle(self.spark, self.root)
+        kept = f"{self.root}/{TALLY}"
+        return self.spark.read.parquet(kept) if path_exists(self.spark, kept) else self.tally.of(self._rows())
 
     def current(self) -> DataFrame:
         return self._rows().select(*self._shown)
@@ -179,13 +243,22 @@ class KeyedTable(_Buckets):
     A batch or a delete reads and replaces the buckets it touches; the others keep their files.  A batch given again finds
     its own rows and changes nothing.  With ``versions``, columns that order arrivals, each row keeps its own, and a row
     that arrives late or again never replaces a newer one: batches give one table in whatever order they come.  Rows
-    without a key are spread by a hash of the whole row.  ``buckets`` is fixed for the life of a table; choose it so that a
+    without a key are spread by a hash of the whole row.  A ``tally`` is kept up with every change, in the same commit:
+    what the replaced buckets held is taken off, what they hold now is added.  ``buckets`` is fixed for the life of a table; choose it so that a
     bucket is a few hundred megabytes.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 16, versions: T.StructType | None = None
+        self,
+        spark: SparkSession,
+        root: str,
+        schema: T.StructType,
+        key: str,
+        buckets: int = 16,
+        versions: T.StructType | None = None,
+        tally: Tally | None = None,
     ):
+        self.tally = tally
         self.versions = versions.names if versions is not None else []
         super().__init__(spark, root, schema, key, buckets, versions.fields if versions is not None else ())
 
@@ -245,7 +318,7 @@ class BatchedRows(_Buckets):
             for n in child_names(self.spark, self.root)
             if n.startswith(f"{BUCKET}=") and folder in child_names(self.spark, f"{self.root}/{n}")
         }
-        replace_folders(self.spark, self.root, list(new), list(held - new))
+        self._replace(list(new), list(held - new))
 
 
 # --- corrections ------------------------------------------------------------------------------

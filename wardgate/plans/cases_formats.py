@@ -498,7 +498,25 @@ def k7(spark, sf):
 def k7_bundles(spark, sf):
     entries = fhir_export.collection_entries(d.apply_gate(fixture(spark, sf, "intake")))
     number = F.regexp_extract("full_url", "([0-9]+)$", 1).cast("bigint")
-    return fhir_export.bundles(entries, F.floor(number / 100), "full_url", "collection")
+    return fhir_export.bundles(entries, F.floor(number / 100), "full_url", "collection").drop("part")
+
+
+@query(
+    "K7_bundle_sizes",
+    GATED
+    + f"""SELECT CAST(CAST(regexp_extract(full_url, '([0-9]+)$', 1) AS BIGINT) % 3 AS BIGINT) AS bundle_id,
+        CAST(ceil(count(*) / 250.0) AS BIGINT) AS bundles, CAST(count(*) AS BIGINT) AS entries,
+        CAST(least(count(*), 250) AS BIGINT) AS largest FROM ({COLLECTION}) t GROUP BY ALL""",
+)
+def k7_sizes(spark, sf):
+    """Three chunks of any size, cut into bundles of at most 250 entries: their number, entries and largest size."""
+    entries = fhir_export.collection_entries(d.apply_gate(fixture(spark, sf, "intake")))
+    number = F.regexp_extract("full_url", "([0-9]+)$", 1).cast("bigint")
+    made = fhir_export.bundles(entries, number % 3, "full_url", "collection", most=250)
+    held = F.size(F.from_json("bundle", "struct<entry: array<struct<fullUrl: string>>>")["entry"]).cast("bigint")
+    return made.withColumn("held", held).groupBy("bundle_id").agg(
+        F.count("*").alias("bundles"), F.sum("held").alias("entries"), F.max("held").alias("largest")
+    )
 
 
 _H = "sha256(notice_id)"

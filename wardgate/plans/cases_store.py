@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from wardgate.functions import privacy as p
 from wardgate.functions import rules as r
 from wardgate.operators import dispositions as d
+from wardgate.operators import metrics
 from wardgate.operators import tables as tb
 from wardgate.plans import flows
 from wardgate.plans import sql_rules as q
@@ -70,6 +71,22 @@ def k1_compacted(spark, sf):
     return _columns(patients.current())
 
 
+@query(
+    "A1_kept_summary",
+    UPSERTED
+    + """SELECT ingest_status, status_reason, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(bill_amount AS DECIMAL(18, 2))) AS DOUBLE) AS bill_total
+        FROM stored WHERE NOT coalesce(status_reason = 'CONSENT_REVOKED' AND bill_amount > 5000, false) GROUP BY ALL""",
+)
+def a1_kept(spark, sf):
+    """The disposition summary kept up over two batches, a replay and a delete, without reading the table."""
+    patients = tb.KeyedTable(spark, new_folder(spark, "a1k"), tb.PATIENTS, "notice_id", tally=metrics.DISPOSITIONS)
+    patients.upsert(_stored(spark, sf))
+    for _ in range(2):
+        patients.upsert(_stored(spark, sf, "batch2", "arrival_seq"), "arrival_seq")
+    patients.delete_where((c("status_reason") == "CONSENT_REVOKED") & (c("bill_amount") > 5000))
+    return metrics.kept_summary(patients).withColumn("bill_total", c("bill_total").cast("double"))
+
+
 CORRECTED = with_fixtures(
     "intake",
     "corrections",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardgate.functions import payload as pl
@@ -87,12 +87,31 @@ def transaction_entries(outcomes: DataFrame) -> DataFrame:
     return staged.select("notice_id", F.inline(entries))
 
 
-def bundles(entries: DataFrame, chunk: Column, order: str, kind: str) -> DataFrame:
-    """Bundles of the entries of one chunk; the chunk bounds how many a bundle holds.
+CELLS = 1024  # of the hash that deals the entries of a chunk to tasks
+MOST = 1000  # entries of a bundle
 
-    Entries with a ``url`` carry a request, as a transaction needs.
+
+def _parts(entries: DataFrame, most: int) -> DataFrame:
+    """``entries`` with ``part``: their number within ``chunk``, cut every ``most``.
+
+    Entries are counted by hash cell, the counts are added up over the cells of a chunk, and an entry adds its number in its
+    cell to what stands before the cell; no task sees a whole chunk.
+    """
+    dealt = entries.withColumn("_cell", F.pmod(F.xxhash64(*entries.columns), F.lit(CELLS)))
+    counts = dealt.groupBy("chunk", "_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("chunk").orderBy("_cell")) - F.col("_n")
+    starts = counts.select(F.col("chunk").alias("_chunk"), F.col("_cell").alias("_c"), before.alias("_start"))
+    within = F.row_number().over(Window.partitionBy("chunk", "_cell").orderBy(*entries.columns)) - 1
+    joined = dealt.withColumn("_in", within).join(starts, F.col("chunk").eqNullSafe(F.col("_chunk")) & (F.col("_cell") == F.col("_c")))
+    return joined.select(*entries.columns, F.floor((F.col("_start") + F.col("_in")) / most).alias("part"))
+
+
+def bundles(entries: DataFrame, chunk: Column, order: str, kind: str, most: int = MOST) -> DataFrame:
+    """``bundle_id`` (the chunk), ``part``, ``bundle``: bundles of at most ``most`` entries, whatever the chunk holds.
+
+    Entries with a ``url`` carry a request, as a transaction needs; entries of one ``notice_id`` with a ``seq`` stay together
+    (``most`` counts such groups then).
     """
-    head = F.struct(F.col(order), F.col("resource"))
     if "url" in entries.columns:
         body = F.concat(
             F.lit('{"resource":'), "resource", F.lit(',"request":{"method":"POST","url":"'),
@@ -102,11 +121,23 @@ def bundles(entries: DataFrame, chunk: Column, order: str, kind: str) -> DataFra
         body = F.concat(
             F.lit('{"fullUrl":"'), "full_url", F.lit('","resource":'), "resource", F.lit("}")
         )
-    listed = F.array_sort(F.collect_list(F.struct(head.alias("o"), body.alias("b"))))
-    return entries.groupBy(chunk.alias("bundle_id")).agg(
+    shown = entries.select(chunk.alias("chunk"), F.col(order).alias("o"), F.col("resource"), body.alias("b"), *(["notice_id"] if _grouped(entries) else []))
+    if _grouped(entries):
+        key = [F.col("chunk"), F.col("notice_id")]
+        groups = shown.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "resource", "b"))).alias("e"))
+        placed = _parts(groups, most)
+        listed = F.flatten(F.array_sort(F.collect_list(F.struct("notice_id", "e")))["e"])
+    else:
+        placed = _parts(shown, most)
+        listed = F.array_sort(F.collect_list(F.struct("o", "resource", "b")))
+    return placed.groupBy(F.col("chunk").alias("bundle_id"), "part").agg(
         F.concat(
             F.lit(f'{{"resourceType":"Bundle","type":"{kind}","entry":['),
             F.concat_ws(",", F.transform(listed, lambda x: x["b"])),
             F.lit("]}"),
         ).alias("bundle")
     )
+
+
+def _grouped(entries: DataFrame) -> bool:
+    return {"notice_id", "seq"} <= set(entries.columns)
