@@ -119,8 +119,8 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
-def category_counts(df: DataFrame) -> DataFrame:
-    """Frequency of every visit type, diagnosis, medication and lab test named by the payloads."""
+def category_items(df: DataFrame) -> DataFrame:
+    """``category``, ``item``: every visit type, diagnosis, medication and lab test named by the payloads."""
     obj = pl.payload_object(F.col("clinical_payload"))
 
     def item(category: str, key: str) -> Column:
@@ -141,17 +141,46 @@ def category_counts(df: DataFrame) -> DataFrame:
         df.select("clinical_payload", obj.alias("_o"))
         .select(F.inline(pairs))
         .filter(F.col("item").isNotNull())
-        .groupBy("category", "item")
-        .agg(F.count("*").alias("n"))
     )
 
 
+def category_counts(df: DataFrame) -> DataFrame:
+    """Frequency of every item of :func:`category_items`."""
+    return category_items(df).groupBy("category", "item").agg(F.count("*").alias("n"))
+
+
 def top_items(counts: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most frequent items of each category; equal counts in item order."""
     order = Window.partitionBy("category").orderBy(F.desc("n"), F.asc("item"))
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def bounded_top_items(items: DataFrame, k: int = 5, tracked: int = 10_000, named: int = 1_000) -> DataFrame:
+    """:func:`top_items` of (``category``, ``item``) rows of free text, exact, without counting every item.
+
+    A mergeable sketch of ``tracked`` counters a category names the ``named`` most frequent items, and only these are counted, in a
+    second pass.  An item that is not named occurs at most as often as the last named one may, and as the sketch's error allows
+    (3.5 in ``tracked`` of all rows); where the k-th count is above that, or the named items are all there are, nothing is missed.
+    Categories for which that cannot be said are counted in full.
+    """
+    sketch = items.groupBy("category").agg(
+        F.count("*").alias("_all"), F.expr(f"approx_top_k(item, {named}, {tracked})").alias("_top")
+    )
+    last = F.when(F.size("_top") == named, F.array_min(F.transform("_top", lambda x: x["count"]))).otherwise(0)
+    sketch = sketch.withColumn("_bound", F.greatest(last, F.ceil(F.lit(3.5) * F.col("_all") / tracked)))
+    asked = sketch.select("category", F.explode(F.col("_top")["item"]).alias("item"))
+    counts = items.join(asked, ["category", "item"]).groupBy("category", "item").agg(F.count("*").alias("n"))
+    best = top_items(counts, k)
+    seen = counts.groupBy("category").agg(F.sum("n").alias("_seen"))
+    kth = best.filter(F.col("rank") == k).select("category", F.col("n").alias("_kth"))
+    told = sketch.join(seen, "category", "left").join(kth, "category", "left")
+    sure = F.coalesce(F.col("_kth") > F.col("_bound"), F.lit(False)) | F.coalesce(F.col("_seen") == F.col("_all"), F.lit(False))
+    certain = told.filter(sure).select("category")
+    unsure = told.filter(~sure).select("category")
+    full = items.join(unsure, "category", "left_semi").groupBy("category", "item").agg(F.count("*").alias("n"))
+    return best.join(certain, "category", "left_semi").unionByName(top_items(full, k))
+
+
 def compliance_stats(df: DataFrame, as_of: datetime, days: int = v.REPORTING_EXPIRY_DAYS) -> DataFrame:
     """Records without an id, revoked, and with an old notice, each with its percentage."""
     counts = df.agg(

@@ -142,6 +142,17 @@ def w3(spark, sf):
     return m.top_items(m.category_counts(_rich(spark, sf)))
 
 
+@query(
+    "W3_bounded_top_items",
+    RICHLY
+    + f"""SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY n DESC, item) AS INT) AS rank
+        FROM ({CATEGORIES}) c QUALIFY rank <= 5""",
+)
+def w3_bounded(spark, sf):
+    """The same from bounded sketches and an exact second count of what they name."""
+    return m.bounded_top_items(m.category_items(_rich(spark, sf)))
+
+
 @query(
     "A8_compliance_stats",
     INTAKE
