@@ -42,6 +42,18 @@ def test_learns_a_lexicon_and_scores(spark):
             assert r.predicted == (r.doc_id % 4 == 0)
 
 
+def test_unlike_texts_all_count_and_copies_once(spark):
+    # every text holds the common words; each of ten toxic terms is in ten texts, and one more in ten copies
+    common = "the of and to in is that was for on"
+    docs = [(i, f"{common} grobw{'abcdefghij'[i % 10]} nr {i}", 1) for i in range(100)]
+    docs += [(100 + i, f"{common} Snorf  nr {' ' * i}", 1) for i in range(10)]
+    docs += [(200 + i, f"{common} fine nr {i}", 0) for i in range(200)]
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int")
+    learned = toxicity.learned_lexicon(table, labels, "doc_id", "text")
+    assert {f"grobw{c}" for c in "abcdefghij"} <= learned and "snorf" not in learned and "fine" not in learned
+
+
 def test_one_class_and_empty_tables(spark):
     docs, labels = rows(spark)
     for some, value in ((labels.limit(0), 0.0), (labels.where("toxic = 1"), 1.0), (labels.where("toxic = 0"), 0.0)):

@@ -155,8 +155,8 @@ def learned_lexicon(docs: DataFrame, labels: DataFrame, doc_id: str, text: str)
             F.broadcast(some(1).union(some(0))),  # at most 2 x LEXICON_ROWS ids
             "doc_id",
         )
-        # copies and near copies share their smallest word hash: one of them counts
-        .withColumn("kind", F.expr("array_min(transform(split(lower(text), '\\\\s+'), w -> xxhash64(w)))"))
+        # of texts that are equal but for letter case and white space one counts
+        .withColumn("kind", F.sha2(F.regexp_replace(F.lower("text"), r"\s+", " "), 256))
         .groupBy("toxic", "kind")
         .agg(F.min_by("text", "doc_id").alias("text"))
         .select("text", "toxic"),
