@@ -2,6 +2,19 @@ import random
 
 from wardgate.llm import stages
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_letters_of_no_language_go(spark):
+    rng = random.Random(2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    letters = lambda signs, n: " ".join("".join(rng.choice(signs) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    junk = [letters(s, n) for s in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзиклмно") for n in (10, 200)]
+    rows = [(9000 + i, t, "en", "s", len(t)) for i, t in enumerate(junk)] + [(9900, "x" * 3000, None, "s", 3000)]
+    mixed = docs.union(spark.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in stages.language(spark, mixed, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
 
 def test_shared_passages_of_51_words_go(spark):
     rng = random.Random(4)

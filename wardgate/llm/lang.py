@@ -6,7 +6,8 @@ batch of texts into one sparse list of (row, bucket) and adds up matrix rows per
 
 Letters are lower-cased, everything else is a word gap.  Null texts and texts without a letter are ``und`` with
 score 0 and teach nothing; so are all texts where no language was learned.  Ties go to the first language in
-alphabetical order.  Long texts are taken in slices that overlap by an n-gram, so each n-gram counts once.
+alphabetical order.  How like its language a text is, is the mean log probability of its n-grams less what the language's own
+n-grams have: unlike the posterior, it is low for letters that are in no learned language.  Long texts are taken in slices that overlap by an n-gram, so each n-gram counts once.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ class Model:
     prior: np.ndarray  # log share of each language
     matrix: np.ndarray  # BUCKETS x languages, log probabilities
 
+    @property
+    def typical(self) -> np.ndarray:
+        """Expected log probability of an n-gram of each language."""
+        return (np.exp(self.matrix) * self.matrix).sum(axis=0)
+
 
 def _slices(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, int]]:
     """(row, code points, number of n-gram starts) of each slice of each text that has letters."""
@@ -134,32 +140,41 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, prior, matrix)
 
 
-def scored(texts: Iterable[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and its posterior probability for each text."""
+def measured(texts: Iterable[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, its posterior probability and its likeness (``und``: minus infinity) for each text."""
     texts = list(texts)
     total = np.zeros((len(texts), len(model.languages)))
-    seen = np.zeros(len(texts), bool)
+    grams = np.zeros(len(texts))
     if model.languages:
         for buckets, rows, firsts in sparse_grams(texts):
             np.add.at(total, rows, np.add.reduceat(model.matrix[buckets], firsts, axis=0))
-            seen[rows] = True
-        total += model.prior
+            np.add.at(grams, rows, np.diff(np.append(firsts, len(buckets))))
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    for i in np.flatnonzero(seen):
-        best = int(total[i].argmax())
+    likeness = np.full(len(texts), -np.inf)
+    typical = model.typical
+    for i in np.flatnonzero(grams):
+        posterior = total[i] + model.prior
+        best = int(posterior.argmax())
         names[i] = model.languages[best]
-        scores[i] = 1 / np.exp(total[i] - total[i, best]).sum()
-    return names, scores
+        scores[i] = 1 / np.exp(posterior - posterior[best]).sum()
+        likeness[i] = total[i, best] / grams[i] - typical[best]
+    return names, scores, likeness
+
+
+def scored(texts: Iterable[str | None], model: Model) -> tuple[list[str], np.ndarray]:
+    """Language and its posterior probability for each text."""
+    return measured(texts, model)[:2]
 
 
-def predicted(docs: DataFrame, text: str, model: Model) -> Column:
-    """Struct of ``lang_pred`` and ``score`` for each text; the model is broadcast."""
+def predicted(docs: DataFrame, text: str, model: Model, likeness: bool = False) -> Column:
+    """Struct of ``lang_pred``, ``score`` and, if asked, ``likeness`` for each text; the model is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double" + ", likeness double" * likeness)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            names, scores = scored(b, held.value)
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores})
+            names, scores, like = measured(b, held.value)
+            out = {"lang_pred": pd.Series(names, dtype=object), "score": scores}
+            yield pd.DataFrame(out | ({"likeness": like} if likeness else {}))
 
     return predict(F.col(text))

@@ -15,15 +15,18 @@ from wardgate.llm import lang, packing, simhash, substrings, toxicity
 from wardgate.llm.common import landed, table
 
 LEAST_SCORE = 0.5
+LEAST_LIKENESS = -3.0  # nats an n-gram below what is usual in the language; texts in it lie above -2.5, random letters below -3.5
 PASSAGE_WORDS = 51  # a repeated passage of so many words goes
 PASSAGE_BYTES = 200  # and is looked for from this length on
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined, with a probability of at least ``LEAST_SCORE``."""
+    """Documents whose language is determined, with a probability of at least ``LEAST_SCORE`` among the learned ones and a likeness
+    of at least ``LEAST_LIKENESS``, so that letters of no learned language go (what labelled texts are full of is learned)."""
     model = lang.fit(docs)
-    marked = docs.withColumn("__lang", lang.predicted(docs, "text", model))
-    kept = (F.col("__lang.lang_pred") != lang.UNDETERMINED) & (F.col("__lang.score") >= LEAST_SCORE)
+    marked = docs.withColumn("__lang", lang.predicted(docs, "text", model, likeness=True))
+    like = F.col("__lang.likeness") >= LEAST_LIKENESS
+    kept = (F.col("__lang.lang_pred") != lang.UNDETERMINED) & (F.col("__lang.score") >= LEAST_SCORE) & like
     return marked.where(kept).select(*docs.columns)
 
 
