@@ -148,6 +148,23 @@ def test_xml_tags_beside_and_inside_one_another(spark, tmp_path, splits):
     assert bad == [("none.xml", "no markup", "no XML record")]
 
 
+def test_xml_children_without_a_record_are_rejects(spark, tmp_path, splits):
+    field = lambda i: f"<patient_name>P{i}</patient_name><notice_id>N{i}</notice_id>"
+    files = {
+        "beside.xml": f"<all>\n<!-- <thing>\n<thing/> -->\n<record>{field(1)}</record>\n<thing a='1>2'><colour>red</colour>\n <b/>x</thing>\n"
+                      f"<patient>{field(2)}</patient><group><record>{field(3)}</record></group>\n<empty/>\n</all>\n",
+        "two.xml": f"<all><entry>{field(4)}</entry><other><![CDATA[<a>]]></other><entry>{field(5)}</entry></all>",
+        "root.xml": f"<record>{field(6)}</record>",
+        "stray.xml": f"<all></x><record>{field(7)}</record><thing/></all>",
+    }
+    good, bad = landed(spark, tmp_path, files)
+    assert sorted(x[3] for x in good) == [f"N{i}" for i in range(1, 8)]
+    assert sorted(bad) == [
+        ("beside.xml", "<empty/>", "no record tag"), ("beside.xml", "<thing a='1>2'><colour>red</colour>\n <b/>x</thing>", "no record tag"),
+        ("two.xml", "<other><![CDATA[<a>]]></other>", "no record tag"),
+    ]
+
+
 def test_a_bundle_is_read_by_several_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
     spark.conf.set("spark.sql.files.openCostInBytes", "1b")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardgate.functions import payload as pl
 from wardgate.functions import vocab as v
-from wardgate.operators.aliases import canonical_name_sql
+from wardgate.operators.aliases import field_of_key_sql, header_key_sql
 
 ITEM = "map<string,string>"
 
@@ -46,9 +46,10 @@ def unreadable(docs: DataFrame, body: str = "body") -> DataFrame:
 
 def records(docs: DataFrame, body: str = "body", keys: Iterable[str] = v.API_ENVELOPES) -> DataFrame:
     """Adapter record per item; of several members claiming one field the last one counts."""
+    # The key is brought into its one spelling once, in a step of its own.
     named = F.expr(
-        "transform(map_entries(item), e -> named_struct('field', "
-        f"{canonical_name_sql('e.key')}, 'value', e.value))"
+        f"transform(transform(map_entries(item), e -> named_struct('key', {header_key_sql('e.key')}, 'value', e.value)), "
+        f"e -> named_struct('field', {field_of_key_sql('e.key')}, 'value', e.value))"
     )
     rest = [c for c in docs.columns if c != body]
 

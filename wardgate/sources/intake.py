@@ -226,7 +226,8 @@ def read_json_files(spark: SparkSession, path: str, extension: str, name: Naming
 
 
 def read_xml_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:
-    """Files grouped by their record tags: all known ones that occur, else the first child of the root.
+    """Files grouped by their record tags: all known ones that occur, else the first child of the root.  Other children of the
+    root, with no such tag inside, are rejects.
 
     Of known tags inside one another the one that is known first counts: an element that holds one known before it is no
     record, and a tag that stands inside one known before it is a field there.
@@ -240,6 +241,12 @@ def read_xml_files(spark: SparkSession, path: str, extension: str, name: Naming)
     nothing = _nothing(spark)
     records, rejects = [nothing[0]], [nothing[1]]
     marked = found.select("path")
+    chosen = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array_compact(F.array("child")))
+    of_tags = [p for tags, paths in groups.items() if tags for p in paths]
+    if of_tags:
+        files = found.withColumn("tags", chosen).where(~F.array_contains("tags", F.col("root"))).select("path", "tags")
+        others = split.other_children(spark, files, of_tags)
+        rejects.append(_rejects(others, F.col("text"), "no record tag"))
     empty = lines.filter(F.trim("value") != "").join(marked, "path", "left_anti")
     rejects.append(_rejects(empty, F.col("value"), "no XML record"))
     for tags, paths in sorted(groups.items()):
@@ -249,7 +256,7 @@ def read_xml_files(spark: SparkSession, path: str, extension: str, name: Naming)
         for tag in tags:
             if any(tag in own for own in fields.values()):
                 continue
-            reader = spark.read.format("xml").options(rowTag=tag, inferSchema=False, columnNameOfCorruptRecord=CORRUPT)
+            reader = spark.read.format("xml").options(rowTag=tag, inferSchema=False, columnNameOfCorruptRecord=CORRUPT, **split.ELEMENTS_APART)
             fields[tag] = own = [f.name for f in reader.load(paths).schema if f.name != CORRUPT]
             flat = ", ".join(f"`{f}` string" for f in [*own, CORRUPT])
             rows = reader.schema(flat).load(paths).withColumn("path", F.col(PATH))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILE = "_metadata.file_path"
+#: Of Spark's two XML parsers, the one that takes each element by itself: the other gives up the rest of a file where tags do not match.
+ELEMENTS_APART = {"useLegacyXMLParser": "true"}
 
 
 def _in_block(last: int | None = None):
@@ -249,3 +251,34 @@ def known_tags(lines: DataFrame, tags: Iterable[str]) -> DataFrame:
     early = seen.withColumn("_n", F.row_number().over(in_file)).where("_n <= 2")  # limited before the shuffle
     firsts = early.groupBy("path").agg(F.flatten(F.sort_array(F.collect_list(F.struct("_n", F.slice("_t", 1, 2).alias("t"))))["t"]).alias("_f"))
     return sets.join(firsts, "path").select("path", "tags", F.get("_f", F.lit(0)).alias("root"), F.get("_f", F.lit(1)).alias("child"))
+
+
+def other_children(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
+    """``path``, ``text`` of the children of the roots that hold none of the ``tags`` that ``files`` (``path``, ``tags``) names.
+
+    A piece is a tag and what follows it.  Files whose tags do not balance have no such children, for their levels mean nothing.
+    """
+    raw = pieces(spark, paths, "<")
+    value = F.col("value")
+    event = F.when(value.rlike(r"-->|\]\]>"), False).when(value.rlike(r"^!(--|\[CDATA\[)"), True)  # inside a comment afterwards
+    raw = raw.withColumn("_e", event)
+    blocks = raw.groupBy("path", "block").agg(F.max_by("_e", F.when(F.col("_e").isNotNull(), F.col("at"))).alias("_l"))
+    blocks = blocks.select("path", "block", F.last("_l", True).over(_blocks_before()).alias("_l"))
+    inside = F.coalesce(F.last("_e", True).over(_in_block(-1)), "_l", F.lit(False))
+    tag = F.when(~F.col("_in"), F.nullif(F.regexp_extract("value", r"^([A-Za-z_][\w.:-]*)", 1), F.lit("")))
+    shut = value.rlike(r"""^(?:[^>"']|"[^"]*"|'[^']*')*/>""")
+    closing = ~F.col("_in") & value.startswith("/")
+    step = F.when(closing, -1).when(F.col("_tag").isNotNull() & ~shut, 1).otherwise(0)
+    known = raw.join(blocks, ["path", "block"]).withColumn("_in", inside).withColumn("_tag", tag).withColumn("_c", step)
+    known = known.select("path", "block", "at", "value", "_tag", "_c", closing.alias("_closing"))
+    sums = known.groupBy("path", "block").agg(F.sum("_c").alias("_s"))
+    even = sums.groupBy("path").agg(F.sum("_s").alias("_s")).where("_s = 0").select("path")
+    down = sums.select("path", "block", _or_zero(F.sum("_s").over(_blocks_before())).alias("_down"))
+    depth = F.col("_down") + _or_zero(F.sum("_c").over(_in_block(-1)))
+    placed = known.join(even, "path").join(down, ["path", "block"]).withColumn("depth", depth).drop("_down", "_c")
+    child = (F.col("depth") == 1) & F.col("_tag").isNotNull()
+    begun = with_record(placed.where((F.col("depth") > 1) | child), child).join(files, "path")
+    found = F.coalesce(F.array_contains("tags", F.col("_tag")), F.lit(False))
+    others = begun.groupBy("path", "record").agg(F.bool_or(found).alias("_known")).where("NOT _known").drop("_known")
+    texts = assembled(begun.join(others, ["path", "record"], "left_semi"), F.concat(F.lit("<"), "value"), "")
+    return texts.select("path", F.regexp_replace("text", r"\s+\z", "").alias("text"))
