@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as se
 from wardgate.operators import sampling
 from wardgate.operators.aliases import standardize
 from wardgate.sinks import fhir_export, render
@@ -270,3 +271,18 @@ def test_scenario_marks_with_null_and_repeated_keys(spark):
     got = sampling.mark_scenarios(df, datetime(2026, 1, 2)).collect()
     assert all(r.abha_id == "i" and r.consent_status == "A" for r in got if r.notice_id is None)
     assert sum(r.abha_id is None for r in got) == 45 and sum(r.consent_status == "REVOKED" for r in got) == 30
+
+
+@pytest.mark.parametrize("name", ["S4_labelled_text_scan"])
+def test_block_scans_hold_no_whole_file(spark, tmp_path, monkeypatch, name):
+    """Files of many blocks come as one row a block, not as one row a file."""
+    rows = spark.range(200).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "'2-HIGH' AS o_orderpriority", "'F' AS o_orderstatus",
+        "100.0D AS o_totalprice", "date'1998-01-01' AS o_orderdate", "id AS c_custkey", "id AS p_partkey",
+    )
+    for table in ("orders", "customer", "part"):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    read, seen = reports.read_documents, []
+    monkeypatch.setattr(reports, "read_documents", lambda *a, **k: seen.append(read(*a, **k)) or seen[-1])
+    assert se.queries()[name](spark, str(tmp_path)).select("notice_id").distinct().count() == 200
+    assert seen[0].count() == 200

@@ -93,7 +93,8 @@ BLOCKS = """SELECT patient_name, coalesce(abha_id, 'None') AS abha_id, coalesce(
 @query("S4_labelled_text_scan", INTAKE + BLOCKS)
 def s4(spark, sf):
     folder = _landed(spark, sf, "s4", 20, render.labelled_text())
-    return reports.labelled_blocks(reports.read_documents(spark, folder)).drop("doc_id")
+    docs = reports.read_documents(spark, folder, separator="\n" + render.TEXT_SEPARATOR + "\n")
+    return reports.labelled_blocks(docs).drop("doc_id")
 
 
 @query("S4_split_file_scan", INTAKE + BLOCKS)

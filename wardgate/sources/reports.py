@@ -18,7 +18,8 @@ from wardgate.functions import vocab as v
 def read_documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """``doc_id`` (file path), ``body``: one row per file, or per piece when a separator is given.
 
-    With a separator the files are split, so a file of any size is read by many tasks.
+    With a separator the files are split, so a file of any size is read by many tasks.  Without, a task holds a whole
+    file, which suits small files alone.
     """
     return (
         spark.read.text(path, wholetext=separator is None, lineSep=separator)
