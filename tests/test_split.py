@@ -178,3 +178,13 @@ def test_a_bundle_is_read_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_elements_are_parsed_once_for_fields_and_verdicts(spark):
+    """What is asked of the verdict does not repeat the parsing of the members below it."""
+    docs = spark.createDataFrame([("a", '{"Patient_Name":"A"}'), ("a", '{"x":1}'), ("a", "[2]")], "path string, body string")
+    good, bad = intake.json_fields(docs, intake.by_canonical, intake.known_names())
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_entries(") == 1
+    assert [(r.path, r.patient_name) for r in good.collect()] == [("a", "A")]
+    assert sorted(r.reason for r in bad.collect()) == ["element is no object", "no known field"]

@@ -133,8 +133,12 @@ def read_csv_files(spark: SparkSession, path: str, extension: str, name: Naming)
 # --- JSON -------------------------------------------------------------------------------------
 
 
-def _kind(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+def _is_list(value: Column | str, path: str = "$") -> Column:
+    return F.try_variant_get(value, path, "array<variant>").isNotNull()
+
+
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def _one_value(text: Column) -> Column:
@@ -154,25 +158,26 @@ def json_items(docs: DataFrame, keys: Iterable[str]) -> DataFrame:
     rest = [c for c in docs.columns if c != "body"]
     parsed = docs.withColumn("_text", text).where("_text IS NOT NULL").withColumn("_v", _one_value(F.col("_text")))
     member = {k: F.try_variant_get("_v", f"$.{k}", "variant") for k in keys}
-    chosen = F.coalesce(*[F.when(_kind(x, "ARRAY"), F.lit(k)) for k, x in member.items()], F.lit(None).cast("string"))
+    chosen = F.coalesce(*[F.when(_is_list("_v", f"$.{k}"), F.lit(k)) for k in member], F.lit(None).cast("string"))
     shown = parsed.withColumn("_key", chosen).withColumn(
         "_list", F.when(F.col("_key").isNotNull(), F.try_element_at(pl.json_object(F.col("_text")), F.col("_key"))).otherwise(F.col("_text"))
     )
     inner = F.coalesce(*[F.when(F.col("_key") == k, x) for k, x in member.items()], F.col("_v"))
-    shown = shown.withColumn("_v", inner).withColumn("_is_list", _kind(F.col("_v"), "ARRAY"))
+    shown = shown.withColumn("_v", inner).withColumn("_is_list", _is_list("_v"))
     texts = F.when(F.col("_is_list"), F.from_json("_list", "array<string>")).otherwise(F.array("_text"))
     kinds = F.when(
         F.col("_is_list"),
-        F.transform(F.expr("CAST(CASE WHEN _is_list THEN _v END AS ARRAY<VARIANT>)"), lambda e: _kind(e, "OBJECT")),
-    ).otherwise(F.array(_kind(F.col("_v"), "OBJECT")))
+        F.transform(F.expr("CAST(CASE WHEN _is_list THEN _v END AS ARRAY<VARIANT>)"), _is_object),
+    ).otherwise(F.array(_is_object(F.col("_v"))))
     items = shown.select(
         *rest, F.col("_v").isNotNull().alias("readable"), F.explode(F.arrays_zip(texts.alias("text"), kinds.alias("is_object"))).alias("_i")
     )
     return items.select(*rest, F.coalesce("_i.text", F.lit("null")).alias("text"), F.col("_i.is_object").alias("is_object"), "readable")
 
 
-def json_fields(docs: DataFrame, name: Naming, known: Iterable[str]) -> Landed:
-    """Records and rejects of JSON documents (``path``, ``body``) under their own member names, one verdict per element.
+def json_verdicts(docs: DataFrame, name: Naming, known: Iterable[str]) -> DataFrame:
+    """JSON documents (``path``, ``body``) by element: the canonical fields under the document's own member names, ``text``, and the
+    ``reason`` why an element is no record, null for records.
 
     ``known`` are the names to look for, since members become columns one by one.
     """
@@ -183,23 +188,34 @@ def json_fields(docs: DataFrame, name: Naming, known: Iterable[str]) -> Landed:
             by_field[name(k)].append(k)
     entries = F.map_entries(pl.json_object(F.col("text")))
     lower = F.transform(entries, lambda e: F.struct(F.trim(F.lower(e["key"])).alias("k"), e["value"].alias("x")))
+    both = F.transform(lower, lambda e: F.struct(e["k"], F.translate(e["k"], " -", "__").alias("joined"), e["x"]))
 
     def member(field: str) -> Column:
         names = sorted({k.lower() for k in by_field[field]})
-        mine = F.filter("_m", lambda e: e["k"].isin(names) | F.translate(e["k"], " -", "__").isin(names))
+        mine = F.filter("_m", lambda e: e["k"].isin(names) | e["joined"].isin(names))
         return F.try_element_at(mine, F.lit(-1))
 
     rest = [c for c in docs.columns if c != "body"]
     asked = [f for f in v.CANONICAL if by_field[f]]
-    filled = items.withColumn("_m", F.when(F.col("is_object"), lower)).select(
-        *rest, "text", "is_object", "readable", F.size("_m").alias("_n"), *[member(f).alias(f) for f in asked]
+    filled = items.withColumn("_m", F.when(F.col("is_object"), both)).select(
+        *rest, "text", "is_object", "readable", *[member(f).alias(f) for f in asked]
     )
     known_one = reduce(Column.__or__, [F.col(f).isNotNull() for f in asked])
-    records = filled.filter(known_one).select(
-        *rest, *[(F.col(f"{f}.x") if f in asked else F.lit(None).cast("string")).alias(f) for f in v.CANONICAL]
-    )
-    reason = F.when(~F.col("readable"), "no JSON record").when(F.col("is_object"), UNKNOWN).otherwise("element is no object")
-    return records, filled.filter(~known_one).select("path", "text", reason.alias("reason"))
+    reason = F.when(known_one, None).when(~F.col("readable"), "no JSON record").when(F.col("is_object"), UNKNOWN).otherwise("element is no object")
+    fields = [(F.col(f"{f}.x") if f in asked else F.lit(None).cast("string")).alias(f) for f in v.CANONICAL]
+    # A row passes a generator, so that what is asked of its reason is not worked out once more before its fields are.
+    return filled.select(F.inline(F.array(F.struct(*rest, *fields, "text", reason.alias("reason")))))
+
+
+def json_fields(docs: DataFrame, name: Naming, known: Iterable[str]) -> Landed:
+    """Records and rejects of JSON documents (``path``, ``body``), one verdict per element: see :func:`json_verdicts`."""
+    return by_verdict(json_verdicts(docs, name, known))
+
+
+def by_verdict(verdicts: DataFrame) -> Landed:
+    """Verdicts as records and rejects."""
+    records = verdicts.filter("reason IS NULL").drop("text", "reason")
+    return records, verdicts.filter("reason IS NOT NULL").select("path", "text", "reason")
 
 
 def read_json_files(spark: SparkSession, path: str, extension: str, name: Naming) -> Landed:

@@ -12,6 +12,7 @@ from wardgate.operators import naming
 from wardgate.operators.dispositions import apply_gate
 from wardgate.operators.tables import KeyedTable, audit_events, to_stored
 from wardgate.sources import intake
+from wardgate.workspace import delete_path
 
 
 #: What orders the arrivals of a key: when its file landed, then the file.
@@ -39,6 +40,7 @@ def intake_stream(
     delivered again after a lost executor or driver replaces its own rows, rejects and audit row.
     """
     rejects_path = rejects_path or f"{audit_path}-rejects"
+    staged = f"{table.root}-arrivals"
     reader = spark.readStream.option("maxFileAge", oldest)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -49,7 +51,10 @@ def intake_stream(
     )
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        good, bad = intake.json_fields(batch, name_of, intake.known_names())
+        # Parsed once and kept until the batch is stored: records, rejects and their count are read from there.
+        parsed = intake.json_verdicts(batch, name_of, intake.known_names())
+        parsed.write.mode("overwrite").parquet(staged)
+        good, bad = intake.by_verdict(spark.read.schema(parsed.schema).parquet(staged))
         keyless = good.filter(F.col(table.key).isNull())
         texts = F.to_json(F.struct(*[x for x in good.columns if x not in ("path", "landed")]))
         bad = bad.unionByName(keyless.select("path", texts.alias("text"), F.lit("no key").alias("reason")))
@@ -65,6 +70,7 @@ def intake_stream(
             F.lit(f"Micro-batch {batch_id} gated and stored"),
         )
         events.write.mode("overwrite").parquet(f"{audit_path}/stream={name}/batch={batch_id}")
+        delete_path(spark, staged)
 
     return (
         arrivals.writeStream.foreachBatch(take_in)
