@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wardgate.sinks import fhir_export
 from wardgate.sources import intake, split
 
 
@@ -188,3 +189,18 @@ def test_elements_are_parsed_once_for_fields_and_verdicts(spark):
     assert plan.count("map_entries(") == 1
     assert [(r.path, r.patient_name) for r in good.collect()] == [("a", "A")]
     assert sorted(r.reason for r in bad.collect()) == ["element is no object", "no known field"]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_of_bundles_are_worked_out_once(spark, tmp_path):
+    rows = [(f"u{i % 40}", '{"n":%d}' % (i % 45), i % 2) for i in range(100)] + [(None, "{}", None)]
+    spark.createDataFrame(rows, "full_url string, resource string, c int").write.parquet(f"{tmp_path}/source")
+    entries = spark.read.parquet(f"{tmp_path}/source")
+    made = fhir_export.bundles(entries.select("full_url", "resource", "c"), F.col("c"), "full_url", "collection", most=7)
+    got = made.collect()
+    held = [x["fullUrl"] for r in got for x in json.loads(r.bundle)["entry"]]
+    assert len(got) == 17 and sorted(held) == sorted(r[0] for r in rows if r[0])
+    assert str(tmp_path) not in made._jdf.queryExecution().toString()

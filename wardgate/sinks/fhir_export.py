@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardgate.functions import payload as pl
 from wardgate.functions import vocab as v
+from wardgate.workspace import landed
 
 
 def _json(value: Column) -> Column:
@@ -91,18 +92,19 @@ CELLS = 1024  # of the hash that deals the entries of a chunk to tasks
 MOST = 1000  # entries of a bundle
 
 
-def _parts(entries: DataFrame, most: int) -> DataFrame:
-    """``entries`` with ``part``: their number within ``chunk``, cut every ``most``.
+def _parts(entries: DataFrame, most: int, *also: Column) -> DataFrame:
+    """``entries`` with ``part``: their number within ``chunk``, cut every ``most``; landed.  ``also`` counts for the hash.
 
-    Entries are counted by hash cell, the counts are added up over the cells of a chunk, and an entry adds its number in its
+    Entries are numbered in their hash cell, the cells of a chunk are added up, and an entry adds its number in its
     cell to what stands before the cell; no task sees a whole chunk.
     """
-    dealt = entries.withColumn("_cell", F.pmod(F.xxhash64(*entries.columns), F.lit(CELLS)))
+    cell = F.pmod(F.xxhash64(*entries.columns, *also), F.lit(CELLS))
+    within = F.row_number().over(Window.partitionBy("chunk", "_cell").orderBy(*entries.columns)) - 1
+    dealt = landed(entries.withColumn("_cell", cell).withColumn("_in", within), "entries")
     counts = dealt.groupBy("chunk", "_cell").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("chunk").orderBy("_cell")) - F.col("_n")
-    starts = counts.select(F.col("chunk").alias("_chunk"), F.col("_cell").alias("_c"), before.alias("_start"))
-    within = F.row_number().over(Window.partitionBy("chunk", "_cell").orderBy(*entries.columns)) - 1
-    joined = dealt.withColumn("_in", within).join(starts, F.col("chunk").eqNullSafe(F.col("_chunk")) & (F.col("_cell") == F.col("_c")))
+    starts = landed(counts.select(F.col("chunk").alias("_chunk"), F.col("_cell").alias("_c"), before.alias("_start")), "cells")
+    joined = dealt.join(starts, F.col("chunk").eqNullSafe(F.col("_chunk")) & (F.col("_cell") == F.col("_c")))
     return joined.select(*entries.columns, F.floor((F.col("_start") + F.col("_in")) / most).alias("part"))
 
 
@@ -112,28 +114,31 @@ def bundles(entries: DataFrame, chunk: Column, order: str, kind: str, most: int
     Entries with a ``url`` carry a request, as a transaction needs; entries of one ``notice_id`` with a ``seq`` stay together
     (``most`` counts such groups then).
     """
-    if "url" in entries.columns:
-        body = F.concat(
-            F.lit('{"resource":'), "resource", F.lit(',"request":{"method":"POST","url":"'),
-            "url", F.lit('"}}'),
-        )
-    else:
-        body = F.concat(
-            F.lit('{"fullUrl":"'), "full_url", F.lit('","resource":'), "resource", F.lit("}")
-        )
-    shown = entries.select(chunk.alias("chunk"), F.col(order).alias("o"), F.col("resource"), body.alias("b"), *(["notice_id"] if _grouped(entries) else []))
+    source = "url" if "url" in entries.columns else "full_url"
+
+    def body(url: Column, resource: Column) -> Column:
+        if source == "url":
+            return F.concat(F.lit('{"resource":'), resource, F.lit(',"request":{"method":"POST","url":"'), url, F.lit('"}}'))
+        return F.concat(F.lit('{"fullUrl":"'), url, F.lit('","resource":'), resource, F.lit("}"))
+
+    shown = entries.select(chunk.alias("chunk"), F.col(order).alias("o"), F.col("resource"), body(F.col(source), F.col("resource")).alias("b"), *(["notice_id"] if _grouped(entries) else []))
+    text = lambda x: x["b"]
     if _grouped(entries):
         key = [F.col("chunk"), F.col("notice_id")]
         groups = shown.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "resource", "b"))).alias("e"))
         placed = _parts(groups, most)
         listed = F.flatten(F.array_sort(F.collect_list(F.struct("notice_id", "e")))["e"])
+    elif order == source:  # the text follows from what it is ordered by, and is made last
+        placed = _parts(shown.drop("b"), most, body(F.col("o"), F.col("resource")))
+        listed = F.array_sort(F.collect_list(F.struct("o", "resource")))
+        text = lambda x: body(x["o"], x["resource"])
     else:
         placed = _parts(shown, most)
         listed = F.array_sort(F.collect_list(F.struct("o", "resource", "b")))
     return placed.groupBy(F.col("chunk").alias("bundle_id"), "part").agg(
         F.concat(
             F.lit(f'{{"resourceType":"Bundle","type":"{kind}","entry":['),
-            F.concat_ws(",", F.transform(listed, lambda x: x["b"])),
+            F.concat_ws(",", F.transform(listed, text)),
             F.lit("]}"),
         ).alias("bundle")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,6 +17,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/wardgate-{label}-{uuid.uuid4().hex}"
 
 
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what several steps read: it is worked out once, and its size is known."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _fs(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     p = hadoop.Path(path)
