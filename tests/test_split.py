@@ -195,6 +195,26 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bundles_and_json_are_cut_and_parsed_once_for_records_and_rejects(spark, tmp_path):
+    entries = ",\n".join(
+        '{"resource": {"resourceType": "Patient", "id": "N-%d", "name": [{"family": "a } ]"}]}}' % i if i % 3 else '{"request": {"n": %d}}' % i for i in range(30)
+    )
+    (tmp_path / "a.txt").write_text('{"resourceType": "Bundle", "meta": {"x": ["]"]},\n"entry": [\n' + entries + '\n], "total": 1}\n')
+    good, bad = intake.read_document_files(spark, str(tmp_path), ".txt", "fhir")
+    assert sorted(r.notice_id for r in good.collect()) == sorted(f"N-{i}" for i in range(30) if i % 3)
+    assert sorted(r.text for r in bad.collect()) == sorted('{"request":{"n":%d}}' % i for i in range(0, 30, 3))
+    assert "Scan text" not in _plan(good.select("path").union(bad.select("path")))
+    (tmp_path / "b.json").write_text('{"records": [\n{"notice_id": "x", "more": {"y": "{ ["}},\n7, [8, "{"],\n{"number": 9}\n], "next": [{"notice_id": "none"}]}\n')
+    (tmp_path / "c.json").write_text('{"notice_id": "y"}\t\n{"notice_id": "z"}\n{broken\n')
+    good, bad = intake.read_json_files(spark, str(tmp_path), ".json", intake.by_canonical)
+    assert sorted(r.notice_id for r in good.collect()) == ["x", "y", "z"]
+    reasons = {"".join(r.text.split()): r.reason for r in bad.collect()}
+    assert reasons == {
+        "7": "element is no object", '[8,"{"]': "element is no object", '{"number":9}': "no known field", "{broken": "no JSON record",
+    }
+    assert "Scan text" not in _plan(good.select("path").union(bad.select("path")))
+
+
 def test_entries_of_bundles_are_worked_out_once(spark, tmp_path):
     rows = [(f"u{i % 40}", '{"n":%d}' % (i % 45), i % 2) for i in range(100)] + [(None, "{}", None)]
     spark.createDataFrame(rows, "full_url string, resource string, c int").write.parquet(f"{tmp_path}/source")

@@ -20,6 +20,7 @@ from wardgate.functions import payload as pl
 from wardgate.functions import vocab as v
 from wardgate.operators import aliases, naming
 from wardgate.sources import fhir, landing, messages, reports, split
+from wardgate.workspace import landed
 
 CORRUPT = "_corrupt"
 PATH = "_metadata.file_path"
@@ -141,22 +142,28 @@ def _is_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
-def _one_value(text: Column) -> Column:
-    """The text as a variant where it is one JSON value and nothing else; the parser alone would pass over what follows the first."""
-    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.size(held.cast("array<variant>")) == 1, F.try_variant_get(held, "$[0]", "variant"))
+def _held(text: Column) -> Column:
+    """The text as the list of its JSON values; the parser alone would pass over what follows the first."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def _is_one_value(held: Column) -> Column:
+    return F.size(held.cast("array<variant>")) == 1
 
 
 def json_items(docs: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """``docs`` by the elements of their lists, with ``text``, ``is_object`` and ``readable`` in place of ``body``.
+    """``docs`` by the elements of their lists, with ``text``, ``is_object``, ``value`` (parsed) and ``readable`` in place of ``body``.
 
     The list is the document, or the first of its members ``keys`` that holds one; any other document is its own element.
     The parsed value says what each element is, the text what it holds.
     """
-    text = F.trim(F.translate("body", "\r\n\t", "   "))
-    text = F.when(text != "", F.trim(F.regexp_replace("body", r"^\s+|\s+$", "")))
+    body = F.col("body")
+    bare = (body.startswith("{") | body.startswith("[")) & (body.endswith("}") | body.endswith("]"))
+    text = F.when(bare, body).when(split.not_blank("body"), F.trim(F.regexp_replace("body", r"^\s+|\s+$", "")))
     rest = [c for c in docs.columns if c != "body"]
-    parsed = docs.withColumn("_text", text).where("_text IS NOT NULL").withColumn("_v", _one_value(F.col("_text")))
+    # The text is parsed in a step of its own, for the next one asks for its value twice.
+    parsed = docs.withColumn("_text", text).where("_text IS NOT NULL").withColumn("_h", _held(F.col("_text")))
+    parsed = parsed.withColumn("_v", F.when(_is_one_value(F.col("_h")), F.try_variant_get("_h", "$[0]", "variant"))).drop("_h")
     member = {k: F.try_variant_get("_v", f"$.{k}", "variant") for k in keys}
     chosen = F.coalesce(*[F.when(_is_list("_v", f"$.{k}"), F.lit(k)) for k in member], F.lit(None).cast("string"))
     shown = parsed.withColumn("_key", chosen).withColumn(
@@ -165,14 +172,14 @@ def json_items(docs: DataFrame, keys: Iterable[str]) -> DataFrame:
     inner = F.coalesce(*[F.when(F.col("_key") == k, x) for k, x in member.items()], F.col("_v"))
     shown = shown.withColumn("_v", inner).withColumn("_is_list", _is_list("_v"))
     texts = F.when(F.col("_is_list"), F.from_json("_list", "array<string>")).otherwise(F.array("_text"))
-    kinds = F.when(
-        F.col("_is_list"),
-        F.transform(F.expr("CAST(CASE WHEN _is_list THEN _v END AS ARRAY<VARIANT>)"), _is_object),
-    ).otherwise(F.array(_is_object(F.col("_v"))))
+    values = F.when(F.col("_is_list"), F.expr("CAST(CASE WHEN _is_list THEN _v END AS ARRAY<VARIANT>)")).otherwise(F.array("_v"))
     items = shown.select(
-        *rest, F.col("_v").isNotNull().alias("readable"), F.explode(F.arrays_zip(texts.alias("text"), kinds.alias("is_object"))).alias("_i")
+        *rest, F.col("_v").isNotNull().alias("readable"), F.explode(F.arrays_zip(texts.alias("text"), values.alias("value"))).alias("_i")
     )
-    return items.select(*rest, F.coalesce("_i.text", F.lit("null")).alias("text"), F.col("_i.is_object").alias("is_object"), "readable")
+    return items.select(
+        *rest, F.coalesce("_i.text", F.lit("null")).alias("text"), _is_object(F.col("_i.value")).alias("is_object"), F.col("_i.value").alias("value"),
+        "readable",
+    )
 
 
 def json_verdicts(docs: DataFrame, name: Naming, known: Iterable[str]) -> DataFrame:
@@ -188,7 +195,7 @@ def json_verdicts(docs: DataFrame, name: Naming, known: Iterable[str]) -> DataFr
             by_field[name(k)].append(k)
     entries = F.map_entries(pl.json_object(F.col("text")))
     lower = F.transform(entries, lambda e: F.struct(F.trim(F.lower(e["key"])).alias("k"), e["value"].alias("x")))
-    both = F.transform(lower, lambda e: F.struct(e["k"], F.translate(e["k"], " -", "__").alias("joined"), e["x"]))
+    both = F.transform(lower, lambda e: F.struct(e["k"], F.replace(F.replace(e["k"], F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_")).alias("joined"), e["x"]))
 
     def member(field: str) -> Column:
         names = sorted({k.lower() for k in by_field[field]})
@@ -222,7 +229,8 @@ def read_json_files(spark: SparkSession, path: str, extension: str, name: Naming
     """Files of which most lines are documents are read by lines, the others by the elements of their one document."""
     lines = split.pieces(spark, path, **_options(extension))
     text = F.trim("value")
-    whole = _one_value(text).isNotNull() & (text.startswith("{") | text.startswith("["))
+    end = F.right(F.btrim("value", F.lit(" \t\r\n")), F.lit(1))  # most lines of a longer document are not worth parsing
+    whole = F.coalesce((text.startswith("{") | text.startswith("[")) & end.isin("}", "]") & _is_one_value(_held(text)), F.lit(False))
     counts = lines.filter(text != "").groupBy("path").agg((2 * F.count_if(whole) >= F.count("*")).alias("by_line"))
     by_line: dict[bool, list[str]] = defaultdict(list)
     for r in counts.collect():  # one row per file
@@ -235,7 +243,9 @@ def read_json_files(spark: SparkSession, path: str, extension: str, name: Naming
         docs.append(parts.select("path", F.col("text").alias("body")))
     if not docs:
         return _nothing(spark)
-    return json_fields(_union(docs), name, known_names())
+    verdicts = json_verdicts(_union(docs), name, known_names())
+    shown = F.when(F.col("reason").isNotNull(), F.col("text")).alias("text")  # of rejects alone
+    return by_verdict(landed(verdicts.select("path", *v.CANONICAL, shown, "reason"), "verdicts"))
 
 
 # --- XML --------------------------------------------------------------------------------------
@@ -308,13 +318,13 @@ def read_document_files(spark: SparkSession, path: str, extension: str, reader:
     else:
         bundle = r'"resourceType"\s*:\s*"Bundle"'
         found = split.json_elements(spark, path, ("entry",), bundle, **how).select("path", F.col("text").alias("body"))
-        parts = json_items(found, ()).withColumn("_v", F.try_parse_json(F.when(F.col("is_object"), F.col("text"))))
-        entry = F.try_variant_get("_v", "$.resource.resourceType", "string").isNotNull()
-        own = F.try_variant_get("_v", "$.resourceType", "string")
+        entry = F.try_variant_get("value", "$.resource.resourceType", "string").isNotNull()
+        own = F.try_variant_get("value", "$.resourceType", "string") != "Bundle"
+        kind = F.when(F.col("is_object") & entry, "entry").when(F.col("is_object") & own, "own")
+        parts = landed(json_items(found, ()).select("path", "text", kind.alias("_kind")), "entries")  # cut and parsed once for both
         listed = F.concat(F.lit('{"resourceType":"Bundle","entry":['), "text", F.lit("]}"))
-        parts = parts.select("path", "text", F.when(entry, listed).when(own != "Bundle", F.col("text")).alias("_body"))
-        is_record, parse = F.col("_body").isNotNull(), fhir.records
-    body = F.col("_body") if reader == "fhir" else F.col("text")
+        is_record, parse = F.col("_kind").isNotNull(), fhir.records
+    body = F.when(F.col("_kind") == "entry", listed).otherwise(F.col("text")) if reader == "fhir" else F.col("text")
     records = parse(parts.filter(is_record).select(F.col("path").alias("doc_id"), body.alias("body")))
     kept = _canonical(records.withColumnRenamed("doc_id", "path"), _fields(records.columns, by_canonical))
     return kept, _rejects(parts.filter(~is_record), F.col("text"), "no record in the document")

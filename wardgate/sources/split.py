@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardgate.workspace import landed
+
 FILE = "_metadata.file_path"
 #: Of Spark's two XML parsers, the one that takes each element by itself: the other gives up the rest of a file where tags do not match.
 ELEMENTS_APART = {"useLegacyXMLParser": "true"}
@@ -44,7 +46,12 @@ def pieces(spark: SparkSession, paths: str | list[str], separator: str | None =
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """Occurrences of ASCII characters."""
+    return reduce(Column.__add__, [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(x), F.lit(""))) for x in characters])
+
+
+def not_blank(text: Column | str, blank: str = " \r\n\t") -> Column:
+    return F.btrim(text, F.lit(blank)) != ""
 
 
 def _or_zero(c: Column) -> Column:
@@ -112,38 +119,47 @@ _TAIL = rf"(?s)^(\s*(?:,?\s*{_VALUE}\s*)*)\]"
 
 def _depths(text: Column) -> Column:
     """Brackets that a text opens, less those that it closes, outside strings; it starts outside one."""
-    bare = F.regexp_replace(text, r'(?s)"[^"]*("|$)', "")
-    return _count(bare, "{[") - _count(bare, "]}")
+    return _level(F.regexp_replace(text, r'(?s)"[^"]*("|$)', ""))
+
+
+def _level(text: Column) -> Column:
+    """Brackets that a text opens, less those that it closes, in strings and outside."""
+    return _count(text, "{[") - _count(text, "]}")
 
 
 def _unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\.", "")
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"(?s)\\.", "")).otherwise(text)
 
 
 def _with_depth(raw: DataFrame) -> DataFrame:
-    """Pieces that end in a brace, with ``inside`` (a string is open before), ``depth`` before and ``after``."""
+    """Pieces that end in a brace, with ``inside`` (a string is open before), ``depth`` before and ``after``; landed.
+
+    What a piece changes and what stands before it in its block are found once, for both states the block may be entered in.
+    """
     bare = _unescaped(F.col("value"))
-    odd = _count(bare, '"') % 2
-    flat = raw.withColumn("_bare", bare).withColumn("_q", odd)
+    flat = raw.withColumn("_bare", bare)
+    # What lies in strings where none is open before lies outside them where one is.
+    flat = flat.select("*", (_count(F.col("_bare"), '"') % 2).alias("_q"), _depths(F.col("_bare")).alias("_out"), _level(F.col("_bare")).alias("_all"))
     # The brace after the piece counts where no string is open.
     flat = flat.select(
         "path", "block", "at", "value", "size", "_q",
-        (_depths(F.col("_bare")) - (1 - F.col("_q"))).alias("_d0"),
-        (_depths(F.concat(F.lit('"'), "_bare")) - F.col("_q")).alias("_d1"),
+        (F.col("_out") - (1 - F.col("_q"))).alias("_d0"), (F.col("_all") - F.col("_out") - F.col("_q")).alias("_d1"),
     )
     local = flat.withColumn("_p", _or_zero(F.sum("_q").over(_in_block(-1))) % 2)
     change = lambda inside: F.when(inside == 0, F.col("_d0")).otherwise(F.col("_d1"))
+    local = local.select("path", "block", "at", "value", "size", "_q", "_p", change(F.col("_p")).alias("_c0"), change(1 - F.col("_p")).alias("_c1"))
+    before = [_or_zero(F.sum(f"_c{i}").over(_in_block(-1))).alias(f"_r{i}") for i in (0, 1)]
+    local = landed(local.select("*", *before), "pieces")
     blocks = local.groupBy("path", "block").agg(
-        (F.sum("_q") % 2).alias("_b"), F.sum(change(F.col("_p"))).alias("_s0"), F.sum(change(1 - F.col("_p"))).alias("_s1")
+        (F.sum("_q") % 2).alias("_b"), F.sum("_c0").alias("_s0"), F.sum("_c1").alias("_s1")
     )
     blocks = blocks.withColumn("_outer", _or_zero(F.sum("_b").over(_blocks_before())) % 2)
     sums = F.when(F.col("_outer") == 0, F.col("_s0")).otherwise(F.col("_s1"))
-    blocks = blocks.select("path", "block", "_outer", _or_zero(F.sum(sums).over(_blocks_before())).alias("_down"))
-    known = local.join(blocks, ["path", "block"]).withColumn("inside", (F.col("_p") + F.col("_outer")) % 2)
-    known = known.withColumn("_c", change(F.col("inside"))).withColumn("depth", F.col("_down") + _or_zero(F.sum("_c").over(_in_block(-1))))
-    closes = (F.col("inside") + F.col("_q")) % 2 == 0
-    return known.select(
-        "path", "block", "at", "value", "size", "inside", "depth", (F.col("depth") + F.col("_c")).alias("after"), closes.alias("closes")
+    blocks = landed(blocks.select("path", "block", "_outer", _or_zero(F.sum(sums).over(_blocks_before())).alias("_down")), "blocks")
+    entered = lambda name: F.when(F.col("_outer") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    inside, depth = (F.col("_p") + F.col("_outer")) % 2, F.col("_down") + entered("_r")
+    return local.join(blocks, ["path", "block"]).select(
+        "path", "block", "at", "value", "size", inside.alias("inside"), depth.alias("depth"), (depth + entered("_c")).alias("after")
     )
 
 
@@ -164,53 +180,72 @@ def json_elements(
     """
     found = _with_depth(pieces(spark, paths, "}", **options))
     place = F.struct("block", "at")
+    # Only a bracket that closes brings a piece back to the outermost object.
+    near = (F.col("inside") == 0) & ((F.col("depth") <= 1) | F.contains("value", F.lit("]")))
     starts = []
-    for rank, key in enumerate(keys):
+    for key in keys:
         pattern = rf'(?s)^(.*?)"{key}"\s*:\s*\['
         prefix = F.regexp_extract("value", pattern, 1)
-        starts.append(F.when(F.col("value").rlike(pattern) & _at_top(prefix), F.struct(F.lit(rank).alias("rank"), place.alias("at"))))
+        named = near & F.contains("value", F.lit(f'"{key}"')) & F.col("value").rlike(pattern)
+        starts.append(named & _at_top(prefix))
     if only_if is not None:
         pattern = rf"(?s)^(.*?){only_if}"
-        must = F.col("value").rlike(pattern) & _at_top(F.regexp_extract("value", pattern, 1))
+        must = near & F.col("value").rlike(pattern) & _at_top(F.regexp_extract("value", pattern, 1))
     else:
         must = F.lit(True)
-    files = found.groupBy("path").agg(
-        F.min_by(F.left(F.regexp_replace("value", r"^[\s﻿]+", ""), F.lit(1)), place).alias("root"),
-        F.min(place).alias("first"),
-        F.max(place).alias("last"),
-        ((F.max_by("after", place) < 0) | (F.sum(F.octet_length("value") + 1) > F.first("size"))).alias("unended"),
-        reduce(F.least, map(F.min, starts)).alias("list") if len(starts) > 1 else F.min(starts[0]).alias("list"),
-        F.bool_or(must).alias("fits"),
+    # Numbers alone are taken from the pieces of a block, so that these are not sorted; what a piece says stands in the last bits of its place.
+    opens = F.when(F.col("depth") != 0, 0).when(F.col("value").rlike(r"^[\s﻿]*\["), 1).when(F.col("value").rlike(r"^[\s﻿]*\{"), 2).otherwise(0)
+    blocks = found.groupBy("path", "block").agg(
+        F.min(F.col("at") * 4 + opens).alias("first"),
+        F.max(F.col("at") * 2 + (F.col("after") < 0).cast("int")).alias("last"),
+        F.sum(F.octet_length("value") + 1).alias("read"),
+        F.max("size").alias("size"),
+        F.max(must).alias("fits"),
+        *[F.min(F.when(begins, F.col("at"))).alias(f"list{rank}") for rank, begins in enumerate(starts)],
     )
-    listed = F.col("list").isNotNull() & F.col("fits") & (F.col("root") == "{")
-    files = files.select(
+    lists = [
+        F.when(F.col(f"list{rank}").isNotNull(), F.struct(F.lit(rank).alias("rank"), F.struct("block", F.col(f"list{rank}").alias("at")).alias("at")))
+        for rank in range(len(starts))
+    ]
+    files = blocks.groupBy("path").agg(
+        F.min(F.struct("block", "first"))["first"].alias("_first"),
+        F.min(F.struct("block", F.shiftright("first", 2).alias("at"))).alias("first"),
+        F.max(F.struct("block", "last"))["last"].alias("_last"),
+        F.max(F.struct("block", F.shiftright("last", 1).alias("at"))).alias("last"),
+        (F.sum("read") > F.max("size")).alias("over"),
+        F.min(F.least(*lists) if len(lists) > 1 else lists[0]).alias("list"),
+        F.bool_or("fits").alias("fits"),
+    )
+    code, unended = F.col("_first") % 4, (F.col("_last") % 2 == 1) | F.col("over")
+    listed = F.col("list").isNotNull() & F.col("fits") & (code == 2)
+    files = landed(files, "documents").select(
         "path",
-        F.when(F.col("root") == "[", 1).when(listed, 2).otherwise(0).alias("base"),
+        F.when(code == 1, 1).when(listed, 2).otherwise(0).alias("base"),
         F.when(listed, F.col("list")["at"]).otherwise(F.col("first")).alias("start"),
         F.when(listed, F.col("list")["rank"]).alias("rank"),
-        F.when(F.col("unended"), F.col("last")).alias("unended"),  # a last piece without a brace after it
+        F.when(unended, F.col("last")).alias("unended"),  # a last piece without a brace after it
     )
-    rest = F.col("value")
+    cut = F.col("value")
     for rank, key in enumerate(keys):
-        cut = F.regexp_replace("value", rf'(?s)^.*?"{key}"\s*:\s*\[', "")
-        rest = F.when((F.col("rank") == rank) & (place == F.col("start")), cut).otherwise(rest)
-    rest = F.when((F.col("base") == 1) & (place == F.col("start")), F.regexp_replace("value", r"^[\s﻿]*\[", "")).otherwise(rest)
-    from_start = found.join(files, "path").where(place >= F.col("start")).withColumn("rest", rest)
-    level = (F.col("depth") == F.col("base")) | (place == F.col("start"))
-    shut = (F.col("base") > 0) & level & (F.col("inside") == 0) & F.col("rest").rlike(_TAIL)
-    shut = shut.alias("shut")
-    from_start = from_start.select("*", shut)
-    ends = from_start.where("shut").groupBy("path").agg(F.min(place).alias("close"))
+        cut = F.when(F.col("rank") == rank, F.regexp_replace("value", rf'(?s)^.*?"{key}"\s*:\s*\[', "")).otherwise(cut)
+    cut = F.when(F.col("base") == 1, F.regexp_replace("value", r"^[\s﻿]*\[", "")).otherwise(cut)
+    from_start = found.join(files, "path").where(place >= F.col("start")).withColumn("_is", place == F.col("start"))
+    from_start = from_start.withColumn("rest", F.when(F.col("_is"), cut).otherwise(F.col("value")))
+    level = (F.col("depth") == F.col("base")) | F.col("_is")
+    shut = (F.col("base") > 0) & level & (F.col("inside") == 0) & F.contains("rest", F.lit("]")) & F.col("rest").rlike(_TAIL)
+    ends = landed(from_start.where(shut).groupBy("path").agg(F.min(place).alias("close")), "ends")
     kept = from_start.join(ends, "path", "left").where(F.col("close").isNull() | (place <= F.col("close")))
     brace = F.when(place == F.col("unended"), "").otherwise("}")
     kept = kept.withColumn(
         "part",
         F.when(place == F.col("close"), F.regexp_extract("rest", _TAIL, 1)).otherwise(F.concat("rest", brace)),
-    ).withColumn("ended", F.col("closes") & (F.col("after") == F.col("base")) & (brace == "}") & ~(place.eqNullSafe(F.col("close"))))
-    ordered = with_record(with_previous(kept, F.col("ended"), "_e"), F.coalesce("_e", F.lit(True)))
+    )
+    # The depth before a piece is the one after the piece before it: there a part ended.
+    begins = F.col("_is") | ((F.col("inside") == 0) & (F.col("depth") == F.col("base")))
+    ordered = with_record(kept.select("path", "block", "at", "part", "base", begins.alias("_new")), F.col("_new"))
     whole = assembled(ordered, F.col("part"), "", F.first("base").alias("base"))
     text = F.regexp_replace("text", r"^\s*,", "")
-    return whole.where(F.trim(F.translate("text", "\r\n\t﻿", "    ")) != "").select(
+    return whole.where(not_blank("text", " \r\n\t﻿")).select(
         "path",
         F.when(F.col("base") > 0, F.concat(F.lit("["), text, F.lit("]"))).otherwise(F.col("text")).alias("text"),
         (F.col("base") > 0).alias("listed"),
