@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wardgate.functions import vocab as v
 from wardgate.sinks import fhir_export
 from wardgate.sources import intake, split
 
@@ -215,6 +216,22 @@ def test_bundles_and_json_are_cut_and_parsed_once_for_records_and_rejects(spark,
     assert "Scan text" not in _plan(good.select("path").union(bad.select("path")))
 
 
+def test_records_are_found_without_sorting_every_line(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Notice ID: 1\n=====\nNotice ID: 2\nmore\n-----\n\nNotice ID: 3\n")
+    blocks = split.text_blocks(spark, str(tmp_path), v.BLOCK_SEPARATOR)
+    assert sorted(" ".join(r.text.split()) for r in blocks.collect()) == ["Notice ID: 1", "Notice ID: 2 more", "Notice ID: 3"]
+    assert "SortAggregate" not in _plan(blocks)
+
+
+def test_known_tags_of_files_with_comments_and_text_beside_tags(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<?xml version="1.0"?>\n<!-- <item> --><all><entry/>\n<patient>a</patient><!-- b --><row x="1"/></all>')
+    (tmp_path / "b.xml").write_text("<all>\n  <recorder>x < y</recorder>\n</all>")
+    lines = split.pieces(spark, str(tmp_path))
+    got = {r.path[-5:]: (sorted(r.tags), r.root, r.child) for r in split.known_tags(lines, v.XML_RECORD_TAGS).collect()}
+    assert got == {"a.xml": (["patient", "row"], "all", "entry"), "b.xml": ([], "all", "recorder")}
+    assert "array_intersect" not in _plan(split.known_tags(lines, v.XML_RECORD_TAGS))  # no tag list is built for lines without a known tag
+
+
 def test_entries_of_bundles_are_worked_out_once(spark, tmp_path):
     rows = [(f"u{i % 40}", '{"n":%d}' % (i % 45), i % 2) for i in range(100)] + [(None, "{}", None)]
     spark.createDataFrame(rows, "full_url string, resource string, c int").write.parquet(f"{tmp_path}/source")

@@ -72,7 +72,8 @@ def with_record(df: DataFrame, begins: Column, name: str = "record") -> DataFram
     """``df`` with the place of the last piece, up to and with each, where ``begins`` holds."""
     place = F.struct("block", "at")
     marked = df.withColumn("_b", F.when(begins, place))
-    last = marked.groupBy("path", "block").agg(F.max("_b").alias("_l")).withColumn("_l", F.max("_l").over(_blocks_before()))
+    last = df.groupBy("path", "block").agg(F.max(F.when(begins, F.col("at"))).alias("at"))
+    last = last.withColumn("_l", F.max(F.when(F.col("at").isNotNull(), place)).over(_blocks_before())).drop("at")
     return marked.join(last, ["path", "block"]).withColumn(name, F.coalesce(F.max("_b").over(_in_block(0)), "_l")).drop("_b", "_l")
 
 
@@ -258,11 +259,11 @@ def json_elements(
 def text_blocks(spark: SparkSession, paths: str | list[str], separator: str, **options: str) -> DataFrame:
     """``path``, ``text`` of the blocks between separators; the pattern may look at the line break before a line, not after it."""
     cut = F.split(F.concat(F.lit("\n"), "value"), separator)
-    lines = pieces(spark, paths, **options).select("path", "block", "at", F.posexplode(cut).alias("n", "part"))
+    lines = pieces(spark, paths, **options).select("path", "block", F.posexplode(cut).alias("n", "part"))
     # Parts of one line keep their order, and each but the first begins a block.
-    parts = lines.select("path", "block", F.struct("at", "n").alias("at"), "part", "n")
+    parts = lines.select("path", "block", F.monotonically_increasing_id().alias("at"), "part", "n")
     begun = with_record(parts, F.col("n") > 0)
-    return assembled(begun, F.col("part"), "").where(F.trim(F.translate("text", "\r\n\t", "   ")) != "")
+    return assembled(begun, F.col("part"), "").where(not_blank("text"))
 
 
 def messages(spark: SparkSession, paths: str | list[str], start: str, **options: str) -> DataFrame:
@@ -277,13 +278,19 @@ def messages(spark: SparkSession, paths: str | list[str], start: str, **options:
 
 def known_tags(lines: DataFrame, tags: Iterable[str]) -> DataFrame:
     """``path``, ``tags``, ``root``, ``child`` of XML files: the tags among ``tags`` that open somewhere, and the first two that do."""
-    bare = F.regexp_replace("value", r"<!--.*?-->|<\?.*?\?>|<![^>]*>", "")
+    odd = F.contains("value", F.lit("<!")) | F.contains("value", F.lit("<?"))
+    bare = F.when(odd, F.regexp_replace("value", r"<!--.*?-->|<\?.*?\?>|<![^>]*>", "")).otherwise(F.col("value"))
     opened = F.regexp_extract_all(bare, F.lit(r"<([A-Za-z_][\w.:-]*)[\s/>]?"), 1)
-    seen = lines.select("path", "block", "at", opened.alias("_t")).where(F.size("_t") > 0)
-    among = F.array(*[F.lit(t) for t in tags])
-    sets = seen.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_set(F.array_intersect("_t", among)))).alias("tags"))
+    seen = lines.where(F.when(odd, F.size(opened) > 0).otherwise(F.col("value").rlike("<[A-Za-z_]")))
+    # Tags are looked for only in lines that hold their names after a bracket.
+    sets = lines.groupBy("path").agg(
+        F.array_compact(F.array(*[
+            F.when(F.bool_or((odd | F.contains("value", F.lit(f"<{t}"))) & F.array_contains(opened, t)), F.lit(t)) for t in tags
+        ])).alias("tags")
+    )
     in_file = Window.partitionBy("path").orderBy("block", "at")
-    early = seen.withColumn("_n", F.row_number().over(in_file)).where("_n <= 2")  # limited before the shuffle
+    early = seen.select("path", "block", "at", "value").withColumn("_n", F.row_number().over(in_file)).where("_n <= 2")  # limited before the shuffle
+    early = early.select("path", "_n", opened.alias("_t"))
     firsts = early.groupBy("path").agg(F.flatten(F.sort_array(F.collect_list(F.struct("_n", F.slice("_t", 1, 2).alias("t"))))["t"]).alias("_f"))
     return sets.join(firsts, "path").select("path", "tags", F.get("_f", F.lit(0)).alias("root"), F.get("_f", F.lit(1)).alias("child"))
 
